@@ -32,6 +32,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df under new attribute ids, so that it can be cogrouped with a frame of the same origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

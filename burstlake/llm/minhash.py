@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, cut, hash_words, mix, words_of
+from .common import apart, as_long, cut, hash_words, mix, words_of
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -152,7 +152,7 @@ def _exact(percent: int):
 def _across(steps):
     """Plausible pairs between two blocks of one bucket whose members lie in different components."""
 
-    def run(left: pa.Table, right: pa.Table):
+    def run(left, right):
         (na, ca, sa), (nb, cb, sb) = (_block(left), _block(right))
         a, b = [], []
         for i in range(len(na)):
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     open_ = cut(open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "open")
     if open_.take(1):
         dealt = open_.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig")
-        left, right = dealt.where("part = i"), dealt.where("part = j")
+        left, right = dealt.where("part = i"), apart(dealt.where("part = j"))
         pairs = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(_across(steps), "a long, b long").distinct()
         found = cut(components(links.unionByName(verified(pairs))), "components")
 

@@ -4,26 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, suffix
+from . import ann, minhash, mixing, packing, pq_dedup, suffix, warc
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_by_warc(spark, _table(spark, sf_dir, "pages"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_packing, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op7_warc, op9_mixing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": warc.WARC_SQL, "op9_mixing": mixing.MIX_SQL}
