@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, minhash, mixing, packing, pq_dedup, suffix, warc
+from . import ann, minhash, mixing, packing, pq_dedup, quality, suffix, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -34,6 +38,10 @@ def op5_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_by_warc(spark, _table(spark, sf_dir, "pages"))
 
@@ -47,7 +55,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op7_warc, op9_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op6_compression, op7_warc, op9_mixing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
