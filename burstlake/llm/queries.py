@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, minhash, mixing, packing, pq_dedup, quality, suffix, toxicity, warc
+from . import ann, lm, minhash, mixing, packing, pq_dedup, quality, suffix, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,6 +46,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_by_warc(spark, _table(spark, sf_dir, "pages"))
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op6_compression, op7_warc, op9_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op6_compression, op7_warc, op8_maxent, op9_mixing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
