@@ -3,9 +3,9 @@
 Documents with equal shingle sets form one class, and only one member of a class is compared. Classes that share a band
 of their MinHash signatures are candidates; their signatures are compared batch by batch and a pair is dropped as soon as
 the posterior chance of reaching the threshold falls below the miss probability; every survivor is verified on full sets.
-A bucket is first compared with its smallest class alone. Only buckets whose members then lie in several components are
-compared further, block by block and across components, so a large group of copies costs a number of pairs in proportion
-to its size while no link between two components is left out.
+A bucket is first compared with its smallest class alone. Classes of buckets whose members then lie in several components
+form families; in a family, blocks of classes are compared across components and only links that connect are returned, so
+no link between two components is left out and the rows made stay in proportion to the classes.
 """
 
 from __future__ import annotations
@@ -149,28 +149,53 @@ def _exact(percent: int):
     return run
 
 
-def _across(steps):
-    """Plausible pairs between two blocks of one bucket whose members lie in different components."""
+def _rows(t: pa.Table):
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")]
+    return t.column("node").to_numpy(), t.column("component").to_numpy(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1), sets
+
+
+def _across(steps, percent: int):
+    """Links between two blocks of one family, tried only between members that lie in different components so far.
+
+    Each pair of a family meets in one pair of blocks. It is tried where it shares a band and stays plausible; a member
+    that links to a component is not tried with the rest of it, so the links returned are a spanning forest."""
 
     def run(left, right):
-        (na, ca, sa), (nb, cb, sb) = (_block(left), _block(right))
         a, b = [], []
-        for i in range(len(na)):
-            j = np.flatnonzero(cb != ca[i])
-            j = j[_plausible(np.broadcast_to(sa[i], (len(j), sa.shape[1])), sb[j], steps)] if len(j) else j
-            a.append(np.full(len(j), na[i]))
-            b.append(nb[j])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        if left.num_rows and right.num_rows:
+            (na, ca, sa, xa), (nb, cb, sb, xb) = _rows(left), _rows(right)
+            size = np.array([len(x) for x in xb])
+            _, label = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+            la, lb = label[: len(na)], label[len(na) :]
+            bands = sb.reshape(len(nb), BANDS, ROWS)
+            for i in range(len(na)):
+                n = len(xa[i])
+                j = np.flatnonzero((lb != la[i]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+                if len(j):
+                    j = j[(bands[j] == sa[i].reshape(BANDS, ROWS)).all(2).any(1)]
+                if len(j):
+                    j = j[_plausible(np.broadcast_to(sa[i], (len(j), sa.shape[1])), sb[j], steps)]
+                while len(j):
+                    some, j = j[:64], j[64:]
+                    flat = np.concatenate([xb[k] for k in some])
+                    at = np.searchsorted(xa[i], flat)
+                    hit = xa[i][np.minimum(at, n - 1)] == flat
+                    both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+                    linked = some[100 * both >= percent * (n + size[some] - both)]
+                    for k in linked.tolist():
+                        if la[i] != lb[k]:
+                            a.append(na[i])
+                            b.append(nb[k])
+                            old, new = lb[k], la[i]
+                            la[la == old] = new
+                            lb[lb == old] = new
+                    j = j[lb[j] != la[i]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _block(t: pa.Table):
-    return t.column("node").to_numpy(), t.column("component").to_numpy(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-9, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-9, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs(doc_id, text, ...).
 
     Two documents link when their k-word shingle sets have 100 * |A & B| >= percent * |A | B|. component_id is the smallest
@@ -187,33 +212,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     members = cut(banded.join(shared, "bucket"), "members")
     star = members.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs of plausible signatures -> those that reach the threshold on full sets."""
-        pairs = cut(pairs, "plausible")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps.select("node", "doc_id"), "node")
-        sets = cut(docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(_sets(k), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long"), "links")
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        """(node, ...) with the full shingle set of each node, from the text of one of its documents."""
+        wanted = wanted.join(reps.select("node", "doc_id"), "node")
+        return docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(_sets(k), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
     sigs = reps.select("node", "sig")
     both = star.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    links = verified(both.select("a", "b", "x", "y").mapInArrow(_bayes(steps), "a long, b long"))
+    pairs = cut(both.select("a", "b", "x", "y").mapInArrow(_bayes(steps), "a long, b long"), "plausible")
+    sets = cut(with_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long"), "links")
     found = cut(components(links), "components")
 
-    placed = cut(members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
-    open_ = placed.join(mixed.select("bucket", "n"), "bucket").join(sigs, "node")
-    parts = F.ceil(F.col("n") / F.lit(block))
-    open_ = cut(open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "open")
+    placed = cut(members.join(found, "node", "left").select("bucket", "pivot", "node", F.coalesce("component", "node").alias("component")), "placed")
+    mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket"), "mixed")
+    open_ = cut(placed.join(mixed, "bucket").select("pivot", "node", "component").distinct(), "open")
     if open_.take(1):
-        dealt = open_.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig")
+        # families: classes that mixed buckets connect; every pair that could still link lies in one family
+        family = cut(components(open_.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family"), "families")
+        sizes = cut(family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")), "sizes")
+        members = family.join(sizes, "family").join(open_.select("node", "component").distinct(), "node").join(sigs, "node")
+        members = cut(members.join(cut(with_sets(family.select("node")), "sets"), "node").withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "members")
+        dealt = members.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig", "set")
         left, right = dealt.where("part = i"), apart(dealt.where("part = j"))
-        pairs = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(_across(steps), "a long, b long").distinct()
-        found = cut(components(links.unionByName(verified(pairs))), "components")
+        more = left.groupBy("family", "i", "j").cogroup(right.groupBy("family", "i", "j")).applyInArrow(_across(steps, percent), "a long, b long")
+        found = cut(components(links.unionByName(cut(more, "more"))), "components")
 
     named = signed.select("doc_id", "node", "n_shingles", "sig").join(found, "node", "left")
     alone = F.col("sig").isNull()
     named = cut(named.select("doc_id", "n_shingles", F.when(~alone, F.coalesce("component", "node")).alias("component")), "named")
-    names = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = cut(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     out = named.join(names, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group that near_duplicates() links, the one with the smallest doc_id.
+
+    Rows without a doc_id stay, as nothing can name them; rows that repeat the doc_id that stays all stay; columns stay."""
+    gone = near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(cut(gone, "copies"), F.col("doc_id") == F.col("__id"), "left_anti")
