@@ -2,10 +2,264 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import photometry as P
+from ..operators import crop, encode, gather, match, merge, robust, stencil
+from ..sources import frames, rasters
+from ..streaming import bursts
+from . import sql, super_resolve
+
+ISO = P.Config(steerable=False, tile_sizes=(8, 8, 8, 8))
+KEY = ["burst_id", "frame_idx", "y", "x"]
+
+
+def _ev(spark, sf):
+    return rasters.unit(rasters.events_px(spark, sf))
+
+
+def _sc(spark, sf):
+    return rasters.unit(rasters.scene_px(spark, sf))
+
+
+def _sixed(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: P.six(n) for n in names})
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _zero_flow(px: DataFrame, tile: int) -> DataFrame:
+    dims = px.where("frame_idx > 0").groupBy("burst_id", "frame_idx").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return match.tiles_of(dims, tile).withColumns({"dx": F.lit(0.0), "dy": F.lit(0.0)})
+
+
+def a3_manifest(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    f = e.groupBy(F.floor(F.col("event_id") / 512).cast("long").alias("burst_id"), (F.floor(F.col("event_id") / 64) % 8).cast("long").alias("path")).agg(F.max("ts").alias("capture_ts"))
+    return frames.manifest(f).select("burst_id", "frame_idx", F.col("path").alias("part"))
+
+
+def a4_reference_meta(spark, sf):
+    return frames.reference_metadata(rasters.events_px(spark, sf))
+
+
+def a5_unpack(spark, sf):
+    return _sixed(rasters.embeddings_px(spark, sf), "v")
+
+
+def a6_pack_tiles(spark, sf):
+    return rasters.pack_planes(rasters.events_px(spark, sf), 4).select("burst_id", "frame_idx", "ty", "tx", "y0", "x0", F.array_join(F.transform("data", lambda v: v.cast("long").cast("string")), ",").alias("data"))
+
+
+def a10_header(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("burst_id"), F.lit(64).alias("H"), F.lit(64).alias("W"))
+    return encode.header_rows(s, P.Config()).select("burst_id", "tag", F.size("values").alias("n"))
+
+
+def b_photometry(spark, sf):
+    c = P.Config()
+    return _ev(spark, sf).select(
+        *KEY, P.six(P.normalise(F.col("v") * 65535, 1000, 65535)).alias("norm"), P.six(P.stabilise("v", c.alpha, c.beta)).alias("stabilised"), P.six(P.srgb("v")).alias("srgb"),
+        P.to_16_bits("v").alias("v16"), P.to_8_bits("v").alias("even8"), P.to_8_bits("v", False).alias("away8"), P.six(P.spline_weight(F.col("v") * 2)).alias("spline"), P.channel_of("y", "x").alias("ch"),
+    )
+
+
+def b30_snr(spark, sf):
+    return super_resolve.snr_table(_ev(spark, sf), P.Config()).select("burst_id", *[P.six(n).alias(n) for n in ("mean", "snr", "k_detail", "k_denoise")], "tile")
+
+
+def c2_centre_crop(spark, sf):
+    return crop.centre_crop(rasters.events_px(spark, sf), 2)
+
+
+def c3_crop_to_reference(spark, sf):
+    px = rasters.events_px(spark, sf)
+    return crop.crop_to_reference(px.where("frame_idx > 0 or (y < 7 and x < 7)"))
+
+
+def c5_valid_bursts(spark, sf):
+    return crop.valid_bursts(rasters.events_px(spark, sf)).groupBy("burst_id").agg(F.count("*").alias("samples"))
+
+
+def d1_box_grey(spark, sf):
+    return _sixed(stencil.box_grey(_ev(spark, sf)), "v")
+
+
+def d2_low_pass(spark, sf):
+    return _sixed(stencil.low_pass_rows(_ev(spark, sf)), "v")
+
+
+def d4_pad_circular(spark, sf):
+    return stencil.pad_circular(rasters.events_px(spark, sf), 5)
+
+
+def d5_downsample(spark, sf):
+    return _sixed(stencil.downsample(_sc(spark, sf), 2), "v")
+
+
+def d7_gradients(spark, sf):
+    return _sixed(stencil.gradients(_ev(spark, sf)), "gx", "gy")
+
+
+def d8_central(spark, sf):
+    return _sixed(stencil.central_differences(_sc(spark, sf)), "gx", "gy").drop("v")
+
+
+def d9_blur(spark, sf):
+    return _sixed(stencil.blur(_ev(spark, sf), 1.0), "v")
+
+
+def d10_guide(spark, sf):
+    return _sixed(stencil.guide(_sc(spark, sf), P.Config()), "v")
+
+
+def d11_local_stats(spark, sf):
+    return _sixed(stencil.local_stats(_ev(spark, sf)), "mean", "var")
+
+
+def d12_local_min(spark, sf):
+    return stencil.local_min(rasters.events_px(spark, sf))
+
+
+def d13_structure_tensor(spark, sf):
+    return _sixed(stencil.structure_tensor(stencil.gradients(_ev(spark, sf))), "xx", "xy", "yy")
+
+
+def d14_kernel_field(spark, sf):
+    return _sixed(stencil.kernel_field(_ev(spark, sf), P.Config()), "xx", "xy", "yy")
+
+
+def _flow(spark, sf, metric="L1"):
+    px = rasters.scene_px(spark, sf)
+    return match.block_match(px.where("frame_idx = 0"), px.where("frame_idx > 0"), _zero_flow(px, 8), 8, 2, metric)
+
+
+def d15_flow_irregularity(spark, sf):
+    return stencil.flow_irregularity(_flow(spark, sf).drop("cost"), P.Config())
+
+
+def e15_upscale_flow(spark, sf):
+    flow = _flow(spark, sf).drop("cost")
+    grid = match.tiles_of(flow.select("burst_id", "frame_idx").distinct().withColumns({"h": F.lit(64), "w": F.lit(64)}), 8)
+    return gather.upscale_flow(flow, grid, 2, 8, 8)
+
+
+def f4_hessian(spark, sf):
+    return _sixed(match.hessians(_sc(spark, sf).where("frame_idx = 0"), 8), "h00", "h01", "h11", "det")
+
+
+def f9_noise_curves(spark, sf):
+    """The table for the noise of each burst's reference, met by brightness: sigma and diff at every scene sample."""
+    lut = robust.noise_curves(spark, P.Config().alpha, P.Config().beta, patches=200)
+    return gather.noise_at(_sc(spark, sf).withColumnRenamed("v", "mean"), lut).select(*KEY, P.six("sigma").alias("sigma"), P.six("diff").alias("diff"))
+
+
+def i1_block_match_l1(spark, sf):
+    return _flow(spark, sf)
+
+
+def i1_block_match_l2(spark, sf):
+    return _flow(spark, sf, "L2")
+
+
+def i2_refine_step(spark, sf):
+    px = _sc(spark, sf)
+    return _sixed(match.refine(px.where("frame_idx = 0"), px.where("frame_idx > 0"), _zero_flow(px, 8), 8, 1), "dx", "dy")
+
+
+def i3_align(spark, sf):
+    """Two levels, from coarse to fine, with refinement at each."""
+    c = P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
+    stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
+    return _sixed(match.align(stage(_sc(spark, sf), "grey"), c, stage), "dx", "dy")
+
+
+def i4_reference_stats(spark, sf):
+    return _sixed(robust.reference_stats(_sc(spark, sf), P.Config()).drop("frame_idx"), "mean", "var")
+
+
+def _lut(spark):
+    b = F.col("id") / 1000
+    s = F.sqrt(b * P.Config().alpha + P.Config().beta)
+    return spark.range(1001).select(F.col("id").cast("int").alias("bin"), s.alias("sigma"), (s * 0.4).alias("diff"))
+
+
+def i5_robustness(spark, sf):
+    px, c = _sc(spark, sf), ISO
+    return _sixed(robust.robustness(px, robust.reference_stats(px, c), _flow(spark, sf).drop("cost"), _lut(spark), 8, c), "v")
+
+
+def i7_merge_reference(spark, sf):
+    px = _sc(spark, sf)
+    return _sixed(merge.merge_reference(px, None, None, ISO), "num", "den").select("burst_id", "Y", "X", "ch", "num", "den")
+
+
+def i9_merge_all(spark, sf):
+    """All frames with the round kernel and full trust: the sum that F6 and F11 normalise."""
+    px = _sc(spark, sf)
+    ones = px.where("frame_idx > 0").withColumn("v", F.lit(1.0))
+    comp = merge.merge_comparison(px, _flow(spark, sf).drop("cost"), ones, None, 8, ISO)
+    acc = merge.accumulate(comp, merge.merge_reference(px, None, None, ISO))
+    return _sixed(merge.normalised(acc, ISO), "v")
+
+
+def i11_super_resolve(spark, sf):
+    """The whole path with steerable kernels, robustness and the accumulated denoiser, as 16-bit rows."""
+    c = P.Config(tile_sizes=(8, 8, 8, 8), denoise_accumulated=True)
+    stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
+    px = stage(_sc(spark, sf), "raw")
+    flow = stage(match.block_match(px.where("frame_idx = 0"), px.where("frame_idx > 0"), _zero_flow(px, 8), 8, 2), "flow").drop("cost")
+    return super_resolve.process_to_rows(px, c, _lut(spark), flow=flow, materialise=stage)[0]
+
+
+def _linear(spark, sf):
+    return encode.rgb(_sixed(merge.normalised(merge.merge_reference(_sc(spark, sf), None, None, ISO), ISO, balance=False), "v"))
+
+
+def i12_encode(spark, sf):
+    return encode.encode_16(_linear(spark, sf), ISO)
+
+
+def g5_preview(spark, sf):
+    return encode.preview(_linear(spark, sf), 16, ISO)
+
+
+def a9_output_rows(spark, sf):
+    """Rows stored in output order, read back, and counted for completeness."""
+    return encode.write_rows(encode.encode_16(_linear(spark, sf), ISO), shared_path(spark, "rows"))
+
+
+def j1_burst_assembly(spark, sf):
+    """Frames of the event stream as they arrive; the bursts that are complete when the stream is through."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    f = e.groupBy(F.floor(F.col("event_id") / 512).cast("long").alias("burst_id"), (F.floor(F.col("event_id") / 64) % 8).cast("int").alias("part"))
+    f = f.agg(F.max("ts").cast("timestamp").alias("capture_ts"), F.count("*").alias("n")).where("n = 64").select("burst_id", "capture_ts", F.lit("ok").alias("status"))
+    path, out, state = (shared_path(spark, n) for n in ("arrivals", "assembled", "state"))
+    f.write.parquet(path)
+    stream = bursts.assemble(spark.readStream.schema(f.schema).parquet(path))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(bursts.OUT).parquet(out).where("status = 'complete'").select("burst_id", "status", "n")
+
+
+ALL = (
+    a3_manifest, a4_reference_meta, a5_unpack, a6_pack_tiles, a9_output_rows, a10_header, b_photometry, b30_snr, c2_centre_crop, c3_crop_to_reference, c5_valid_bursts,
+    d1_box_grey, d2_low_pass, d4_pad_circular, d5_downsample, d7_gradients, d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor,
+    d14_kernel_field, d15_flow_irregularity, e15_upscale_flow, f4_hessian, f9_noise_curves, g5_preview, i1_block_match_l1, i1_block_match_l2, i2_refine_step, i3_align,
+    i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(sql.ORACLES)
