@@ -11,35 +11,50 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+# How the vocabulary's file splits lower-cased text into units that are merged apart from each other.
+UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class TokenIds(dict):
-    """A run of characters without blanks -> its token ids; forgets everything once it holds `most` runs."""
+    """A run of characters without blanks -> its token ids, 4 bytes each; forgets everything once it holds `most` runs.
+
+    Runs in plain form are split into the vocabulary's units, so "Word," and "word" share their work, and a unit goes to
+    the merge model itself; any other run goes through the whole tokenizer."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        # the characters by which a byte-level vocabulary shows bytes: printable ones stand for themselves
+        plain = [x for x in range(256) if chr(x).isprintable() and chr(x) != " "]
+        rest = (x for x in range(256) if x not in plain)
+        self.shown = {x: x for x in plain} | {x: 256 + n for n, x in enumerate(rest)}
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
+    def __missing__(self, run: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        stem = run[:-1]
-        if run[-1:] in (".", ",") and stem.isalpha() and unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha():
-            ids = self[stem] + self[run[-1]]  # marks are tokens apart from the letters before them
-        elif run.isascii() and run.isalpha() and not run.islower():
-            ids = self[run.lower()]
+        if run.isprintable() and "<|" not in run and "\u03a3" not in run and unicodedata.is_normalized("NFC", run):
+            units = UNITS.findall(run.lower())
+            if units == [run]:
+                shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
+                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            else:
+                ids = b"".join([self[u] for u in units])
         else:
-            ids = tuple(self.tokenizer.encode(run, add_special_tokens=False).ids)
+            ids = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
         if len(run) <= 40:
             self[run] = ids
         return ids
@@ -54,7 +69,7 @@ def token_ids(path: str, text: str | None) -> np.ndarray:
     if cache is None:
         cache = _loaded[path] = TokenIds(path)
     runs = (text or "").replace("\n", " ").split(" ")
-    return np.fromiter(chain.from_iterable(map(cache.__getitem__, runs)), dtype="<u4")
+    return np.frombuffer(b"".join(map(cache.__getitem__, runs)), dtype="=u4")
 
 
 def _pieces(path: str, most: int, end: int, with_ids: bool):
