@@ -94,14 +94,17 @@ CTES = {
       SELECT burst_id, y, x, (y+0.5::DOUBLE)/2-0.5::DOUBLE AS gy, (x+0.5::DOUBLE)/2-0.5::DOUBLE AS gx FROM scu WHERE frame_idx=0) p, {OFFSETS.format(r=1)} o, qstats s
       WHERE gy>=0 AND gx>=0 AND gy<16 AND gx<16 AND s.frame_idx=0 AND s.burst_id=p.burst_id AND s.y=least(greatest({AWAY.format('gy')}+o.i,0),15) AND s.x=least(greatest({AWAY.format('gx')}+o.j,0),15)) GROUP BY ALL""",
     "hrref": """SELECT burst_id, Y, X, CAST([0,1,1,2][(i%2)*2+j%2+1] AS INTEGER) AS ch, sum(k*v) AS num, sum(k) AS den FROM (
-      SELECT g.burst_id, g.Y, g.X, s.y AS i, s.x AS j, s.v, exp(-0.5::DOUBLE*2*((s.x-cx)*(s.x-cx)+(s.y-cy)*(s.y-cy))) AS k FROM (
-      SELECT b.burst_id, a.i AS Y, c.i AS X, a.i/2e0 AS cy, c.i/2e0 AS cx FROM (SELECT DISTINCT burst_id FROM sc) b, range(64) a(i), range(64) c(i)) g, """ + OFFSETS.format(r=1) + """ o, scu s
-      WHERE s.burst_id=g.burst_id AND s.frame_idx=0 AND s.y=round_even(cy,0)+o.i AND s.x=round_even(cx,0)+o.j) GROUP BY ALL""",
+      SELECT g.burst_id, g.Y, g.X, i, j, s.v, exp(-0.5::DOUBLE*2*((j-cx)*(j-cx)+(i-cy)*(i-cy))) AS k FROM (
+      SELECT b.burst_id, Y, X, cy, cx, CAST(round_even(cy,0) AS INTEGER)+o.i AS i, CAST(round_even(cx,0) AS INTEGER)+o.j AS j FROM (SELECT DISTINCT burst_id FROM sc) b,
+      (SELECT a.i AS Y, c.i AS X, a.i/2e0 AS cy, c.i/2e0 AS cx FROM range(64) a(i), range(64) c(i)), """ + OFFSETS.format(r=1) + """ o) g
+      JOIN (SELECT * FROM scu WHERE frame_idx=0) s ON s.burst_id=g.burst_id AND s.y=i AND s.x=j) GROUP BY ALL""",
     "hrcomp": """SELECT burst_id, Y, X, CAST([0,1,1,2][(i%2)*2+j%2+1] AS INTEGER) AS ch, sum(k*v) AS num, sum(k) AS den FROM (
-      SELECT g.burst_id, g.Y, g.X, s.y AS i, s.x AS j, s.v, exp(-0.5::DOUBLE*2*((s.x-(mx-0.5::DOUBLE))*(s.x-(mx-0.5::DOUBLE))+(s.y-(my-0.5::DOUBLE))*(s.y-(my-0.5::DOUBLE)))) AS k FROM (
-      SELECT f.burst_id, f.frame_idx, a.i AS Y, c.i AS X, (a.i+0.5::DOUBLE)/2+f.dy AS my, (c.i+0.5::DOUBLE)/2+f.dx AS mx FROM range(64) a(i), range(64) c(i), flow1 f
-      WHERE f.ty=floor((a.i+0.5::DOUBLE)/2/8) AND f.tx=floor((c.i+0.5::DOUBLE)/2/8)) g, """ + OFFSETS.format(r=1) + """ o, scu s
-      WHERE mx>=0 AND mx<32 AND my>=0 AND my<32 AND s.burst_id=g.burst_id AND s.frame_idx=g.frame_idx AND s.y=floor(my)+o.i AND s.x=floor(mx)+o.j) GROUP BY ALL""",
+      SELECT g.burst_id, g.Y, g.X, i, j, s.v, exp(-0.5::DOUBLE*2*((j-(mx-0.5::DOUBLE))*(j-(mx-0.5::DOUBLE))+(i-(my-0.5::DOUBLE))*(i-(my-0.5::DOUBLE)))) AS k FROM (
+      SELECT *, CAST(floor(my) AS INTEGER)+oi AS i, CAST(floor(mx) AS INTEGER)+oj AS j FROM (
+      SELECT f.burst_id, f.frame_idx, h.Y, h.X, h.ly+f.dy AS my, h.lx+f.dx AS mx, o.i AS oi, o.j AS oj FROM flow1 f
+      JOIN (SELECT a.i AS Y, c.i AS X, (a.i+0.5::DOUBLE)/2 AS ly, (c.i+0.5::DOUBLE)/2 AS lx, a.i//16 AS ty, c.i//16 AS tx FROM range(64) a(i), range(64) c(i)) h ON f.ty=h.ty AND f.tx=h.tx, """ + OFFSETS.format(r=1) + """ o)
+      WHERE mx>=0 AND mx<32 AND my>=0 AND my<32) g
+      JOIN scu s ON s.burst_id=g.burst_id AND s.frame_idx=g.frame_idx AND s.y=i AND s.x=j) GROUP BY ALL""",
     "acc": "SELECT burst_id, Y, X, ch, sum(num) AS num, sum(den) AS den FROM (SELECT * FROM hrref UNION ALL SELECT * FROM hrcomp) GROUP BY ALL",
     "lin": "SELECT burst_id, Y, X, max(CASE WHEN ch=0 THEN v END) AS r, max(CASE WHEN ch=1 THEN v END) AS g, max(CASE WHEN ch=2 THEN v END) AS b FROM (SELECT *, " + six("num/den") + " AS v FROM hrref) GROUP BY ALL",
 }
