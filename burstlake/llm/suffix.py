@@ -216,13 +216,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096) -> Dat
     docs has id, fp (hash of the text) and text; rows equal in id and fp are the same text twice, and so repeats."""
     reach = min(length - GRAM, 224)
     parsed = cut(docs.select("id", "fp", "text").mapInArrow(_parse(length, reach), "id long, fp long, a int, lo int, hi int, core long, full binary"), "parse")
-    common = parsed.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1").select("core")
+    # what is joined below is written first: both sides of a join are then plain exchanges, and a crowded core can be split
+    common = cut(parsed.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1").select("core"), "common")
     twice = cut(parsed.join(common, "core"), "dictionary")
     classes = cut(twice.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "a", "lo", "hi")).alias("at")), "classes")
     settled = twice.join(classes.where("n > 1").select("core", "full"), ["core", "full"])
     settled = settled.select("id", "fp", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
-    open_ = classes.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("least = 1 and m > 1").select("core", "m")
+    open_ = cut(classes.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("least = 1 and m > 1").select("core", "m"), "open")
     asked = cut(classes.select("core", "n", "at.*").join(open_, "core"), "borders")
     lists = asked.groupBy("id", "fp").agg(F.collect_list(F.struct("core", "a", "lo", "hi", "n")).alias("asked"))
     around = docs.select("id", "fp", "text").join(lists, ["id", "fp"]).mapInArrow(_surroundings(length), "id long, fp long, core long, a int, lo int, hi int, n long, left binary, right binary")
