@@ -289,7 +289,7 @@ def repeat_digests(docs: DataFrame, length: int = 400, crowd: int = 4096) -> Dat
 def _cleared(batches):
     for b in batches:
         kept = []
-        for t, cell in zip(b.column("text").to_pylist(), b.column("spans")):
+        for t, cell in zip(b.column("text").to_pylist(), b.column("__spans")):
             spans = _pairs(cell)
             if not spans or t is None:
                 kept.append(t)
@@ -305,7 +305,7 @@ def _cleared(batches):
             out.append(data[at:])
             kept.append(b"".join(out).decode("utf-8", "surrogatepass"))
         i = b.schema.get_field_index("text")
-        yield b.set_column(i, "text", pa.array(kept, pa.string())).drop_columns(["spans"])
+        yield b.set_column(i, "text", pa.array(kept, pa.string())).drop_columns(["__spans"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 4096) -> DataFrame:
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 4096) -> Dat
     Rows and other columns stay as they are, null texts stay null. A text of nothing but repeats becomes empty."""
     columns = docs.columns
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__fp": F.xxhash64(text_or_empty())})
-    spans = repeated_spans(_keyed(docs, "text"), length, crowd).withColumnsRenamed({"id": "__id", "fp": "__fp"})
-    met = keyed.join(spans, ["__id", "__fp"], "left").select(*columns, "spans")
+    spans = repeated_spans(_keyed(docs, "text"), length, crowd).withColumnsRenamed({"id": "__id", "fp": "__fp", "spans": "__spans"})
+    met = keyed.join(spans, ["__id", "__fp"], "left").select(*columns, "__spans")
     out = met.mapInArrow(_cleared, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
