@@ -151,7 +151,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     spark = vectors.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = sample(good, train)
+    x = sample(good, train, "vec_id")
     half, size = x.shape[1] // 2, int(np.clip(round((n / 8) ** 0.5), 1, 256))
     books = [kmeans(x[:, :half], size), kmeans(x[:, half:], size)] if half else [np.zeros((1, 0)), kmeans(x, size)]
     share = share_for(x, books, k, recall)

@@ -133,7 +133,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, train: int
     if not classes.take(1):
         return rest
     total = classes.count()
-    u = _unit(sample(classes, train))
+    u = _unit(sample(classes, train, "node"))
     r = float(np.sqrt(2 - 2 * cosine))
     coarse = kmeans(u, int(np.clip(round(total**0.5 / 2), 1, 512)))
     parts = min(8, u.shape[1])
