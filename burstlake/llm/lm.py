@@ -1,14 +1,16 @@
 """Language-model scores: a unigram base and a hashed maximum-entropy model with a class-factored softmax.
 
-P(w | history) = P(class | history) P(w | class). The class of a frequent word follows from its first letters; all other
-words, with one slot for every word never seen in training, are the rare class. P(class | history) is a softmax over sums
-of weight rows that the history's features select by hash: the word one back, the words two and three back with the others
-skipped, the last two words together, and the classes of the last three. Inside a class words go by their counts, and the
-unseen slot has the share of rare tokens that were seen once. The whole is normalised over the vocabulary and that slot.
-
-Counts come from all training documents. The weights come from one pass over all of them in a few rounds: in each round
-tasks start from the same weights, make gradient steps over their own documents, and the changes of a row are averaged over
-the tasks by how often each used it. Only the table of frequent words and the weights, both of fixed size, reach the driver.
+P(w | history) = P(class | history) P(w | class). The class of a word, seen or not, follows from its first letters.
+P(class | history) is a softmax over sums of weight rows that the history's features select by hash: the word one back, the
+words two and three back with the others skipped, the last two words together, and the classes of the last three. Inside a
+class words go by their counts. A class keeps the share of its tokens that were seen once for words never seen; these shares
+of all classes together are one slot. The whole is normalised over the vocabulary and that slot.
+
+Documents stand in blocks of bounded size. Every block names the feature rows and the words that it holds; those alone are
+joined to it. There are at least as many rows as distinct features in the training documents, so their number follows the
+input; the weights are a table of the rows that were touched, and no table of words or weights reaches the driver. The
+weights come from one pass over all training documents in a few rounds: in each round blocks start from the same weights,
+make gradient steps over their own documents, and the changes of a row are averaged over the blocks by how often each used it.
 """
 
 from __future__ import annotations
@@ -16,17 +18,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, crc_mod, cut, mix, text_or_empty
+from .common import apart, as_long, crc_mod, cut, mix, text_or_empty
 
-CLASSES, FIRST_LETTERS = 32, 30
-END_CLASS, RARE = 30, 31
-ROWS = 1 << 13  #: rows of hashed feature weights
-HOT = 1 << 18  #: words seen more than once, at most so many, have a class by their letters; the rest is rare
+CLASSES, FIRST_LETTERS = 31, 30
+END_CLASS = 30
+LEAST_ROWS = 1 << 15  #: rows of hashed feature weights; more where there are more distinct features
+BLOCK = 1 << 21  #: characters of a block of documents
 CHUNK = 4096  #: tokens of one numpy batch
 SMOOTH = 0.1
+FEATURE, WORD = 0, 1  #: kinds of keys that a block asks for
 
 
 class WordIds(dict):
@@ -58,45 +62,70 @@ def token_hashes(text: str) -> np.ndarray:
     return out
 
 
-def _counted(batches):
-    held, size = [], 0
+def class_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(31)).astype(np.int64)
 
-    def flush():
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(n.astype(np.int64))], ["h", "n"])
 
+def _blocked(batches):
+    """Documents of one part, in their order, get one block number until they fill a block."""
+    task, at = TaskContext.get().partitionId() << 32, {}
+    block = 0
     for b in batches:
-        for t in b.column(0).to_pylist():
-            held.append(token_hashes(t))
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
-
-
-def history(h: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Feature rows (tokens by features) of a run of documents; starts: the distance of each token from its first one."""
+        numbers = []
+        for part, text in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+            number, size = at.get(part, (0, BLOCK))
+            if size >= BLOCK:
+                number, size, block = block, 0, block + 1
+            at[part] = number, size + len(text) + 1
+            numbers.append(task + number)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *b.columns], ["block", "part", "key", "doc_id", "text"])
+
+
+def history(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Feature hashes (tokens by features) of a run of documents; starts: the distance of each token from its first one."""
     back, cls = [], []
     for k in (1, 2, 3):
-        b, c = np.zeros_like(h), np.zeros(len(h), np.uint64)
-        b[k:], c[k:] = h[:-k], classes[:-k].astype(np.uint64) + np.uint64(1)
+        b, c = np.zeros_like(h), np.zeros_like(h)
+        b[k:], c[k:] = h[:-k], (h[:-k] & np.uint64(31)) + np.uint64(1)
         b[starts < k], c[starts < k] = 0, 0
         back.append(b)
         cls.append(c)
     seed = [np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1)) for k in range(1, 6)]
     keys = [back[0] + seed[0], back[1] + seed[1], back[2] + seed[2], mix(back[0] + seed[3]) + back[1], (cls[0] << np.uint64(12)) + (cls[1] << np.uint64(6)) + cls[2] + seed[4]]
-    return np.stack([(mix(k) >> np.uint64(51)).astype(np.int32) for k in keys], axis=1)
+    return np.stack([mix(k) for k in keys], axis=1)
+
+
+def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of documents, each token's distance from its document's start, and the documents' sizes."""
+    docs = [token_hashes(t) for t in texts]
+    size = np.array([len(d) for d in docs])
+    return np.concatenate(docs), np.concatenate([np.arange(x) for x in size]), size
+
 
+def _keys(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The keys of each kind."""
+    return [history(h, starts).reshape(-1), h]
 
-def _classes(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token and its place in the sorted table of frequent words (-1: rare)."""
-    if not len(hot):
-        return np.full(len(h), RARE, np.int64), np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    found = hot[at] == h
-    return np.where(found, (h & np.uint64(31)).astype(np.int64), RARE), np.where(found, at, -1)
+
+def _asked(batches):
+    """block, part, kind, k, n: the distinct keys of a block and how often it holds each."""
+    held, size = {}, 0
+
+    def flush():
+        for (block, part), texts in held.items():
+            h, starts, _ = _tokens(texts)
+            for kind, keys in enumerate(_keys(h, starts)):
+                k, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(np.full(len(k), part, np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(as_long(k)), pa.array(n.astype(np.int64))], ["block", "part", "kind", "k", "n"])
+
+    for b in batches:
+        for block, part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            held.setdefault((block, part), []).append(t)
+            size += len(t) + 1
+            if size > 4 * BLOCK:
+                yield from flush()
+                held, size = {}, 0
+    yield from flush()
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -106,136 +135,140 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _runs(texts, most: int):
-    """Token hashes of whole documents, several in a run, with each token's distance from its document's start."""
-    held, size, at = [], 0, []
-    for i, t in enumerate(texts):
-        h = token_hashes(t)
-        held.append(h)
-        at.append(i)
-        size += len(h)
-        if size >= most:
-            yield at, held
-            held, size, at = [], 0, []
-    if held:
-        yield at, held
-
-
-def _trained(weights: np.ndarray, hot: np.ndarray, rate: float):
-    def run(batches):
-        w, used, square = weights.copy(), np.zeros(ROWS), np.full(ROWS, 1e-6, np.float32)
-        for b in batches:
-            for _, docs in _runs(b.column(0).to_pylist(), CHUNK):
-                h = np.concatenate(docs)
-                starts = np.concatenate([np.arange(len(d)) for d in docs])
-                cls, _ = _classes(h, hot)
-                rows = history(h, starts, cls)
-                for s in range(0, len(h), CHUNK):
-                    r, y = rows[s : s + CHUNK], cls[s : s + CHUNK]
-                    g = _softmax(w[r].sum(1))
-                    g[np.arange(len(y)), y] -= 1
-                    flat = r.reshape(-1)
-                    order = np.argsort(flat, kind="stable")
-                    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                    which = flat[order[first]]
-                    total = np.add.reduceat(g[order // r.shape[1]], first, axis=0)
-                    n = np.diff(np.append(first, len(flat)))
-                    total /= n[:, None] ** 0.5
-                    square[which] += (total * total).mean(1)
-                    w[which] -= rate * total / np.sqrt(square[which])[:, None]
-                    used[which] += n
-        at = np.flatnonzero(used)
-        change = (w[at] - weights[at]) * used[at, None].astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(used[at])] + [pa.array(change[:, c].copy()) for c in range(CLASSES)], ["row", "used"] + [f"g{c}" for c in range(CLASSES)])
+def _packed(x: np.ndarray) -> pa.Array:
+    """float32 rows as binary values."""
+    x = np.ascontiguousarray(x, np.float32)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
+def _unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, CLASSES)
+
+
+def _local(keys: np.ndarray, bits: int, given) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct weight rows of features, their weights where given (0 elsewhere), and each feature's place among them."""
+    rows = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    mine, at = np.unique(rows, return_inverse=True)
+    w = np.zeros((len(mine), CLASSES), np.float32)
+    if given.num_rows:
+        w[np.searchsorted(mine, given["k"].to_numpy())] = _unpacked(given["w"])
+    return mine, w, at.reshape(rows.shape)
+
+
+def _trained(bits: int, rate: float):
+    def run(docs, given):
+        docs = docs.sort_by("key")
+        h, starts, _ = _tokens(docs["text"].to_pylist())
+        mine, w, rows = _local(history(h, starts), bits, given)
+        before, used, square, cls = w.copy(), np.zeros(len(w)), np.full(len(w), 1e-6, np.float32), class_of(h)
+        for s in range(0, len(h), CHUNK):
+            r, y = rows[s : s + CHUNK], cls[s : s + CHUNK]
+            g = _softmax(w[r].sum(1))
+            g[np.arange(len(y)), y] -= 1
+            flat = r.reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            which = flat[order[first]]
+            total = np.add.reduceat(g[order // r.shape[1]], first, axis=0)
+            n = np.diff(np.append(first, len(flat)))
+            total /= n[:, None] ** 0.5
+            square[which] += (total * total).mean(1)
+            w[which] -= rate * total / np.sqrt(square[which])[:, None]
+            used[which] += n
+        return pa.table({"k": mine, "used": used, "w": _packed(w - before)})
 
     return run
 
 
-def train(texts: DataFrame, hot: np.ndarray, rounds: int = 3, rate: float = 0.3) -> np.ndarray:
-    """Class weights from one pass over texts(text, part) with 0 <= part < rounds, a part in each round."""
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    shape = "row int, used double, " + ", ".join(f"g{c} float" for c in range(CLASSES))
+def _moved(table):
+    """Weights (used = 0) plus the changes of each row, averaged by their use."""
+    k, used, w = table["k"].to_numpy(), table["used"].to_numpy(), _unpacked(table["w"])
+    mine, at = np.unique(k, return_inverse=True)
+    uses = np.bincount(at, weights=used)
+    share = np.where(used > 0, used / np.maximum(uses[at], 1), 1)[:, None]
+    out = np.zeros((len(mine), CLASSES))
+    np.add.at(out, at, w * share)
+    return pa.table({"k": mine, "used": np.zeros(len(mine)), "w": _packed(out)})
+
+
+def train(blocks: DataFrame, asked: DataFrame, bits: int, rounds: int = 3, rate: float = 0.3) -> DataFrame:
+    """k, used, w: the touched weight rows after one pass over blocks(block, part, key, text) with 0 <= part < rounds, a part
+    in each round; asked(block, part, k): the rows of each block."""
+    shape = "k long, used double, w binary"
+    weights = blocks.sparkSession.createDataFrame([], shape)
+    buckets = max(8, 1 << bits >> 16)
     for turn in range(rounds):
-        moved = texts.where(F.col("part") == turn).select("text").mapInArrow(_trained(weights, hot, rate), shape)
-        got = moved.groupBy("row").agg(F.sum("used").alias("used"), *[F.sum(f"g{c}").alias(f"g{c}") for c in range(CLASSES)]).toPandas()  # at most ROWS rows
-        weights[got["row"].to_numpy()] += (got.iloc[:, 2:].to_numpy() / got["used"].to_numpy()[:, None]).astype(np.float32)
+        given = asked.where(F.col("part") == turn).join(weights.select("k", "w"), "k").select("block", "k", "w")
+        docs = blocks.where(F.col("part") == turn).select("block", "key", "text")
+        change = docs.groupBy("block").cogroup(apart(given).groupBy("block")).applyInArrow(_trained(bits, rate), shape)
+        weights = cut(weights.unionByName(change).groupBy(F.pmod("k", F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _moved(t), shape), "weights")
     return weights
 
 
-def _scored(weights: np.ndarray, hot: np.ndarray, count: np.ndarray, n: float, v: int, mass: np.ndarray):
-    base = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
-    inside = np.log10(count / np.maximum(mass[(hot & np.uint64(31)).astype(np.int64)], 1)) if len(hot) else np.empty(0)
-
-    def run(batches):
-        for b in batches:
-            texts, out = b.column(2).to_pylist(), []
-            for _, docs in _runs(texts, CHUNK):
-                h = np.concatenate(docs)
-                size = np.array([len(d) for d in docs])
-                starts = np.concatenate([np.arange(x) for x in size])
-                cls, at = _classes(h, hot)
-                rows = history(h, starts, cls)
-                p = np.concatenate([np.log10(np.maximum(_softmax(weights[rows[s : s + CHUNK]].sum(1))[np.arange(len(cls[s : s + CHUNK])), cls[s : s + CHUNK]], 1e-30).astype(np.float64)) for s in range(0, len(h), CHUNK)])
-                known = at >= 0
-                low, model = np.zeros(len(h)), p
-                low[known] = base[at[known]]
-                model[known] += inside[at[known]]
-                cuts = np.cumsum(size)[:-1]
-                first = np.concatenate([[0], cuts])
-                sums = [np.add.reduceat(x, first) for x in (low, model, known.astype(np.int64))]
-                for i, (d, k) in enumerate(zip(docs, np.split(known, cuts))):
-                    rare, times = np.unique(d[~k], return_counts=True)
-                    out.append((len(d), int(sums[2][i]), float(sums[0][i]), float(sums[1][i]), rare, times))
-            cols = list(zip(*out)) if out else [()] * 6
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[4]])]).astype(np.int32))
-            cat = lambda x, kind: np.concatenate(x).astype(kind) if len(x) else np.empty(0, kind)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(as_long(cat(cols[4], np.uint64)))), pa.ListArray.from_arrays(offsets, pa.array(cat(cols[5], np.int64)))],
-                ["key", "doc_id", "n_tokens", "known", "base", "model", "rare", "times"],
-            )
+def _scored(bits: int, n: float, v: int, mass: np.ndarray, unseen: np.ndarray, held: int):
+    def run(docs, given):
+        docs = docs.sort_by("key")
+        h, starts, size = _tokens(docs["text"].to_pylist())
+        kind = given["kind"].to_numpy()
+        _, w, rows = _local(history(h, starts), bits, given.filter(pa.array(kind == FEATURE)))
+
+        def count_of(which: int, keys: np.ndarray) -> np.ndarray:
+            met = given.filter(pa.array(kind == which))
+            k, count = met["k"].to_numpy().view(np.uint64), met["n"].to_numpy().astype(np.float64)
+            if not len(k):
+                return np.zeros(len(keys))
+            order = np.argsort(k)
+            k, count = k[order], count[order]
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            return np.where(k[at] == keys, count[at], 0)
+
+        cls = class_of(h)
+        p, slot = np.empty(len(h)), np.empty(len(h))
+        for s in range(0, len(h), CHUNK):
+            all_ = _softmax(w[rows[s : s + CHUNK]].sum(1))
+            p[s : s + CHUNK] = all_[np.arange(len(all_)), cls[s : s + CHUNK]]
+            slot[s : s + CHUNK] = all_ @ unseen
+        count = count_of(WORD, h)
+        known = count > 0
+        base = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
+        inside = (1 - unseen[cls]) * count / np.maximum(mass[cls], 1)
+        model = np.log10(np.maximum(np.where(known, p * inside, slot), 1e-30))
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, model)]
+        return pa.table([docs["doc_id"], pa.array((docs["part"].to_numpy() == held)), pa.array(size.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
+def row_bits(features: int) -> int:
+    """log2 of the number of weight rows: a row at least for each distinct feature."""
+    return (max(features, LEAST_ROWS) - 1).bit_length()
+
+
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, rounds: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs(doc_id, text, ...).
 
     Learns from the documents whose crc32(doc_id) mod `folds` is not `held`. Null texts are empty and consist of the end
     token alone; a null doc_id counts as the empty text in the remainder; repeated rows are scored each; other columns are
     ignored; an empty table gives no rows, and without a training document every token is an unseen one."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts = docs.where(crc_mod(F.col("doc_id"), folds) != held).withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)))
-    counts = cut(texts.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    about = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(about["n"]), int(about["v"])
-    # the least count of a frequent word, from a histogram of counts in steps of a sixteenth of an octave
-    step = F.floor(F.log2("n") * 16)
-    sizes = counts.where("n > 1").groupBy(step.alias("s")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("s")).collect()
-    words, least_n = 0, 2**62
-    for r in sizes:
-        words += r["words"]
-        if words > HOT:
-            break
-        least_n = r["n"]
-    top = counts.where(F.col("n") >= least_n).toPandas()  # at most HOT rows
-    hot, count = np.ascontiguousarray(top["h"].to_numpy(np.int64)).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(hot)
-    hot, count = hot[order], count[order]
-    least = counts.where(F.col("n") < least_n)
-    spare = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("once")).first()
-    rare_n = max(int(spare["n"]), 1)
-    unseen = min((spare["once"] + 1) / (rare_n + 2), 0.9) if spare["n"] else 1.0
-    mass = np.bincount((hot & np.uint64(31)).astype(np.int64), weights=count, minlength=CLASSES).astype(np.float64)
-    weights = train(texts.select("text", "part"), hot, rounds)
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    scored = cut(keyed.mapInArrow(_scored(weights, hot, count, float(n), v, mass), "key long, doc_id long, n_tokens long, known long, base double, model double, rare array<long>, times array<long>"), "scored")
-    rows = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
-    met = rows.join(least, "h", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    base = F.log10((c + SMOOTH) / F.lit(n + SMOOTH * (v + 1)))
-    model = F.when(c > 0, F.log10(c * F.lit((1 - unseen) / rare_n))).otherwise(F.lit(float(np.log10(unseen))))
-    rare = met.groupBy("key").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_"), F.sum(base * F.col("times")).alias("base_"), F.sum(model * F.col("times")).alias("model_"))
-    out = scored.drop("rare", "times").join(rare, "key", "left")
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", (F.col("known") + zero("known_")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("base_")).alias("base_score"), (F.col("model") + zero("model_")).alias("score"))
+    docs = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    part = F.when(crc_mod(F.col("doc_id"), folds) == held, rounds).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))).cast("int")
+    blocks = cut(docs.select(part.alias("part"), "key", "doc_id", "text").mapInArrow(_blocked, "block long, part int, key long, doc_id long, text string"), "blocks")
+    asked = cut(blocks.select("block", "part", "text").mapInArrow(_asked, "block long, part int, kind int, k long, n long"), "asked")
+    learnt = asked.where(F.col("part") < rounds)
+    bits = row_bits(learnt.where(F.col("kind") == FEATURE).agg(F.approx_count_distinct("k", 0.02)).first()[0])
+    counts = cut(learnt.where(F.col("kind") != FEATURE).groupBy("kind", "k").agg(F.sum("n").alias("n")), "counts")
+    about = counts.where(F.col("kind") == WORD).groupBy(F.col("k").bitwiseAND(F.lit(31)).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()  # a row a class
+    n, v = sum(r["n"] for r in about), sum(r["v"] for r in about)
+    mass, unseen = np.zeros(CLASSES), np.ones(CLASSES)
+    for r in about:
+        mass[r["class"]], unseen[r["class"]] = r["n"], min((r["once"] + 1) / (r["n"] + 2), 0.9) if r["class"] != END_CLASS else 0.0
+    wanted = asked.where(F.col("kind") == FEATURE).select("block", "part", F.expr(f"shiftrightunsigned(k, {64 - bits})").alias("k"))
+    weights = train(blocks.select("block", "part", "key", "text"), wanted, bits, rounds)
+
+    rows = wanted.join(weights.select("k", "w"), "k").select("block", F.lit(FEATURE).alias("kind"), "k", "w", F.lit(0).cast("long").alias("n"))
+    words = asked.where(F.col("kind") != FEATURE).select("block", "kind", "k").join(counts, ["kind", "k"]).select("block", "kind", "k", F.lit(None).cast("binary").alias("w"), "n")
+    given = rows.unionByName(words)
+    out = blocks.groupBy("block").cogroup(apart(given).groupBy("block")).applyInArrow(_scored(bits, float(n), v, mass, unseen, rounds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -203,3 +203,18 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, toxic int, quality int")
     for out in (suffix.repeat_digests(d), minhash.near_duplicates(d), packing.pack_documents(d, WORD_BPE), mixing.mix_sources(d), lm.score_texts(d), toxicity.score_toxicity(d, labels), quality.score_quality(d, labels)):
         assert out.count() == 0
+
+
+def test_weight_rows_follow_the_features(spark):
+    """More distinct features, more rows: no two of 60,000 histories have to share a row with hundreds of others."""
+    assert lm.row_bits(0) == lm.row_bits(1 << 15) == 15 and lm.row_bits((1 << 15) + 1) == 16 and lm.row_bits(10**9) == 30
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(10**7)}" for _ in range(100))) for i in range(300)]
+    seen = {}
+    train = lm.train
+    try:
+        lm.train = lambda blocks, asked, bits, *a: seen.setdefault("weights", train(blocks, asked, bits, *a))
+        assert lm.score_texts(docs_of(spark, rows)).count() == 300
+    finally:
+        lm.train = train
+    assert seen["weights"].count() > 60_000
