@@ -218,3 +218,31 @@ def test_weight_rows_follow_the_features(spark):
     finally:
         lm.train = train
     assert seen["weights"].count() > 60_000
+
+
+def test_every_known_word_has_its_class(spark, monkeypatch):
+    """A bound on what is broadcast changes no score, and a known word is scored by its own class and count."""
+    rows = [(i, " ".join(f"{c}{i % n}" for c, n in zip("abcdefgh", (2, 3, 4, 5, 6, 7, 8, 9)))) for i in range(200)]
+    want = sorted(map(tuple, lm.score_texts(docs_of(spark, rows)).collect()))
+    monkeypatch.setattr(lm, "HOT", 3, raising=False)
+    assert [r[-1] for r in sorted(map(tuple, lm.score_texts(docs_of(spark, rows)).collect()))] == pytest.approx([r[-1] for r in want])
+
+
+def test_model_sums_to_one():
+    """Over all words and the slot of unseen ones, with equal chances of the classes."""
+    import pyarrow as pa
+
+    words, mass, once = {f"w{i}": 1 + i % 4 for i in range(40)} | {"": 50}, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    hashes = {w: lm.token_hashes(w)[0] for w in words}
+    for w, h in hashes.items():
+        mass[int(h) & 31] += words[w]
+        once[int(h) & 31] += words[w] == 1
+    unseen = np.where(mass > 0, np.minimum((once + 1) / (mass + 2), 0.9), 1)
+    unseen[lm.END_CLASS] = 0
+    n = len(words) + 1
+    texts = [*words, "new"]
+    docs = pa.table({"key": range(n), "part": [3] * n, "doc_id": range(n), "text": texts})
+    given = pa.table({"kind": pa.array([lm.WORD] * len(words), pa.int32()), "k": pa.array(np.array(list(hashes.values()), np.uint64).view(np.int64)), "w": pa.array([None] * len(words), pa.binary()), "n": list(words.values())})
+    got = dict(zip(texts, lm._scored(15, float(sum(words.values())), len(words), mass, unseen, 3)(docs, given)["score"].to_numpy()))
+    end = 10 ** got.pop("")
+    assert end == pytest.approx(1 / lm.CLASSES) and end + sum(10**x / end for x in got.values()) == pytest.approx(1)
