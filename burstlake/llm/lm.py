@@ -3,7 +3,8 @@
 P(w | history) = P(class | history) P(w | class). The class of a word, seen or not, follows from its first letters.
 P(class | history) is a softmax over sums of weight rows that the history's features select by hash: the word one back, the
 words two and three back with the others skipped, the last two words together, and the classes of the last three. Inside a
-class words go by their counts. A class keeps the share of its tokens that were seen once for words never seen; these shares
+class the word one back decides: its counts of the word and of the class, with the word's share of the class as a prior of
+PRIOR tokens. That factor is no softmax: words that were never seen after it back off to their share. A class keeps the share of its tokens that were seen once for words never seen; these shares
 of all classes together are one slot. The whole is normalised over the vocabulary and that slot.
 
 Documents stand in blocks of bounded size. Every block names the feature rows and the words that it holds; those alone are
@@ -30,7 +31,8 @@ LEAST_ROWS = 1 << 15  #: rows of hashed feature weights; more where there are mo
 BLOCK = 1 << 21  #: characters of a block of documents
 CHUNK = 4096  #: tokens of one numpy batch
 SMOOTH = 0.1
-FEATURE, WORD = 0, 1  #: kinds of keys that a block asks for
+PRIOR = 4.0
+FEATURE, WORD, PAIR, CLASS_AFTER = 0, 1, 2, 3  #: kinds of keys that a block asks for
 
 
 class WordIds(dict):
@@ -103,8 +105,12 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The keys of each kind."""
-    return [history(h, starts).reshape(-1), h]
+    """The keys of each kind: features, words, a word after the one before, and a class after the word before."""
+    back = np.zeros_like(h)
+    back[1:] = h[:-1]
+    back[starts == 0] = 0
+    back = mix(back + np.uint64(0xD1B54A32D192ED03))
+    return [history(h, starts).reshape(-1), h, mix(back + h), mix(back ^ (h & np.uint64(31)))]
 
 
 def _asked(batches):
@@ -229,10 +235,10 @@ def _scored(bits: int, n: float, v: int, mass: np.ndarray, unseen: np.ndarray, h
             all_ = _softmax(w[rows[s : s + CHUNK]].sum(1))
             p[s : s + CHUNK] = all_[np.arange(len(all_)), cls[s : s + CHUNK]]
             slot[s : s + CHUNK] = all_ @ unseen
-        count = count_of(WORD, h)
+        count, pair, after = (count_of(kind, keys) for kind, keys in enumerate(_keys(h, starts)) if kind != FEATURE)
         known = count > 0
         base = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
-        inside = (1 - unseen[cls]) * count / np.maximum(mass[cls], 1)
+        inside = (1 - unseen[cls]) * (pair + PRIOR * count / np.maximum(mass[cls], 1)) / (after + PRIOR)
         model = np.log10(np.maximum(np.where(known, p * inside, slot), 1e-30))
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, model)]

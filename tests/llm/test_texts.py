@@ -246,3 +246,32 @@ def test_model_sums_to_one():
     got = dict(zip(texts, lm._scored(15, float(sum(words.values())), len(words), mass, unseen, 3)(docs, given)["score"].to_numpy()))
     end = 10 ** got.pop("")
     assert end == pytest.approx(1 / lm.CLASSES) and end + sum(10**x / end for x in got.values()) == pytest.approx(1)
+
+
+def test_the_word_before_acts_inside_a_class(spark):
+    """abx and aby are equally frequent, of one class, and end texts; abx follows p, aby follows q."""
+    rows = [(i, "q aby" if i % 2 else "p abx") for i in range(400)]
+    held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    got = {r.doc_id: r.score for r in lm.score_texts(docs_of(spark, [*rows, *zip(held, ("p abx", "p aby", "q aby", "q abx"))])).collect()}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
+
+
+def test_words_after_a_word_sum_to_one():
+    """Inside a class, after a word: what it was followed by, and the rest of the class."""
+    import pyarrow as pa
+
+    words = [w for w in (f"w{i}" for i in range(40))]
+    h = np.array([lm.token_hashes(w)[0] for w in words])
+    mass = np.bincount(h.astype(np.int64) & 31, minlength=lm.CLASSES).astype(float)
+    unseen = np.where(mass > 0, 0.5, 1)
+    unseen[lm.END_CLASS], mass[lm.END_CLASS] = 0, 10
+    _, _, pair, after = lm._keys(np.array([h[0], h[3]]), np.array([0, 1]))
+    kinds = [lm.WORD] * 41 + [lm.PAIR, lm.CLASS_AFTER]
+    keys = np.array([*h, lm.END, pair[1], after[1]], np.uint64).view(np.int64)
+    given = pa.table({"kind": pa.array(kinds, pa.int32()), "k": keys, "w": pa.array([None] * 43, pa.binary()), "n": [1] * 40 + [10, 6, 6]})
+    texts = ["w0", *[f"w0 {w}" for w in words]]
+    docs = pa.table({"key": range(41), "part": [3] * 41, "doc_id": range(41), "text": texts})
+    got = lm._scored(15, 50.0, 41, mass, unseen, 3)(docs, given)["score"].to_numpy()
+    p = 10 ** (got[1:] - got[0])
+    same = (h & np.uint64(31)) == (h[3] & np.uint64(31))
+    assert p[same].sum() == pytest.approx(0.5 / lm.CLASSES) and p[3] == p[same].max() > 5 * np.median(p[same])
