@@ -4,6 +4,8 @@ Frames are dense grids. Keys are burst_id and frame_idx, and ch or level where t
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,10 +146,15 @@ def structure_tensor(grad: DataFrame) -> DataFrame:
     return g.groupBy(*keys(grad), (F.col("y") + F.col("o.i")).alias("y"), (F.col("x") + F.col("o.j")).alias("x")).agg(*[F.sum(k).alias(k) for k in ("xx", "xy", "yy")])
 
 
-def kernel_field(px: DataFrame, c: P.Config) -> DataFrame:
-    """xx, xy, yy: covariance of the merging kernel at each grey pixel."""
+def kernel_field(px: DataFrame, c: P.Config, tuned: DataFrame | None = None) -> DataFrame:
+    """xx, xy, yy: covariance of the merging kernel at each grey pixel.
+
+    tuned(burst_id, k_detail, k_denoise, D_th, D_tr): parameters of each burst in place of those of c."""
     grey = box_grey(px.withColumn("v", P.stabilise("v", c.alpha, c.beta)), c.bayer)
     t = structure_tensor(gradients(grey)).withColumn("e", P.eigen("xx", "xy", "yy"))
+    if tuned is not None:
+        names = ("k_detail", "k_denoise", "D_th", "D_tr")
+        t, c = t.join(tuned.select("burst_id", *names), "burst_id"), replace(c, **{n: F.col(n) for n in names})
     t = t.withColumn("k", P.kernel_strengths("e.l1", "e.l2", c))
     p, q = F.col("k.k1") * F.col("k.k1"), F.col("k.k2") * F.col("k.k2")
     e = lambda n: F.col(f"e.{n}")

@@ -192,9 +192,16 @@ def _lut(spark):
     return spark.range(1001).select(F.col("id").cast("int").alias("bin"), s.alias("sigma"), (s * 0.4).alias("diff"))
 
 
+def _noise_table(spark):
+    """The noise curves of the default noise, drawn once and stored."""
+    path = shared_path(spark, "noise")
+    robust.noise_curves(spark, P.Config().alpha, P.Config().beta).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def i5_robustness(spark, sf):
     px, c = _sc(spark, sf), ISO
-    return _sixed(robust.robustness(px, robust.reference_stats(px, c), _flow(spark, sf).drop("cost"), _lut(spark), 8, c), "v")
+    return _sixed(robust.robustness(px, robust.reference_stats(px, c), _flow(spark, sf).drop("cost"), _noise_table(spark), 8, c), "v")
 
 
 def i7_merge_reference(spark, sf):
@@ -212,12 +219,11 @@ def i9_merge_all(spark, sf):
 
 
 def i11_super_resolve(spark, sf):
-    """The whole path with steerable kernels, robustness and the accumulated denoiser, as 16-bit rows."""
-    c = P.Config(tile_sizes=(8, 8, 8, 8), denoise_accumulated=True)
+    """The whole path: grey low-pass, alignment over four levels with refinement, noise curves, parameters tuned to each
+    burst's signal-to-noise ratio, steerable kernels, robustness and the accumulated denoiser, as 16-bit rows."""
+    c = P.Config(denoise_accumulated=True)
     stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
-    px = stage(_sc(spark, sf), "raw")
-    flow = stage(match.block_match(px.where("frame_idx = 0"), px.where("frame_idx > 0"), _zero_flow(px, 8), 8, 2), "flow").drop("cost")
-    return super_resolve.process_to_rows(px, c, _lut(spark), flow=flow, materialise=stage)[0]
+    return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _noise_table(spark), by_snr=True, materialise=stage)[0]
 
 
 def _linear(spark, sf):

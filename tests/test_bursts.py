@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burstlake.functions import photometry as P
 from burstlake.operators import crop, gather, match, merge, robust, stencil
-from burstlake.plans import registry
+from burstlake.plans import registry, super_resolve
 from burstlake.sources import rasters
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +121,19 @@ def test_planes_round_trip(spark):
     planes = rasters.pack_planes(px)
     assert planes.first().data == [1, 2, 3, 4, 5, 6]
     assert sorted(map(tuple, rasters.unpack_planes(planes).collect())) == sorted(map(tuple, px.collect()))
+
+
+def test_whole_path_aligns_and_tunes_each_burst(spark, monkeypatch):
+    """A bright burst and a dim one: each gets its tile size and kernels; the flow comes from align, the noise from the curves."""
+    wave = lambda level, d: [[level * (1 + 0.5 * math.sin((x + d) * 0.3) * math.cos(y * 0.35)) for x in range(16)] for y in range(16)]
+    px = frame(spark, wave(0.5, 0)).unionByName(frame(spark, wave(0.5, 0.4), idx=1)).unionByName(frame(spark, wave(0.01, 0), burst=2)).unionByName(frame(spark, wave(0.01, 0.4), burst=2, idx=1))
+    seen = []
+    acc = "burst_id long, Y int, X int, ch int, num double, den double"
+    monkeypatch.setattr(super_resolve, "merged", lambda px, c, lut, **how: seen.append((c.tile_sizes, how["tuned"].first(), how.get("flow"), lut)) or spark.createDataFrame([], acc))
+    monkeypatch.setattr(registry, "_sc", lambda spark, sf: px)
+    registry.i11_super_resolve(spark, "")
+    dim, bright = sorted(seen, key=lambda s: -s[0][0])
+    assert dim[0] == (64, 64, 64, 32) and bright[0] == (16, 16, 16, 8) and dim[2] is bright[2] is None
+    assert dim[1].k_denoise > bright[1].k_denoise == pytest.approx(3.0) and bright[3].where("bin = 500").first().diff != registry._lut(spark).where("bin = 500").first().diff
+    a, b = (stencil.kernel_field(px.where("burst_id = 2 and frame_idx = 0"), P.Config(), t).agg(F.avg("xx")).first()[0] for t in (None, super_resolve.snr_table(px, P.Config())))
+    assert a != b
