@@ -1,5 +1,8 @@
 """Removal of long repeated substrings by prefix-free parsing, exact over the whole corpus.
 
+A text is a string of units: its UTF-8 bytes, or its words, each by four bytes of its hash. Words serve for passages that are
+counted in words, whatever blanks stand between them and however long the words are.
+
 Triggers of a rolling hash cut every text into phrases. A trigger is a position whose 16-byte rolling hash is smallest in
 some stretch of `reach` positions, so phrases depend on content alone, have bounded length, and equal windows of `length`
 bytes have their first trigger at the same place. Each phrase owns the windows whose first trigger is its own. Three steps
@@ -17,6 +20,7 @@ decide which of these windows occur again:
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, mix, text_or_empty
+from .common import NULL_ID, cut, fresh, hash_words, mix, text_or_empty, words_of
 
 GRAM = 16
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
+WORD = 4  #: bytes of a word in the string of a text's words
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def in_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def in_words(text: str) -> bytes:
+    """WORD bytes for each word, lower-cased A-Z."""
+    return hash_words(words_of(text)).astype("<u4").tobytes()
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
@@ -67,7 +82,14 @@ def phrases(data: bytes, length: int, reach: int) -> tuple[np.ndarray, np.ndarra
     return anchor[first], first, np.concatenate([first[1:] - 1, [starts - 1]])
 
 
-def _parse(length: int, reach: int):
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigger, first and last window start of phrases from the long that holds them."""
+    a = at >> 16
+    lo = a - (at >> 8 & 255)
+    return a, lo, lo + (at & 255)
+
+
+def _parse(length: int, reach: int, encode):
     core = length - reach + 1
 
     def run(batches):
@@ -76,40 +98,37 @@ def _parse(length: int, reach: int):
                 part, rows = b.slice(i, 64), []
                 cores, fulls = [], []
                 for k, t in enumerate(part.column(2).to_pylist()):
-                    data = t.encode("utf-8", "surrogatepass")
+                    data = encode(t)
                     a, lo, hi = phrases(data, length, reach)
                     if len(a):
                         view = memoryview(data)
-                        rows.append((np.full(len(a), k), a, lo, hi))
+                        rows.append((np.full(len(a), k), a << 16 | (a - lo) << 8 | hi - lo))
                         cores += [xxhash.xxh3_64_intdigest(view[x : x + core]) for x in a.tolist()]
-                        fulls += [xxhash.xxh3_128_digest(view[x : y + length]) + bytes((z - x, y - x)) for x, y, z in zip(lo.tolist(), hi.tolist(), a.tolist())]
+                        fulls += [xxhash.xxh3_64_intdigest(view[x : y + length], z - x << 8 | y - x) for x, y, z in zip(lo.tolist(), hi.tolist(), a.tolist())]
                 if rows:
-                    k, a, lo, hi = map(np.concatenate, zip(*rows))
+                    k, at = map(np.concatenate, zip(*rows))
                     k = pa.array(k)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(k), part.column(1).take(k), pa.array(a.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(fulls, pa.binary())],
-                        ["id", "fp", "a", "lo", "hi", "core", "full"],
-                    )
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(k), part.column(1).take(k), pa.array(at), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cores, fulls))], ["id", "fp", "at", "core", "full"])
 
     return run
 
 
-def _surroundings(length: int):
-    """(id, fp, text, asked: array of (core, a, lo, hi, n)) -> each phrase with its left part and its continuation."""
+def _surroundings(length: int, encode):
+    """(id, fp, text, asked: array of (core, at, n)) -> each phrase with its left part and its continuation."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                data = b.column(2)[i].as_py().encode("utf-8", "surrogatepass")
+                data = encode(b.column(2)[i].as_py())
                 asked = b.column(3)[i].values
-                core, a, lo, hi, n = (asked.field(k) for k in ("core", "a", "lo", "hi", "n"))
-                spans = list(zip(a.to_pylist(), lo.to_pylist(), hi.to_pylist()))
+                core, at, n = (asked.field(k) for k in ("core", "at", "n"))
+                spans = list(zip(*(x.tolist() for x in _places(at.to_numpy()))))
                 for s in range(0, len(spans), 2000):
                     some = spans[s : s + 2000]
                     m = len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(b.column(0)[i], m), pa.repeat(b.column(1)[i], m), core.slice(s, m), a.slice(s, m), lo.slice(s, m), hi.slice(s, m), n.slice(s, m), pa.array([data[x:z] for z, x, y in some], pa.binary()), pa.array([data[z : y + length] for z, x, y in some], pa.binary())],
-                        ["id", "fp", "core", "a", "lo", "hi", "n", "left", "right"],
+                        [pa.repeat(b.column(0)[i], m), pa.repeat(b.column(1)[i], m), core.slice(s, m), at.slice(s, m), n.slice(s, m), pa.array([data[x:z] for z, x, y in some], pa.binary()), pa.array([data[z : y + length] for z, x, y in some], pa.binary())],
+                        ["id", "fp", "core", "at", "n", "left", "right"],
                     )
 
     return run
@@ -164,7 +183,8 @@ def _borders(length: int, most: int = 20_000):
     """Rows sorted by core, all rows of a core in one partition; works on whole cores, about `most` rows at a time."""
 
     def solve(t: pa.Table):
-        core, a, lo, hi = (t.column(k).to_numpy() for k in ("core", "a", "lo", "hi"))
+        core = t.column("core").to_numpy()
+        a, lo, hi = _places(t.column("at").to_numpy())
         again = corpus_order(core, a - hi, a - lo, t.column("left").to_pylist(), t.column("right").to_pylist(), length)
         again &= (t.column("n").to_numpy() == 1)[:, None]
         r, x0, x1 = _runs(again)
@@ -198,7 +218,8 @@ def _windows(length: int):
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 k, start, digest = [], [], []
-                for i, (a, lo, hi, left, right) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "lo", "hi", "left", "right")))):
+                places = (x.tolist() for x in _places(part.column("at").to_numpy()))
+                for i, (_, lo, hi, left, right) in enumerate(zip(*places, *(part.column(c).to_pylist() for c in ("left", "right")))):
                     data = memoryview(left + right)
                     for w in range(hi - lo + 1):
                         digest.append(xxhash.xxh3_128_digest(data[w : w + length]))
@@ -210,23 +231,25 @@ def _windows(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096) -> DataFrame:
-    """(id, fp, spans): byte spans [start, end) covered by a `length`-byte string that starts anywhere else as well.
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096, encode=in_bytes) -> DataFrame:
+    """(id, fp, spans): spans [start, end) of the encoded text covered by `length` of its bytes that start anywhere else as well.
 
-    docs has id, fp (hash of the text) and text; rows equal in id and fp are the same text twice, and so repeats."""
-    reach = min(length - GRAM, 224)
-    parsed = cut(docs.select("id", "fp", "text").mapInArrow(_parse(length, reach), "id long, fp long, a int, lo int, hi int, core long, full binary"), "parse")
+    docs has id, fp (hash of the text) and text; rows equal in id and fp are the same text twice, and so repeats. A phrase is
+    named by two hashes of 64 bits, of its core and of all that it covers; both must agree."""
+    reach = min(length // 2, 224)
+    parsed = cut(docs.select("id", "fp", "text").mapInArrow(_parse(length, reach, encode), "id long, fp long, at long, core long, full long"), "parse")
     # what is joined below is written first: both sides of a join are then plain exchanges, and a crowded core can be split
     common = cut(parsed.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1").select("core"), "common")
     twice = cut(parsed.join(common, "core"), "dictionary")
-    classes = cut(twice.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "a", "lo", "hi")).alias("at")), "classes")
+    classes = cut(twice.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "at")).alias("first")), "classes")
     settled = twice.join(classes.where("n > 1").select("core", "full"), ["core", "full"])
-    settled = settled.select("id", "fp", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    lo = F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)")
+    settled = settled.select("id", "fp", lo.cast("int").alias("start"), (lo + F.expr("at & 255") + length).cast("int").alias("end"))
 
     open_ = cut(classes.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("least = 1 and m > 1").select("core", "m"), "open")
-    asked = cut(classes.select("core", "n", "at.*").join(open_, "core"), "borders")
-    lists = asked.groupBy("id", "fp").agg(F.collect_list(F.struct("core", "a", "lo", "hi", "n")).alias("asked"))
-    around = docs.select("id", "fp", "text").join(lists, ["id", "fp"]).mapInArrow(_surroundings(length), "id long, fp long, core long, a int, lo int, hi int, n long, left binary, right binary")
+    asked = cut(classes.select("core", "n", "first.*").join(open_, "core"), "borders")
+    lists = asked.groupBy("id", "fp").agg(F.collect_list(F.struct("core", "at", "n")).alias("asked"))
+    around = docs.select("id", "fp", "text").join(lists, ["id", "fp"]).mapInArrow(_surroundings(length, encode), "id long, fp long, core long, at long, n long, left binary, right binary")
     around = cut(around.join(open_, "core"), "around")
     usual = around.where(F.col("m") <= crowd).repartition("core").sortWithinPartitions("core")
     border = usual.mapInArrow(_borders(length), "id long, fp long, start int, end int")
@@ -257,64 +280,99 @@ def _pairs(cell) -> list[tuple[int, int]]:
     return merged(zip(cell.values.field("start").to_pylist(), cell.values.field("end").to_pylist()))
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty(text)).alias("fp"), text_or_empty(text).alias("text"))
+def _whole_words(spans, words: int) -> list[tuple[int, int]]:
+    """Runs [first, last) of at least `words` whole words in spans of a string of words."""
+    runs = ((-(-s // WORD), e // WORD) for s, e in spans)
+    return [(s, e) for s, e in runs if e - s >= words]
 
 
-def _digests(batches):
-    for b in batches:
-        rows = []
-        for t, cell in zip(b.column(1).to_pylist(), b.column(2)):
-            data, spans, at, kept = t.encode("utf-8", "surrogatepass"), _pairs(cell), 0, hashlib.sha256()
-            for s, e in spans:
-                kept.update(data[at:s])
-                at = e
-            kept.update(data[at:])
-            rows.append((len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
-        n, r, s, h = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty()).alias("fp"), text_or_empty().alias("text"))
 
 
-def repeat_digests(docs: DataFrame, length: int = 400, crowd: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs(doc_id, text, ...).
+def _digests(words: int):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t, cell, passages in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+                data, spans, at, kept = in_bytes(t), _pairs(cell), 0, hashlib.sha256()
+                for s, e in spans:
+                    kept.update(data[at:s])
+                    at = e
+                kept.update(data[at:])
+                rows.append((len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), sum(e - s for s, e in _whole_words(_pairs(passages), words))))
+            n, r, s, h, w = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(w, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
+
+    return run
+
+
+def repeat_digests(docs: DataFrame, length: int = 400, words: int = 50, crowd: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words: one row per row of docs(doc_id, text, ...).
 
     Each byte covered by a `length`-byte string that starts anywhere else in the corpus, same text included, counts as
-    removed. Null texts are empty; texts shorter than `length` lose nothing; rows that repeat a doc_id and its text are two
-    texts that repeat each other; null ids stay null; other columns are ignored; an empty table gives no rows."""
-    keyed = _keyed(docs, "text")
-    met = keyed.join(repeated_spans(keyed, length, crowd), ["id", "fp"], "left")
-    return met.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _cleared(batches):
-    for b in batches:
-        kept = []
-        for t, cell in zip(b.column("text").to_pylist(), b.column("__spans")):
-            spans = _pairs(cell)
-            if not spans or t is None:
-                kept.append(t)
-                continue
-            data, at, out = t.encode("utf-8", "surrogatepass"), 0, []
-            for s, e in spans:
-                while s < e and data[s] & 0xC0 == 0x80:  # only whole characters go
-                    s += 1
-                while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
-                    e -= 1
-                out.append(data[at:s])
-                at = max(at, e)
-            out.append(data[at:])
-            kept.append(b"".join(out).decode("utf-8", "surrogatepass"))
-        i = b.schema.get_field_index("text")
-        yield b.set_column(i, "text", pa.array(kept, pa.string())).drop_columns(["__spans"])
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 4096) -> DataFrame:
-    """docs with every repeated byte taken out of text (whole characters only); n_chars follows where that column exists.
-
-    Rows and other columns stay as they are, null texts stay null. A text of nothing but repeats becomes empty."""
+    removed. n_passage_words: the words covered by runs of `words` words that start anywhere else, which finds passages that
+    are shorter than `length` bytes or differ in their blanks; nothing is removed for it. Null texts are empty; texts shorter
+    than `length` lose nothing; rows that repeat a doc_id and its text are two texts that repeat each other; null ids stay
+    null; other columns are ignored; an empty table gives no rows."""
+    keyed = _keyed(docs)
+    removed, passages = repeated_spans(keyed, length, crowd), repeated_spans(keyed, WORD * words, crowd, in_words)
+    found = removed.join(passages.withColumnRenamed("spans", "passages"), ["id", "fp"], "full")
+    met = keyed.join(found, ["id", "fp"], "left").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", "spans", "passages")
+    return met.mapInArrow(_digests(words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
+
+
+def _characters(data: bytes, spans) -> list[tuple[int, int]]:
+    """Byte spans shrunk to whole characters."""
+    out = []
+    for s, e in spans:
+        while s < e and data[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append((s, e))
+    return out
+
+
+def _places_of_words(data: bytes, runs) -> list[tuple[int, int]]:
+    """Byte spans of runs of words, from the first byte of the first to the last of the last."""
+    at = [m.span() for m in _WORDS.finditer(data)]
+    return [(at[s][0], at[e - 1][1]) for s, e in runs]
+
+
+def _cleared(words: int | None, text: str, spans: str):
+    def run(batches):
+        for b in batches:
+            kept = []
+            for t, cell in zip(b.column(text).to_pylist(), b.column(spans)):
+                found = _pairs(cell)
+                if words and found:
+                    found = _whole_words(found, words)
+                if not found or t is None:
+                    kept.append(t)
+                    continue
+                data, at, out = in_bytes(t), 0, []
+                for s, e in _places_of_words(data, found) if words else _characters(data, found):
+                    out.append(data[at:s])
+                    at = max(at, e)
+                out.append(data[at:])
+                kept.append(b"".join(out).decode("utf-8", "surrogatepass"))
+            yield b.set_column(b.schema.get_field_index(text), text, pa.array(kept, pa.string())).drop_columns([spans])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None, crowd: int = 4096) -> DataFrame:
+    """docs with every repeat taken out of text; n_chars follows where that column exists.
+
+    A repeat is a string of `length` bytes (whole characters of it go), or where `words` is given a run of so many words
+    (blanks around it stay), that starts anywhere else as well, same text included; all places of it are cleared. Rows and
+    other columns stay as they are, null texts stay null. A text of nothing but repeats becomes empty. Rows that repeat a
+    doc_id and its text repeat each other."""
     columns = docs.columns
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__fp": F.xxhash64(text_or_empty())})
-    spans = repeated_spans(_keyed(docs, "text"), length, crowd).withColumnsRenamed({"id": "__id", "fp": "__fp", "spans": "__spans"})
-    met = keyed.join(spans, ["__id", "__fp"], "left").select(*columns, "__spans")
-    out = met.mapInArrow(_cleared, docs.schema)
+    id_, fp, spans_ = (fresh(columns, x) for x in ("id", "fp", "spans"))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), fp: F.xxhash64(text_or_empty())})
+    spans = repeated_spans(_keyed(docs), WORD * words, crowd, in_words) if words else repeated_spans(_keyed(docs), length, crowd)
+    met = keyed.join(spans.withColumnsRenamed({"id": id_, "fp": fp, "spans": spans_}), [id_, fp], "left").select(*columns, spans_)
+    out = met.mapInArrow(_cleared(words, "text", spans_), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -40,18 +40,37 @@ def rows():
 def test_suffix_against_brute_force(spark, rows):
     length, data = 400, [(t or "").encode() for _, t in rows]
     count = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))
+    runs = Counter(tuple(w[k : k + 50]) for w in (b.lower().split() for b in data) for k in range(len(w) - 49))
     want = []
     for (i, _), b in zip(rows, data):
+        words = b.lower().split()
+        shared = {j for k in range(len(words) - 49) if runs[tuple(words[k : k + 50])] > 1 for j in range(k, k + 50)}
         cover = np.zeros(len(b) + 1, bool)
         for k in range(len(b) - length + 1):
             if count[b[k : k + length]] > 1:
                 cover[k : k + length] = True
         kept = bytes(x for x, c in zip(b, cover) if not c)
-        want.append((i, len(b), int(cover.sum()), int((np.diff(cover.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        want.append((i, len(b), int(cover.sum()), int((np.diff(cover.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), len(shared)))
     for crowd in (4096, 1):  # by suffix order, and window by window
         got = suffix.repeat_digests(docs_of(spark, rows), crowd=crowd).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert any(w[2] for w in want)
+    assert any(w[2] for w in want) and any(w[5] for w in want)
+
+
+def test_passages_of_55_words_go_and_clean_texts_stay(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("abcde") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passage = text(55)
+    own = [text(120) for _ in range(6)]
+    planted = {1: f"{own[0]} {passage} {own[1]}", 2: f"{passage}\n{own[2]}", 3: f"{own[3]} {passage.upper()}"}
+    clean = {4: own[4], 5: f"{own[5]} {' '.join(passage.split()[:49])}", 6: "", 7: None}
+    d = docs_of(spark, [*planted.items(), *clean.items()]).withColumns({"id": F.lit(1), "_id": F.lit(2), "fp": F.lit("x"), "Spans": F.lit(0)})
+    out = suffix.remove_repeats(d, words=50)
+    assert out.columns == d.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(passage not in got[i].text.lower() for i in planted)
+    assert [got[i].text.split() for i in (1, 2, 3)] == [own[0].split() + own[1].split(), own[2].split(), own[3].split()]
+    assert {i: got[i].text for i in clean} == clean and {(r.id, r._id, r.fp, r.Spans) for r in got.values()} == {(1, 2, "x", 0)}
 
 
 def test_suffix_stage_keeps_columns_and_characters(spark, rows):
