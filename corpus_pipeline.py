@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 that occur anywhere else as well."""
-    return suffix.remove_repeats(docs)
+    """Texts without the runs of 50 words that occur anywhere else as well."""
+    return suffix.remove_repeats(docs, words=50)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
