@@ -224,47 +224,77 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
-def test_weight_rows_follow_the_features(spark):
-    """More distinct features, more rows: no two of 60,000 histories have to share a row with hundreds of others."""
-    assert lm.row_bits(0) == lm.row_bits(1 << 15) == 15 and lm.row_bits((1 << 15) + 1) == 16 and lm.row_bits(10**9) == 30
-    r = random.Random(3)
-    rows = [(i, " ".join(f"w{r.randrange(10**7)}" for _ in range(100))) for i in range(300)]
-    seen = {}
-    train = lm.train
-    try:
-        lm.train = lambda blocks, asked, bits, *a: seen.setdefault("weights", train(blocks, asked, bits, *a))
-        assert lm.score_texts(docs_of(spark, rows)).count() == 300
-    finally:
-        lm.train = train
-    assert seen["weights"].count() > 60_000
-
-
-def test_every_known_word_has_its_class(spark, monkeypatch):
-    """A bound on what is broadcast changes no score, and a known word is scored by its own class and count."""
-    rows = [(i, " ".join(f"{c}{i % n}" for c, n in zip("abcdefgh", (2, 3, 4, 5, 6, 7, 8, 9)))) for i in range(200)]
-    want = sorted(map(tuple, lm.score_texts(docs_of(spark, rows)).collect()))
-    monkeypatch.setattr(lm, "HOT", 3, raising=False)
-    assert [r[-1] for r in sorted(map(tuple, lm.score_texts(docs_of(spark, rows)).collect()))] == pytest.approx([r[-1] for r in want])
-
-
-def test_model_sums_to_one():
-    """Over all words and the slot of unseen ones, with equal chances of the classes."""
+def test_weight_rows_grow_with_the_corpus():
+    assert lm.row_bits(0) == 15 and [lm.row_bits(6 * 4**k) for k in (14, 16, 20, 30)] == [16, 18, 22, 32]
+
+
+def small_tree(monkeypatch, r):
+    monkeypatch.setattr(lm, "SHARED", 8)
+    words = np.unique(r.integers(1, 2**63, 60).astype(np.uint64))
+    return words, lm.grow_tree(words[:40], r.integers(1, 500, 40), np.array([0, 7, 3, 0, 1, 90, 2, 4]))
+
+
+def test_leaves_sum_to_one_after_any_history(monkeypatch):
+    """Whatever the weights are; leaves without tokens get nothing."""
+    r = np.random.default_rng(1)
+    _, tree = small_tree(monkeypatch, r)
+    w, leaves = r.normal(size=(1 << 15, lm.FAN)).astype(np.float32), np.arange(48)
+    for _ in range(5):
+        features = np.repeat(r.integers(0, 2**63, (lm.FEATURES, 1)).astype(np.uint64), 48, axis=1)
+        p = 10 ** lm.log_shares(tree, w, 15, leaves, features)
+        assert p.sum() == pytest.approx(1, abs=1e-5) and p[40] + p[43] < 1e-20
+    none = 10 ** lm.log_shares(tree, 0 * w, 15, leaves, features)
+    weight = np.concatenate([tree.counts, tree.mass])
+    assert none == pytest.approx(weight / weight.sum(), abs=1e-6)
+
+
+def test_scores_against_plain_sums(monkeypatch):
+    """Two documents: words with leaves of their own, shared ones and unseen ones, against a loop over tokens and classes."""
+    import math
+
     import pyarrow as pa
 
-    words, mass, once = {f"w{i}": 1 + i % 4 for i in range(40)} | {"": 50}, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
-    hashes = {w: lm.token_hashes(w)[0] for w in words}
-    for w, h in hashes.items():
-        mass[int(h) & 31] += words[w]
-        once[int(h) & 31] += words[w] == 1
-    unseen = np.where(mass > 0, np.minimum((once + 1) / (mass + 2), 0.9), 1)
-    unseen[lm.END_CLASS] = 0
-    n = len(words) + 1
-    texts = [*words, "new"]
-    docs = pa.table({"key": range(n), "part": [3] * n, "doc_id": range(n), "text": texts})
-    given = pa.table({"kind": pa.array([lm.WORD] * len(words), pa.int32()), "k": pa.array(np.array(list(hashes.values()), np.uint64).view(np.int64)), "w": pa.array([None] * len(words), pa.binary()), "n": list(words.values())})
-    got = dict(zip(texts, lm._scored(15, float(sum(words.values())), len(words), mass, unseen, 3)(docs, given)["score"].to_numpy()))
-    end = 10 ** got.pop("")
-    assert end == pytest.approx(1 / lm.CLASSES) and end + sum(10**x / end for x in got.values()) == pytest.approx(1)
+    r = np.random.default_rng(2)
+    words, tree = small_tree(monkeypatch, r)
+    w, docs, n, v, unseen = r.normal(size=(1 << 15, lm.FAN)).astype(np.float16).astype(np.float32), [words[[1, 45, 3, 59, 1]], words[[50, 2]]], 900.0, 50, 0.1
+    rest = {int(k): 2 for k in words[40:55] if tree.mass[int(k) >> 20 & 7]}
+    k, places = np.unique(np.concatenate(docs), return_inverse=True)
+    block = pa.table({"part": [3], "docs": [lm._piece([7, None], [5, 2], places)], "words": [k.tobytes()]})
+    pages = lm._pages(w, np.zeros(len(w), np.float32))
+    given = pa.table({"page": [*pages["page"].to_pylist(), *[None] * len(rest)], "w": [*pages["w"].to_pylist(), *[None] * len(rest)], "k": [*[None] * len(pages), *(x - (x >> 63 << 64) for x in rest)], "n": [*[None] * len(pages), *rest.values()]})
+    got = lm._scored(tree, 15, n, v, unseen, 3)(block, given).to_pylist()
+    for row, h in zip(got, docs):
+        base = score = known = 0.0
+        features = lm.history(h, np.arange(len(h)))
+        for i, x in enumerate(h):
+            own = list(words[:40]).index(x) if x in words[:40] else None
+            c = tree.counts[own] if own is not None else rest.get(int(x), 0)
+            leaf = own if own is not None else 40 + (int(x) >> 20 & 7)
+            known, base = known + (c > 0), base + math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+            p = 1.0
+            for d in range(tree.depth[leaf]):
+                node = tree.path[leaf, d]
+                z = tree.shares[node].astype(float)
+                for f in features[:, i]:
+                    z = z + w[((int(f) ^ int(tree.keys[node])) * 0xD6E8FEB86659FD93 % 2**64) >> 49]
+                p *= math.exp(z[tree.branch[leaf, d]]) / np.exp(z).sum()
+            score += math.log10(unseen if not c else (1 - unseen) * p * (1 if own is not None else c / tree.mass[leaf - 40]))
+        assert (row["n_tokens"], row["n_known"], row["held_out"]) == (len(h), known, True)
+        assert row["base_score"] == pytest.approx(base) and row["score"] == pytest.approx(score, rel=1e-4)
+    assert [row["doc_id"] for row in got] == [7, None]
+
+
+def test_more_blocks_than_one_and_no_training_document(spark, rows, monkeypatch):
+    """Small blocks change neither counts nor base scores; where nothing is learnt from, every token is an unseen one."""
+    want = {r.doc_id: r[1:6] for r in lm.score_texts(docs_of(spark, rows)).collect()}
+    blocked = lm._blocked
+    monkeypatch.setattr(lm, "_blocked", lambda rounds, most: blocked(rounds, 400))
+    got = lm.score_texts(docs_of(spark, rows)).collect()
+    assert {r.doc_id: tuple(r[1:5]) for r in got} == {i: tuple(x[:4]) for i, x in want.items()} and len(got) == len(rows)
+    assert all(r.base_score == pytest.approx(want[r.doc_id][4]) for r in got)
+    alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    (r,) = lm.score_texts(docs_of(spark, [(alone, "a b")])).collect()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0)
 
 
 def test_the_word_before_acts_inside_a_class(spark):
@@ -273,24 +303,3 @@ def test_the_word_before_acts_inside_a_class(spark):
     held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
     got = {r.doc_id: r.score for r in lm.score_texts(docs_of(spark, [*rows, *zip(held, ("p abx", "p aby", "q aby", "q abx"))])).collect()}
     assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
-
-
-def test_words_after_a_word_sum_to_one():
-    """Inside a class, after a word: what it was followed by, and the rest of the class."""
-    import pyarrow as pa
-
-    words = [w for w in (f"w{i}" for i in range(40))]
-    h = np.array([lm.token_hashes(w)[0] for w in words])
-    mass = np.bincount(h.astype(np.int64) & 31, minlength=lm.CLASSES).astype(float)
-    unseen = np.where(mass > 0, 0.5, 1)
-    unseen[lm.END_CLASS], mass[lm.END_CLASS] = 0, 10
-    _, _, pair, after = lm._keys(np.array([h[0], h[3]]), np.array([0, 1]))
-    kinds = [lm.WORD] * 41 + [lm.PAIR, lm.CLASS_AFTER]
-    keys = np.array([*h, lm.END, pair[1], after[1]], np.uint64).view(np.int64)
-    given = pa.table({"kind": pa.array(kinds, pa.int32()), "k": keys, "w": pa.array([None] * 43, pa.binary()), "n": [1] * 40 + [10, 6, 6]})
-    texts = ["w0", *[f"w0 {w}" for w in words]]
-    docs = pa.table({"key": range(41), "part": [3] * 41, "doc_id": range(41), "text": texts})
-    got = lm._scored(15, 50.0, 41, mass, unseen, 3)(docs, given)["score"].to_numpy()
-    p = 10 ** (got[1:] - got[0])
-    same = (h & np.uint64(31)) == (h[3] & np.uint64(31))
-    assert p[same].sum() == pytest.approx(0.5 / lm.CLASSES) and p[3] == p[same].max() > 5 * np.median(p[same])
