@@ -16,8 +16,10 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a new one where it is unset and all is one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
