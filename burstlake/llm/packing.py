@@ -161,7 +161,9 @@ def _packed(most: int, turn: int):
 def pack(pieces: DataFrame, most: int = 2048, group: int = 4096, turns: int = 12) -> DataFrame:
     """pieces(doc_id, piece, start, length, ids_crc32) with sequence_id and offset: each sequence is gapless from 0.
 
-    Lengths are between 1 and `most`. Rows that repeat are packed as rows of their own; no rows give no sequences."""
+    Lengths are between 1 and `most`. Rows that repeat are packed as rows of their own, in as many groups as any others; no
+    rows give no sequences. pieces is a written table: each turn reads it again. After `turns` exchanges what is still open
+    stays as it is packed, even where no bound certifies it."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, given boolean, opens boolean"
     open_, done, before = pieces, None, None
@@ -170,7 +172,7 @@ def pack(pieces: DataFrame, most: int = 2048, group: int = 4096, turns: int = 12
         if not n:
             break
         groups = -(-n // group)
-        grp = F.pmod(F.xxhash64(*columns, F.lit(turn)), F.lit(groups))
+        grp = F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups))
         made = cut(open_.select(*columns).withColumn("grp", grp).groupBy("grp").applyInArrow(_packed(most, turn), shape), "packed")
         now = made.agg(F.count_if("opens").alias("all"), F.count_if(F.col("opens") & F.col("given")).alias("given")).first()
         if before is not None and now["all"] >= before:
@@ -194,7 +196,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end: int =
 
 
 def sequences(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 0) -> DataFrame:
-    """sequence_id, ids: the packed sequences themselves."""
+    """sequence_id, ids: the packed sequences themselves, without ids of documents; null texts are empty.
+
+    Rows are told apart by doc_id and text together, so null and repeated ids are packed like all others."""
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     pieces = cut(token_pieces(docs, tokenizer, most, end, with_ids=True), "pieces")
     placed = pack(pieces, most).join(pieces.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
