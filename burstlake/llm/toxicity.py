@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import fit_logistic, known_labels, labelled_sample, logistic
-from .common import as_long, crc_mod, cut, words_of
+from .common import as_long, crc_mod, cut, fresh, text_or_empty, words_of
 from .minhash import shingle_set
 
 PREFIXES = (4, 5, 6)
 MARKS = b".,;:!?\"'()[]{}<>*#|"
 DRIFT = 0.3  #: taken from every token, so that a text without toxic words has a falling score
 CERTAIN = 3.0  #: a weight of fewer standard errors does not count
+RAREST = 1 << 19  #: a feature makes up at least one in so many toxic tokens, so there are no more than this of each view
 
 
 def views(word: bytes) -> list[int]:
@@ -40,10 +41,10 @@ def views(word: bytes) -> list[int]:
 
 
 def _keyed(batches):
-    """(doc_id, text) -> the smallest hash of the text's word 3-shingles: near copies share it, other texts do not."""
+    """(text, y) with copies, the smallest hash of the text's word 3-shingles: near copies share it, other texts do not."""
     for b in batches:
-        sets = (shingle_set(t, 3) for t in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(x[0]) - (1 << 63) if len(x) else None for x in sets], pa.int64())], ["doc_id", "copies"])
+        sets = (shingle_set(t, 3) for t in b.column(0).to_pylist())
+        yield b.append_column("copies", pa.array([int(x[0]) - (1 << 63) if len(x) else None for x in sets], pa.int64()))
 
 
 def _counted(batches):
@@ -72,38 +73,40 @@ def _counted(batches):
 
 
 def training_shares(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, y, share: labelled documents, those with the same least shingle sharing one vote.
+    """text, y, share: labelled documents, those with the same least shingle sharing one vote.
 
     A text with hundreds of near copies would otherwise make all its words look like marks of its label."""
-    keys = cut(docs.mapInArrow(_keyed, "doc_id long, copies long").join(known, "doc_id"), "keys")
-    sizes = cut(keys.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1"), "copies")
-    return keys.join(sizes, "copies", "left").groupBy("doc_id").agg(F.max("y").alias("y"), F.max(1 / F.coalesce("n", F.lit(1))).alias("share"))
+    texts = cut(docs.join(known, "doc_id").select("text", "y").mapInArrow(_keyed, "text string, y int, copies long"), "labelled")
+    sizes = cut(texts.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    return texts.join(sizes, "copies", "left").select("text", "y", (1 / F.coalesce("n", F.lit(1))).alias("share"))
 
 
-def fit_weights(texts: DataFrame, prior: float = 500.0, floor: float = 0.5, most: int = 200_000) -> dict[int, float]:
-    """Weights of the features in texts(text, y, share) that are surely toxic; at most `most`, the surest.
+def fit_weights(texts: DataFrame, prior: float = 500.0, floor: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of the features in texts(text, y, share) that are surely toxic.
 
-    Log-odds with an informative Dirichlet prior: a feature has `floor` counts and its share of all counts times `prior`."""
+    A weight of DRIFT or less can start no passage and a feature of fewer than one in RAREST toxic tokens is left out; since
+    a word has one feature of each view, at most RAREST of each view remain, at any size of the corpus. Log-odds with an informative Dirichlet prior: a feature has `floor` counts and its share of all counts times `prior`."""
     counts = texts.mapInArrow(_counted, "feature long, toxic double, clean double").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     counts = cut(counts, "counts")
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not total["t"] or not total["c"]:
-        return {}
+        return np.empty(0, np.uint64), np.empty(0)
     n, m = float(total["t"]), float(total["c"])
     a = (F.col("t") + F.col("c")) * F.lit(prior / (n + m)) + floor
     delta = F.log((F.col("t") + a) / (n + prior)) - F.log((F.col("c") + a) / (m + prior))
     error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
     sure = F.when(delta > CERTAIN * error, F.round(delta - error, 6))
-    rows = counts.select("feature", sure.alias("w")).where("w > 0").orderBy(F.desc("w"), "feature").limit(most).toPandas()
-    return dict(zip(rows["feature"].to_numpy().view(np.uint64).tolist(), rows["w"].tolist()))
+    # n adds the views of each token, so a share of the tokens is at most len(PREFIXES) + 1 times as large as one of n
+    rows = counts.where(F.col("t") * RAREST >= n / (len(PREFIXES) + 1)).select("feature", sure.alias("w")).where(F.col("w") > DRIFT).toPandas()
+    return rows["feature"].to_numpy(np.int64).view(np.uint64), rows["w"].to_numpy(np.float64)
 
 
 class Weights(dict):
     """word -> its weight less DRIFT; forgets everything once it holds `most` words."""
 
-    def __init__(self, weights: dict[int, float], most: int = 300_000):
+    def __init__(self, features: np.ndarray, weights: np.ndarray, most: int = 300_000):
         super().__init__()
-        self.weights, self.most = weights, most
+        self.weights, self.most = dict(zip(features.tolist(), weights.tolist())), most
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= self.most:
@@ -115,7 +118,10 @@ class Weights(dict):
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments [start, end) of a score sequence, each with a positive sum, in linear time."""
+    """All maximal-scoring segments [start, end) of a score sequence, each with a positive sum, in linear time.
+
+    They are disjoint; of segments with equal sums the shorter is taken, of two runs side by side that add up to no more than
+    one of them both stay apart. No positive score gives none."""
     up = np.flatnonzero(scores > 0)
     if not len(up):
         return []
@@ -138,9 +144,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, h - l) for s, e, l, h, _ in held]
 
 
-def _scanned(weights: dict[int, float]):
+def _scanned(features: np.ndarray, weights: np.ndarray):
     def run(batches):
-        look = Weights(weights)
+        look = Weights(features, weights)
         for b in batches:
             words, best, sums = [], [], []
             for t in b.column(1).to_pylist():
@@ -150,7 +156,7 @@ def _scanned(weights: dict[int, float]):
                 words.append(len(w))
                 best.append(max(found, default=0.0))
                 sums.append(found)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], ["doc_id", "n_words", "best", "sums"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], ["doc_id", "fp", "n_words", "best", "sums"])
 
     return run
 
@@ -170,10 +176,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     fit and the calibration from at most `fit_rows`. Null, empty and unlabelled texts get a score like any other; a null
     doc_id counts as the empty text in the remainder; repeated rows are scored each; columns other than doc_id and text are
     never read; an empty table gives no rows, and labels of one class alone a constant score."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scores(docs, labels, folds, held, fit_rows).drop("fp")
+
+
+def _scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, fit_rows: int = 50_000) -> DataFrame:
+    """score_toxicity() with fp, the hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text_or_empty()).alias("fp"))
     known = cut(known_labels(labels, "toxic").where(crc_mod(F.col("doc_id"), folds) != held), "labels")
-    weights = fit_weights(docs.join(cut(training_shares(docs, known), "shares"), "doc_id").select("text", "y", "share"))
-    scanned = cut(docs.mapInArrow(_scanned(weights), "doc_id long, n_words long, best double, sums array<double>"), "scanned")
+    weights = fit_weights(training_shares(docs, known))
+    scanned = cut(docs.mapInArrow(_scanned(*weights), "doc_id long, fp long, n_words long, best double, sums array<double>"), "scanned")
 
     n_best, y = labelled_sample(scanned, known, ["n_words", "best"], fit_rows)
     clean = n_best[y == 0]
@@ -185,11 +196,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     marked = marked.withColumn("total", F.log1p(F.aggregate("sums", F.lit(0.0), lambda a, x: a + x))).withColumn("peak", F.log1p("best")).withColumn("log_words", F.log1p(F.col("n_words").cast("double"))).withColumn("excess", F.log1p("excess"))
     columns = ["peak", "total", "excess", "log_words"]
     model = fit_logistic(*labelled_sample(marked, known, columns, fit_rows))
-    out = marked.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), logistic(model, columns).alias("score"), "n_words", F.size("sums").alias("n_segments"), "best")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "n_segments", "best")
+    out = marked.select("doc_id", "fp", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), logistic(model, columns).alias("score"), "n_words", F.size("sums").alias("n_segments"), "best")
+    return out.select("doc_id", "fp", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "n_segments", "best")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that are scored as toxic; columns stay as they are. Rows with a null doc_id are kept."""
-    bad = score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(cut(bad, "toxic"), F.col("doc_id") == F.col("__id"), "left_anti")
+    """docs without the rows whose text is scored as toxic, whatever their doc_id; columns stay as they are.
+
+    docs is read more than once and should be a written table."""
+    fp = fresh(docs.columns, "fp")
+    bad = cut(_scores(docs, labels).where("predicted = 1").select(F.col("fp").alias(fp)).distinct(), "toxic")
+    return docs.withColumn(fp, F.xxhash64(text_or_empty())).join(bad, fp, "left_anti").select(*docs.columns)
