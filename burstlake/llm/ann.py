@@ -138,12 +138,12 @@ def _ranked(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, train: int = 20_000, rows_per_shard: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, train: int = 20_000, rows_per_shard: int = 4096, queries_per_turn: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors found for each query, by Euclidean distance.
 
     A query's own vec_id is no candidate. Vectors that are null, zero or hold null or non-finite components take no part,
-    on either side. The codebooks and the share of rows to visit come from at most `train` rows; every row is indexed.
-    Of identical vectors only the k + 1 smallest ids can be among k nearest, so the index keeps those: an exact reduction.
+    on either side. The codebooks and the share of rows to visit come from at most `train` rows of the index; every row is
+    indexed; up to 20 * k sampled rows every cell is visited. Of identical vectors only the k + 1 smallest ids can be among k nearest, so the index keeps those: an exact reduction.
     Ties go to the smaller vec_id; repeated rows are candidates of their own; a null vec_id takes no part; empty tables
     give no rows."""
     good = valid_vectors(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null"))
@@ -151,14 +151,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     spark = vectors.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = sample(good, train, "vec_id")
+    placed = good.withColumn("turn", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("turn") <= k + 1).drop("turn")
+    placed = cut(placed.select("vec_id", "embedding"), "distinct")
+    x = sample(placed, train, "vec_id")
     half, size = x.shape[1] // 2, int(np.clip(round((n / 8) ** 0.5), 1, 256))
     books = [kmeans(x[:, :half], size), kmeans(x[:, half:], size)] if half else [np.zeros((1, 0)), kmeans(x, size)]
     share = share_for(x, books, k, recall)
 
-    placed = good.withColumn("turn", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("turn") <= k + 1).drop("turn")
     dim = x.shape[1]
-    index = cut(placed.select("vec_id", "embedding").mapInArrow(_placed(books), "vec_id long, embedding array<double>, cell long"), "index")
+    index = cut(placed.mapInArrow(_placed(books), "vec_id long, embedding array<double>, cell long"), "index")
     found = index.groupBy("cell").count().toPandas()  # at most size * size rows
     counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
     counts[found["cell"]] = found["count"]
@@ -171,6 +172,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     spread = index.join(F.broadcast(frame), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks"))) % shards)
     asked = valid_vectors(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")).where(F.size("embedding") == dim)
     asked = asked.select("vec_id", "embedding").mapInArrow(_routed(books, counts, blocks, starts, shards, wanted), "query_id long, q array<double>, shard long, cells array<int>")
-    best = spread.groupBy("shard").cogroup(apart(asked).groupBy("shard")).applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
+    # queries meet a shard in blocks, so that a task's share of them has a bound as well
+    turns = -(-queries.count() // queries_per_turn)
+    spread = spread.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(turns - 1, 0)))))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id", "q"), F.lit(max(turns, 1))).cast("int"))
+    best = spread.groupBy("shard", "turn").cogroup(apart(asked).groupBy("shard", "turn")).applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
