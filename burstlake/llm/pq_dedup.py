@@ -2,7 +2,8 @@
 
 Vectors are put on the unit sphere, where cosine >= t means a distance of at most r = sqrt(2 - 2t). A coarse codebook deals
 them to lists; a list is probed unless the half-space bound shows that none of its vectors can lie within r: a vector x of
-list j is no nearer to centre i than to j, so |q-cj|^2 - |q-ci|^2 <= 2 r |ci-cj| for every i. In a list, the residuals'
+list j is no nearer to centre i than to j, so |q-cj|^2 - |q-ci|^2 <= 2 r |ci-cj| for every i; and the distance of q from the
+centre must lie within r of those that the list's vectors of q's label have. In a list, the residuals'
 subspace codes give a distance by table look-up; it is off by at most the code's own error, which is stored, so pairs beyond
 r plus that error are dropped. All others are verified by cosine in double precision.
 """
@@ -41,7 +42,7 @@ def _coded(coarse: np.ndarray, books: list[np.ndarray]):
                 back.append(book[c])
             error = np.sqrt(((rest - np.concatenate(back, axis=1)) ** 2).sum(1))
             codes = np.stack(codes, axis=1)
-            yield b.append_column("list", pa.array(of.astype(np.int64))).append_column("codes", pa.array([r.tobytes() for r in codes], pa.binary())).append_column("error", pa.array(error))
+            yield b.append_column("list", pa.array(of.astype(np.int64))).append_column("off", pa.array(np.sqrt((rest * rest).sum(1)))).append_column("codes", pa.array([r.tobytes() for r in codes], pa.binary())).append_column("error", pa.array(error))
 
     return run
 
@@ -60,7 +61,7 @@ def _probes(coarse: np.ndarray, r: float):
                 for i in range(len(coarse)):
                     open_ &= d - d[:, i : i + 1] <= 2 * r * gap[i] + SLACK
                 row, of = np.nonzero(open_)
-                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(row)) for c in ("node", "label", "embedding", "n")] + [pa.array(of.astype(np.int64))], ["node", "label", "embedding", "n", "list"])
+                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(row)) for c in ("node", "label", "embedding", "n")] + [pa.array(of.astype(np.int64)), pa.array(np.sqrt(np.maximum(d[row, of], 0)))], ["node", "label", "embedding", "n", "list", "off"])
 
     return run
 
@@ -140,10 +141,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, train: int
     books = [kmeans(p, 32) for p in np.array_split(u - coarse[nearest(u, coarse)], parts, axis=1)]
 
     kind = dict(classes.dtypes)["label"]
-    listed = cut(classes.mapInArrow(_coded(coarse, books), f"node long, label {kind}, embedding array<double>, n long, list long, codes binary, error double"), "lists")
-    crowds = cut(listed.groupBy("label", "list").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")), "blocks")
-    split = listed.join(crowds, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    asked = classes.mapInArrow(_probes(coarse, r), f"node long, label {kind}, embedding array<double>, n long, list long").join(crowds, ["label", "list"])
+    listed = cut(classes.mapInArrow(_coded(coarse, books), f"node long, label {kind}, embedding array<double>, n long, list long, off double, codes binary, error double"), "lists")
+    crowds = cut(listed.groupBy("label", "list").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"), F.min("off").alias("near"), F.max("off").alias("far")), "blocks")
+    split = listed.drop("off").join(crowds.drop("near", "far"), ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    asked = classes.mapInArrow(_probes(coarse, r), f"node long, label {kind}, embedding array<double>, n long, list long, off double").join(crowds, ["label", "list"])
+    asked = asked.where(F.col("off").between(F.col("near") - (r + SLACK), F.col("far") + (r + SLACK))).drop("off", "near", "far")
     asked = asked.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
     split = split.withColumn("turn", F.explode(F.expr("sequence(0L, blocks - 1)")))
     key = ["label", "list", "block", "turn"]
