@@ -6,13 +6,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibrate import fit_logistic, known_labels, labelled_sample, logistic
 from .common import crc_mod, cut
 
 SIZE = 64 << 10  #: bytes of a dictionary
+TEXT_BYTES = 16 << 20  #: of a class's texts, so many bytes at most go into its dictionary
 LEVEL = 3
 
 
@@ -45,24 +46,25 @@ def _sized(good: bytes, bad: bytes):
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, dictionary_rows: int = 3000, fit_rows: int = 50_000) -> DataFrame:
     """doc_id, held_out, score, predicted, difference, ratio: one row per row of docs(doc_id, text, ...).
 
-    Learns from the labelled rows whose crc32(doc_id) mod `folds` is not `held`: each dictionary from at most
-    `dictionary_rows` texts of its class, the calibration from at most `fit_rows` others (from all, where these lack a
-    class). Every text is compressed whole. Null texts are empty and get a score like any other; a null doc_id counts as
+    Learns from the labelled rows whose crc32(doc_id) mod `folds` is not `held`. A hash parts these in two halves: each
+    dictionary is built from at most `dictionary_rows` whole texts and TEXT_BYTES bytes of its class in one half, the
+    calibration takes at most `fit_rows` rows of the other; where that lacks a class, the score is constant. Every text is compressed whole. Null texts are empty and get a score like any other; a null doc_id counts as
     the empty text in the remainder; repeated rows are scored each; columns other than doc_id and text are never read; an
     empty table gives no rows, and labels of one class alone a constant score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = cut(known_labels(labels, "quality").where(crc_mod(F.col("doc_id"), folds) != held), "labels")
-    # the ids are chosen before their texts are read, so what is joined is bounded
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_rows) for y in (1, 0)]
-    chosen = cut(chosen[0].unionByName(chosen[1]), "chosen")
-    texts = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("y", "text").orderBy(F.xxhash64("text")).limit(2 * dictionary_rows).toPandas()
+    known = known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
+    # the ids are chosen by their number and their texts' sizes before these are read, so what is joined is bounded
+    chosen = [known.where((F.col("y") == y) & (F.col("half") == 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_rows) for y in (1, 0)]
+    chosen = F.broadcast(cut(chosen[0].unionByName(chosen[1]).select("doc_id", "y"), "chosen"))
+    sizes = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.max(F.octet_length("text")).alias("bytes"))
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = F.broadcast(cut(sizes.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= TEXT_BYTES).select("doc_id", "y"), "chosen"))
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("y", "text").toPandas().sort_values(["y", "text"])
     good, bad = ([t.encode("utf-8", "surrogatepass") for t in texts["text"][texts["y"] == y]] for y in (1, 0))
     sized = docs.mapInArrow(_sized(build_dictionary(good), build_dictionary(bad)), "doc_id long, difference double, ratio double, log_bytes double, relative double")
     sized = cut(sized, "sized")
     columns = ["difference", "ratio", "log_bytes", "relative"]
-    x, y = labelled_sample(sized, known.join(chosen.select("doc_id"), "doc_id", "left_anti"), columns, fit_rows)
-    if min(y.sum(), len(y) - y.sum()) < 20:
-        x, y = labelled_sample(sized, known, columns, fit_rows)
-    model = fit_logistic(x, y)
+    model = fit_logistic(*labelled_sample(sized, known.where("half = 1").select("doc_id", "y"), columns, fit_rows))
     out = sized.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), logistic(model, columns).alias("score"), "difference", "ratio")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference", "ratio")
