@@ -173,11 +173,15 @@ def read_warc(archives: DataFrame, payloads: bool = False, chunk: int = 1 << 18)
     path, record_type, record_id, refers_to, uri, payload_bytes, payload_digest (hex), verified, payload (null unless asked
     for, and in revisits). A record with a wrong digest has verified false; a broken frame raises."""
     shape = "path string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, verified boolean, payload binary"
-    return archives.select("path").repartition("path").mapInArrow(_read(chunk, payloads), shape)
+    n = max(1, archives.count())  # a task for each archive
+    return archives.select("path").repartition(n).mapInArrow(_read(chunk, payloads), shape)
 
 
 def pages_by_warc(spark: SparkSession, pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, verified: pages written as archives and read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, verified: pages written as archives and read back.
+
+    One row per row of pages: a null html has no bytes, a null page_id stays null, repeated rows are records of their own,
+    other columns are ignored, an empty table gives no rows."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
     back = read_warc(write_warc(pages, folder, least))
