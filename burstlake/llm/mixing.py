@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 PART = 256.0  #: a larger rate is the sum of several Poisson draws of at most this mean
 
@@ -48,22 +48,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     copies. Adds n_copies, copy (from 1) and shuffle_key, by which the rows are sorted. A null source is a source of its
     own; a null doc_id counts as the text "null"; rows that repeat a doc_id get equal counts; texts may be null or empty.
     Columns of these three names in docs are replaced."""
-    rates = cut(source_rates(docs, weights, temperature, epochs).select(F.col("source").alias("__source"), "parts", "cdf"), "rates")
     docs = docs.drop("n_copies", "copy", "shuffle_key")
     columns = docs.columns
+    from_, parts, cdf = (fresh(columns, x) for x in ("of_source", "parts", "cdf"))
+    rates = cut(source_rates(docs, weights, temperature, epochs).select(F.col("source").alias(from_), F.col("parts").alias(parts), F.col("cdf").alias(cdf)), "rates")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    met = docs.withColumnRenamed("parts", "__parts") if "parts" in columns else docs
-    met = met.withColumnRenamed("cdf", "__cdf") if "cdf" in columns else met
-    met = met.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: _uniform(F.lit(str(seed)), name, i.cast("string")))
-    draws = F.transform(draws, lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
-    met = met.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).drop("__source", "parts", "cdf").where("n_copies > 0")
+    met = docs.join(rates, F.col("source").eqNullSafe(F.col(from_)))
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: _uniform(F.lit(str(seed)), name, i.cast("string")))
+    draws = F.transform(draws, lambda u: F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    met = met.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).drop(from_, parts, cdf).where("n_copies > 0")
     met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed} order"), name, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = met.withColumn("shuffle_key", key)
-    for kept in ("parts", "cdf"):
-        out = out.withColumnRenamed(f"__{kept}", kept) if kept in columns else out
-    return out.select(*columns, "n_copies", "copy", "shuffle_key").orderBy("shuffle_key", "doc_id", "copy")
+    return met.withColumn("shuffle_key", key).select(*columns, "n_copies", "copy", "shuffle_key").orderBy("shuffle_key", "doc_id", "copy")
 
 
 MIX_SQL = """
