@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, as_long, cut, hash_words, mix, words_of
+from .common import NULL_ID, apart, as_long, cut, fresh, hash_words, mix, text_or_empty, words_of
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -94,7 +94,7 @@ def _signed(k: int):
                 sizes[i] = len(s)
                 node[i] = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array(sizes), pa.array(sigs, pa.binary())], ["doc_id", "node", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(node), pa.array(sizes), pa.array(sigs, pa.binary())], ["doc_id", "fp", "node", "n_shingles", "sig"])
 
     return run
 
@@ -202,11 +202,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     doc_id reachable by links. Texts that are null or without words have an empty set and link with nothing; a null doc_id
     counts in its component but never names it unless no member has an id; rows that repeat a doc_id are compared as rows
     of their own. Other columns are ignored, an empty table gives no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signed(k), "doc_id long, node long, n_shingles long, sig binary"), "signed")
+    return _grouped(docs, k, percent, miss, block)[0]
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, miss: float = 1e-9, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The rows of near_duplicates, and (doc_id, fp, component) of each row: fp is the hash of its text, component is null
+    where it links with nothing for lack of words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text_or_empty()).alias("fp"))
+    signed = cut(docs.mapInArrow(_signed(k), "doc_id long, fp long, node long, n_shingles long, sig binary"), "signed")
     steps = _survival(percent / 100, miss)
 
-    reps = cut(signed.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "reps")
+    reps = cut(signed.where("sig is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("at"), F.first("sig").alias("sig")), "reps")
     banded = cut(reps.select("node", "sig").mapInArrow(_banded, "bucket long, node long"), "banded")
     shared = cut(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "buckets")
     members = cut(banded.join(shared, "bucket"), "members")
@@ -214,8 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     def with_sets(wanted: DataFrame) -> DataFrame:
         """(node, ...) with the full shingle set of each node, from the text of one of its documents."""
-        wanted = wanted.join(reps.select("node", "doc_id"), "node")
-        return docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(_sets(k), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+        wanted = wanted.join(reps.select("node", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("id"), "at.fp"), "node")
+        return docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, ["id", "fp"]).select("node", "text").mapInArrow(_sets(k), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
     sigs = reps.select("node", "sig")
     both = star.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
@@ -239,17 +245,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         more = left.groupBy("family", "i", "j").cogroup(right.groupBy("family", "i", "j")).applyInArrow(_across(steps, percent), "a long, b long")
         found = cut(components(links.unionByName(cut(more, "more"))), "components")
 
-    named = signed.select("doc_id", "node", "n_shingles", "sig").join(found, "node", "left")
+    named = signed.select("doc_id", "fp", "node", "n_shingles", "sig").join(found, "node", "left")
     alone = F.col("sig").isNull()
-    named = cut(named.select("doc_id", "n_shingles", F.when(~alone, F.coalesce("component", "node")).alias("component")), "named")
+    named = cut(named.select("doc_id", "fp", "n_shingles", F.when(~alone, F.coalesce("component", "node")).alias("component")), "named")
     names = cut(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     out = named.join(names, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+    return out, named.select("doc_id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group that near_duplicates() links, the one with the smallest doc_id.
-
-    Rows without a doc_id stay, as nothing can name them; rows that repeat the doc_id that stays all stay; columns stay."""
-    gone = near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(cut(gone, "copies"), F.col("doc_id") == F.col("__id"), "left_anti")
+    """docs with one row of each group that near_duplicates() links: the one with the smallest doc_id.
+
+    Of several texts under that doc_id the one with the smallest hash stays; of rows equal in both any one. Where no member
+    has an id, one of the rows without stays. Texts that link with nothing all stay, empty ones too; columns stay as they
+    are. docs is read more than once and should be a written table."""
+    _, rows = _grouped(docs, k, percent)
+    rows = rows.where("component is not null").groupBy("component", "doc_id", "fp").agg(F.count("*").alias("times"))
+    known = cut(rows, "rows")
+    first = cut(known.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").isNull(), "fp")).alias("first")), "first")
+    met = known.join(first, "component").withColumn("stays", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").isNull(), "fp") == F.col("first"))
+    # one doc_id and text may stand in rows of one component alone
+    id_, fp, stays, times = (fresh(docs.columns, x) for x in ("id", "fp", "stays", "times"))
+    met = cut(met.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(id_), F.col("fp").alias(fp), F.col("stays").alias(stays), F.col("times").alias(times)), "decisions")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), fp: F.xxhash64(text_or_empty())})
+    rest = keyed.join(met.where(~F.col(stays)).select(id_, fp), [id_, fp], "left_anti")
+    again = met.where(F.col(stays) & (F.col(times) > 1)).select(id_, fp)
+    if again.take(1):
+        again = cut(again, "again")
+        one = rest.join(again, [id_, fp], "left_semi").dropDuplicates([id_, fp])
+        rest = rest.join(again, [id_, fp], "left_anti").unionByName(one)
+    return rest.select(*docs.columns)
