@@ -303,3 +303,86 @@ def test_the_word_before_acts_inside_a_class(spark):
     held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
     got = {r.doc_id: r.score for r in lm.score_texts(docs_of(spark, [*rows, *zip(held, ("p abx", "p aby", "q aby", "q abx"))])).collect()}
     assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    """A thousand rows share a null id and two texts; ids on several texts; columns with the names used inside."""
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, two, own = text(30), text(40), [text(25) for _ in range(6)]
+    rows = [(None, one)] * 600 + [(None, two)] * 400 + [(1, own[0]), (1, own[1]), (1, own[1]), (2, own[1]), (3, own[2]), (4, own[2] + " x"), (5, None), (6, ""), (None, None)]
+    d = docs_of(spark, rows).withColumns({"fp": F.lit(1), "Times": F.lit(2), "stays": F.lit(3), "of_source": F.lit(4), "cdf": F.lit(5), "parts": F.lit(6)})
+    kept = minhash.keep_one(d)
+    assert kept.columns == d.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(None, one), (None, two), (1, own[0]), (1, own[1]), (3, own[2]), (5, None), (6, ""), (None, None)])
+    packed = packing.pack_documents(d, WORD_BPE, 64, group=128).collect()
+    assert len({x.sequence_id >> 24 for x in packed}) > 4 and len(packed) >= len(rows)
+    assert packing.sequences(d, WORD_BPE, 64).agg(F.sum(F.size("ids"))).first()[0] == sum(x.length for x in packed)
+    mixed = mixing.mix_sources(d)
+    assert mixed.columns == [*d.columns, "n_copies", "copy", "shuffle_key"] and {(x.of_source, x.cdf, x.parts) for x in mixed.collect()} == {(4, 5, 6)}
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(1000, 1400)], "doc_id long, quality int, toxic int")
+    known = docs_of(spark, [(i, text(20) + (" vile vilest" * 6 if i % 4 == 0 else "")) for i in range(1000, 1400)])
+    bad = docs_of(spark, [(None, own[4] + " vile vilest" * 6), (1, own[3] + " vile vilest" * 6), (1, own[5])])
+    left = toxicity.reject_toxic(known.unionByName(bad).withColumn("FP", F.lit(1)), labels)
+    assert [(x.doc_id, x.text) for x in left.where("doc_id < 1000 or doc_id is null").collect()] == [(1, own[5])]
+
+
+def maximal(scores):
+    """All maximal-scoring segments by their definition: the best one, then those left and right of it."""
+    best = max(((sum(scores[i:j]), i - j, -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i = -best[2]
+    j = i - best[1]
+    return [*maximal(scores[:i]), (i, j, best[0]), *((j + a, j + b, s) for a, b, s in maximal(scores[j:]))]
+
+
+def test_segments_against_their_definition():
+    r = random.Random(2)
+    assert toxicity.segments(np.array([])) == toxicity.segments(np.array([-1.0, 0.0])) == []
+    for _ in range(300):
+        scores = [r.randint(-9, 6) + r.random() for _ in range(r.randint(1, 25))]  # without ties
+        got = toxicity.segments(np.array(scores))
+        assert [x[:2] for x in got] == [x[:2] for x in maximal(scores)] and all(s == pytest.approx(t[2]) for (_, _, s), t in zip(got, maximal(scores)))
+
+
+def test_toxic_weights_against_plain_counts(spark):
+    """Bare words only, so a word of up to four letters is one feature."""
+    import xxhash
+
+    r = random.Random(4)
+    texts = [(" ".join(r.choice(("vile", "ugly") if y and r.random() < 0.4 else ("sun", "sea", "tree", "rock", "ugly")) for _ in range(40)), y) for y in [0, 1] * 60]
+    n = [Counter(w for t, z in texts if z == y for w in t.split()) for y in (0, 1)]
+    total, want = [sum(c.values()) for c in n], {}
+    for w in n[0] | n[1]:
+        a = (n[0][w] + n[1][w]) * 500 / sum(total) + 0.5
+        delta = np.log((n[1][w] + a) / (total[1] + 500)) - np.log((n[0][w] + a) / (total[0] + 500))
+        error = np.sqrt(1 / (n[1][w] + a) + 1 / (n[0][w] + a))
+        if delta > toxicity.CERTAIN * error and delta - error > toxicity.DRIFT:
+            want[xxhash.xxh3_64_intdigest(w.encode(), seed=1)] = delta - error
+    features, weights = toxicity.fit_weights(spark.createDataFrame([(t, y, 1.0) for t, y in texts], "text string, y int, share double"))
+    assert want and dict(zip(features.tolist(), weights.tolist())) == pytest.approx(want, abs=1e-5)
+
+
+def test_extreme_values_find_a_gumbel():
+    r = np.random.default_rng(3)
+    n = r.integers(10, 1000, 20_000)
+    best = (np.log(n) + np.log(0.2) + r.gumbel(size=len(n))) / 0.7  # lambda 0.7, K 0.2
+    rate, log_k = toxicity.extreme_values(np.full(20_000, 100), (np.log(100) + np.log(0.2) + r.gumbel(size=20_000)) / 0.7)
+    assert rate == pytest.approx(0.7, rel=0.03) and log_k == pytest.approx(np.log(0.2), abs=0.15) and len(best)
+
+
+def test_compressed_sizes_and_halves(spark):
+    """Sizes equal those of the compressor itself; what a dictionary is built from is bounded in bytes."""
+    import zstandard
+
+    r = random.Random(6)
+    good, bad = (" ".join(r.choice(w) for _ in range(3000)).encode() for w in (("alpha", "beta", "gamma"), ("x1", "y2", "zz")))
+    texts = ["alpha beta gamma " * 20, "x1 zz y2 " * 20, "", "é" * 50]
+    import pyarrow as pa
+
+    (got,) = quality._sized(good, bad)([pa.record_batch([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])])
+    for t, d in zip(texts, got["difference"].to_pylist()):
+        size = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False).compress(t.encode())) for x in (good, bad)]
+        assert d == pytest.approx((size[1] - size[0]) / (len(t.encode()) + 1))
+    assert got["difference"][0].as_py() > 0 > got["difference"][1].as_py()

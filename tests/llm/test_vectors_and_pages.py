@@ -5,6 +5,7 @@ import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from burstlake.llm import ann, pq_dedup, warc
 
@@ -98,3 +99,37 @@ def test_reader_checks_frames_and_digests():
     for broken in (data[:-9], gzip.compress(plain[:-2]), gzip.compress(b"HTTP/1.1 200 OK\r\n\r\n")):
         with pytest.raises(ValueError):
             list(warc.read_stream(io.BytesIO(broken)))
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("html"))
+    archives = warc.write_warc(pages, f"file://{tmp_path}", rotate=2000)
+    assert archives.count() >= 16
+    back = warc.read_warc(archives)
+    assert back.rdd.getNumPartitions() >= 16 and back.where("verified").count() == 400
+
+
+def test_search_in_blocks_of_queries(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 6)).tolist()
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.search(d, d.where("vec_id % 3 = 0"), recall=1.0).collect()))
+    assert want == sorted(map(tuple, ann.search(d, d.where("vec_id % 3 = 0"), recall=1.0, queries_per_turn=7).collect())) and len(want) == 1000
+
+
+def test_links_of_grouped_vectors_against_brute_force(spark):
+    """Vectors around some centres, many of them linked; copies; labels apart."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, 16))
+    x = np.repeat(centres, 25, axis=0) + r.normal(size=(300, 16)) * r.uniform(0.02, 0.4, (300, 1))
+    x[10:14] = x[10]
+    label = np.arange(300) % 2
+    d = spark.createDataFrame([(i, v, int(y)) for i, (v, y) in enumerate(zip(x.tolist(), label))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.93) & (label[:, None] == label)
+    got = {g.vec_id: g for g in pq_dedup.near_duplicate_vectors(d).collect()}
+    reach = np.eye(300, dtype=bool) | links
+    for _ in range(9):
+        reach = reach @ reach
+    assert links.sum() > 2000
+    assert all((got[i].n_links, got[i].component_id) == (links[i].sum() - 1, reach[i].argmax()) for i in range(300))
