@@ -45,7 +45,7 @@ class Config:
     tuned: dict = field(default_factory=dict)
 
 
-#: The tuning keys that override a default when they are given, and only these.
+# The tuning keys that override a default when they are given, and only these.
 TUNABLE = ("r_t", "r_s1", "r_s2", "r_Mt", "k_detail", "k_denoise", "D_th", "D_tr", "k_stretch", "k_shrink", "alpha", "beta")
 
 
@@ -173,12 +173,12 @@ def kernel_strengths(l1, l2, c: Config) -> Column:
     return F.struct((((1 - d) * one + d * c.k_denoise) * c.k_detail).alias("k1"), (((1 - d) * two + d * c.k_denoise) * c.k_detail).alias("k2"))
 
 
-def noise_bounds(alpha: float, beta: float, t: float = 3.0) -> tuple[float, float]:
-    """Brightness between which clipping leaves the noise linear."""
-    q = t * t
-    low = q / 2 * (alpha + (q * alpha * alpha + 4 * beta) ** 0.5)
-    inner = (2 + q * alpha) ** 2 - 4 * (1 + q * beta)
-    return low, (2 + q * alpha - max(0.0, inner) ** 0.5) / 2
+def linear_noise(alpha, beta, t: float = 3.0) -> tuple[Column, Column]:
+    """Brightness between which clipping, t deviations away, leaves the noise linear."""
+    a, b, q = _c(alpha), _c(beta), t * t
+    low = q / 2 * (a + F.sqrt(q * a * a + 4 * b))
+    inner = F.greatest((2 + q * a) * (2 + q * a) - 4 * (1 + q * b), F.lit(0.0))
+    return low, (2 + q * a - F.sqrt(inner)) / 2
 
 
 def gaussian(radius: int, sigma: float) -> list[float]:

@@ -51,6 +51,18 @@ def header_rows(sizes: DataFrame, c: P.Config) -> DataFrame:
     return sizes.select("burst_id", F.explode(F.array(*rows)).alias("r")).select("burst_id", "r.tag", "r.name", "r.values").orderBy("burst_id", "tag")
 
 
+def export_linear(rgb_: DataFrame, path: str) -> DataFrame:
+    """r, g, b in 0..1 stored as 16-bit rows without balance or curve, and read back."""
+    write_rows(rgb_.select("burst_id", "Y", "X", *[P.to_16_bits(n).alias(f"{n}16") for n in "rgb"]), path)
+    return rgb_.sparkSession.read.parquet(path)
+
+
+def write_preview(px8: DataFrame, path: str) -> DataFrame:
+    """Store previews by burst in raster order and read them back."""
+    px8.repartition("burst_id").sortWithinPartitions("burst_id", "py", "px").write.mode("overwrite").parquet(path)
+    return px8.sparkSession.read.parquet(path)
+
+
 def write_rows(px16: DataFrame, path: str) -> DataFrame:
     """Store rows in output order and return, for each burst, whether all of its rows are there."""
     ordered = px16.repartitionByRange("burst_id", "Y").sortWithinPartitions("burst_id", "Y", "X")

@@ -34,6 +34,14 @@ def match_costs(ref: DataFrame, moving: DataFrame, flow: DataFrame, tile: int, r
     return got.groupBy(*BASE, "ty", "tx", F.col("o.i").alias("oy"), F.col("o.j").alias("ox")).agg(cost.alias("cost"), F.first("dx").alias("dx"), F.first("dy").alias("dy"))
 
 
+def correlation_map(ref: DataFrame, moving: DataFrame, flow: DataFrame, tile: int, radius: int) -> DataFrame:
+    """corr of each tile and offset (oy, ox): the sum of products of the reference with the displaced frame, ends repeated."""
+    dims = moving.groupBy(*BASE).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    m = _members(ref, flow, tile).join(dims, [*BASE]).withColumn("o", F.explode(taps(-radius, radius)))
+    got = read_at(m, moving, F.col("y") + F.rint("dy") + F.col("o.i"), F.col("x") + F.rint("dx") + F.col("o.j"), "clamp")
+    return got.groupBy(*BASE, "ty", "tx", F.col("o.i").alias("oy"), F.col("o.j").alias("ox")).agg(F.sum(F.col("r") * F.col("m")).alias("corr"))
+
+
 def block_match(ref: DataFrame, moving: DataFrame, flow: DataFrame, tile: int, radius: int, metric: str = "L1") -> DataFrame:
     """burst_id, frame_idx, ty, tx, dx, dy, cost: the best offset of each tile, the first in raster order among equals.
 

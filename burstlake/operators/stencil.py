@@ -5,6 +5,7 @@ Frames are dense grids. Keys are burst_id and frame_idx, and ch or level where t
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,28 +173,58 @@ def flow_irregularity(flow: DataFrame, c: P.Config) -> DataFrame:
     return f.select(*BASE, "ty", "tx", F.when(p * p + q * q > c.r_Mt * c.r_Mt, c.r_s1).otherwise(c.r_s2).alias("s"))
 
 
-def low_pass_rows(grey: DataFrame) -> DataFrame:
-    """Grey by the centred half of the frequencies, at full size: the transform of each row, then of each column, as groups
-    of Arrow rows; no task holds more than a row or a column. Not for one-pixel frames, which stay as they are."""
+def pyramid_levels(px: DataFrame, factors=(1, 2, 4, 4)) -> DataFrame:
+    """All levels of pyramid() as one table with level, 0 the finest."""
+    return reduce(DataFrame.unionByName, [p.withColumn("level", F.lit(i)) for i, p in enumerate(pyramid(px, factors))])
+
+
+def _by_lines(px: DataFrame, into, axes=("x", "y")) -> DataFrame:
+    """into(complex vector) applied to each row (axis x) and then to each column of px(..., v, im), as groups of Arrow rows: no
+    task holds more than a row or a column. Lines of one sample stay as they are."""
     import numpy as np
     import pyarrow as pa
 
-    def kept(n: int):
-        mask = np.zeros(n, bool)
-        mask[n // 4 : n - n // 4] = True
-        return np.fft.ifftshift(mask)
-
-    def one(axis: str, into: str):
+    def along_axis(axis: str):
         def run(t):
-            order = np.argsort(t.column(axis).to_numpy())
-            z = t.column("v").to_numpy()[order] + 1j * t.column("im").to_numpy()[order]
-            z = np.fft.ifft(np.where(kept(len(z)), np.fft.fft(z), 0)) if len(z) > 1 else z
-            t = t.take(pa.array(order))
-            return t.drop_columns(["v", "im"]).append_column("v", pa.array(z.real.copy())).append_column("im", pa.array(z.imag.copy())).select(t.column_names)
+            t = t.take(pa.array(np.argsort(t.column(axis).to_numpy())))
+            z = t.column("v").to_numpy() + 1j * t.column("im").to_numpy()
+            z = into(z) if len(z) > 1 else z
+            new = {"v": z.real.copy(), "im": z.imag.copy()}
+            return pa.table({n: pa.array(new[n]) if n in new else t.column(n) for n in t.column_names})
 
         return run
 
-    out = grey.select(*BASE, "y", "x", F.col("v").cast("double").alias("v"), F.lit(0.0).alias("im"))
-    for axis, line in (("x", "y"), ("y", "x")):
-        out = out.groupBy(*BASE, line).applyInArrow(one(axis, line), out.schema)
-    return out.drop("im")
+    for axis in axes:
+        px = px.groupBy(*BASE, "y" if axis == "x" else "x").applyInArrow(along_axis(axis), px.schema)
+    return px
+
+
+def _complex(px: DataFrame) -> DataFrame:
+    im = F.col("im").cast("double") if "im" in px.columns else F.lit(0.0)
+    return px.select(*BASE, "y", "x", F.col("v").cast("double").alias("v"), im.alias("im"))
+
+
+def fourier(px: DataFrame, inverse: bool = False) -> DataFrame:
+    """v, im: the transform of each frame in both axes, of any size; the inverse scales by the number of samples."""
+    import numpy as np
+
+    return _by_lines(_complex(px), np.fft.ifft if inverse else np.fft.fft)
+
+
+def half_shift(px: DataFrame, back: bool = False) -> DataFrame:
+    """Samples moved by half a frame around each axis, which puts the zero frequency in the middle; back undoes it."""
+    d = with_dims(px)
+    half = lambda n: F.ceil(F.col(n) / 2) if back else F.floor(F.col(n) / 2)
+    return d.withColumns({a: F.pmod(F.col(a) + half(n), F.col(n)).cast("int") for a, n in (("y", "h"), ("x", "w"))}).select(*px.columns)
+
+
+def low_pass_rows(grey: DataFrame) -> DataFrame:
+    """Grey by the centred half of the frequencies, at full size. Not for one-pixel frames, which stay as they are."""
+    import numpy as np
+
+    def kept(z):
+        mask = np.zeros(len(z), bool)
+        mask[len(z) // 4 : len(z) - len(z) // 4] = True
+        return np.fft.ifft(np.where(np.fft.ifftshift(mask), np.fft.fft(z), 0))
+
+    return _by_lines(_complex(grey), kept).drop("im")

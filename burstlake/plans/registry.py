@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import photometry as P
-from ..operators import crop, encode, gather, match, merge, robust, stencil
+from ..operators import crop, encode, gather, match, merge, robust, settings, stencil
 from ..sources import frames, rasters
 from ..streaming import bursts
 from . import sql, super_resolve
@@ -31,8 +31,11 @@ def _sixed(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new path in the folder that all executors share; a temporary one where none is set and all is one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    top = top or f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -61,7 +64,8 @@ def a6_pack_tiles(spark, sf):
 
 def a10_header(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("burst_id"), F.lit(64).alias("H"), F.lit(64).alias("W"))
-    return encode.header_rows(s, P.Config()).select("burst_id", "tag", F.size("values").alias("n"))
+    text = F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), " ")
+    return encode.header_rows(s, P.Config()).select("burst_id", "tag", "name", text.alias("numbers"))
 
 
 def b_photometry(spark, sf):
@@ -69,6 +73,7 @@ def b_photometry(spark, sf):
     return _ev(spark, sf).select(
         *KEY, P.six(P.normalise(F.col("v") * 65535, 1000, 65535)).alias("norm"), P.six(P.stabilise("v", c.alpha, c.beta)).alias("stabilised"), P.six(P.srgb("v")).alias("srgb"),
         P.to_16_bits("v").alias("v16"), P.to_8_bits("v").alias("even8"), P.to_8_bits("v", False).alias("away8"), P.six(P.spline_weight(F.col("v") * 2)).alias("spline"), P.channel_of("y", "x").alias("ch"),
+        P.six(P.smoothstep(0.25, 0.75, "v")).alias("smooth"), P.toward_zero((F.col("v") - 0.5) * 7).alias("whole"), P.six(P.between_points("v", 0.125, 0.625, 2, 5)).alias("line"),
     )
 
 
@@ -86,7 +91,9 @@ def c3_crop_to_reference(spark, sf):
 
 
 def c5_valid_bursts(spark, sf):
-    return crop.valid_bursts(rasters.events_px(spark, sf)).groupBy("burst_id").agg(F.count("*").alias("samples"))
+    """A third of the bursts has its reference alone, another third has lost it."""
+    px = rasters.events_px(spark, sf).where("burst_id % 3 = 0 or (burst_id % 3 = 1 and frame_idx = 0) or (burst_id % 3 = 2 and frame_idx > 0)")
+    return crop.valid_bursts(px).groupBy("burst_id").agg(F.count("*").alias("samples"))
 
 
 def d1_box_grey(spark, sf):
@@ -156,10 +163,20 @@ def f4_hessian(spark, sf):
     return _sixed(match.hessians(_sc(spark, sf).where("frame_idx = 0"), 8), "h00", "h01", "h11", "det")
 
 
+def _curves(spark, sf):
+    """Noise curves measured on the pairs of event frames, stored once."""
+    path = shared_path(spark, "noise")
+    robust.noise_curves(rasters.events_px(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def f9_noise_curves(spark, sf):
-    """The table for the noise of each burst's reference, met by brightness: sigma and diff at every scene sample."""
-    lut = robust.noise_curves(spark, P.Config().alpha, P.Config().beta, patches=200)
-    return gather.noise_at(_sc(spark, sf).withColumnRenamed("v", "mean"), lut).select(*KEY, P.six("sigma").alias("sigma"), P.six("diff").alias("diff"))
+    return _sixed(robust.noise_curves(rasters.events_px(spark, sf)), "sigma", "diff")
+
+
+def f3_correlation(spark, sf):
+    px = rasters.scene_px(spark, sf)
+    return match.correlation_map(px.where("frame_idx = 0"), px.where("frame_idx > 0"), _zero_flow(px, 8), 8, 1)
 
 
 def i1_block_match_l1(spark, sf):
@@ -179,7 +196,7 @@ def i3_align(spark, sf):
     """Two levels, from coarse to fine, with refinement at each."""
     c = P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
     stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
-    return _sixed(match.align(stage(_sc(spark, sf), "grey"), c, stage), "dx", "dy")
+    return _sixed(match.align(stage(_sc(spark, sf), "grey"), c, stage), "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
 
 
 def i4_reference_stats(spark, sf):
@@ -192,16 +209,17 @@ def _lut(spark):
     return spark.range(1001).select(F.col("id").cast("int").alias("bin"), s.alias("sigma"), (s * 0.4).alias("diff"))
 
 
-def _noise_table(spark):
-    """The noise curves of the default noise, drawn once and stored."""
-    path = shared_path(spark, "noise")
-    robust.noise_curves(spark, P.Config().alpha, P.Config().beta).write.parquet(path)
-    return spark.read.parquet(path)
+def _trust(spark, sf):
+    px, c = _sc(spark, sf), ISO
+    return robust.robustness(px, robust.reference_stats(px, c), _flow(spark, sf).drop("cost"), _curves(spark, sf), 8, c)
 
 
 def i5_robustness(spark, sf):
-    px, c = _sc(spark, sf), ISO
-    return _sixed(robust.robustness(px, robust.reference_stats(px, c), _flow(spark, sf).drop("cost"), _noise_table(spark), 8, c), "v")
+    return _sixed(_trust(spark, sf), "v")
+
+
+def f7_accumulated(spark, sf):
+    return _sixed(robust.accumulated(_trust(spark, sf)), "v")
 
 
 def i7_merge_reference(spark, sf):
@@ -223,7 +241,7 @@ def i11_super_resolve(spark, sf):
     burst's signal-to-noise ratio, steerable kernels, robustness and the accumulated denoiser, as 16-bit rows."""
     c = P.Config(denoise_accumulated=True)
     stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
-    return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _noise_table(spark), by_snr=True, materialise=stage)[0]
+    return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _curves(spark, sf), by_snr=True, materialise=stage)[0]
 
 
 def _linear(spark, sf):
@@ -234,8 +252,141 @@ def i12_encode(spark, sf):
     return encode.encode_16(_linear(spark, sf), ISO)
 
 
+def a11_export(spark, sf):
+    return encode.export_linear(_linear(spark, sf), shared_path(spark, "linear"))
+
+
 def g5_preview(spark, sf):
-    return encode.preview(_linear(spark, sf), 16, ISO)
+    return encode.write_preview(encode.preview(_linear(spark, sf), 16, ISO), shared_path(spark, "preview"))
+
+
+def a1_burst_scan(spark, sf):
+    """Frames in order of arrival; those whose samples add up to a multiple of three count as unreadable, every second one
+    lacks its last row."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    path = F.floor(F.col("event_id") / 64).cast("long").alias("path")
+    listed = frames.manifest(e.groupBy(F.floor(F.col("event_id") / 512).cast("long").alias("burst_id"), path).agg(F.max("ts").alias("capture_ts")))
+    px = rasters.events_px(spark, sf).withColumn("path", F.col("burst_id") * 8 + F.col("frame_idx")).where("path % 2 = 1 or y < 7")
+    good = px.groupBy("path").agg(F.sum("v").alias("s")).where("s % 3 != 0").select("path")
+    return frames.burst_scan(listed, px.join(good, "path", "left_semi").select("path", "y", "x", "v"))
+
+
+def a2_frame_scan(spark, sf):
+    path = shared_path(spark, "raw")
+    frames.write_stage(rasters.events_px(spark, sf), path)
+    return frames.scan(spark, path, burst_id=0, frame_idx=3).select(F.col("burst_id").cast("long").alias("burst_id"), "frame_idx", "y", "x", "v")
+
+
+def a8_retention(spark, sf):
+    """Stage rows of the bursts whose last event is no older than two days, seen from the last event of all."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    stages = e.groupBy(F.floor(F.col("event_id") / 512).cast("long").alias("burst_id")).agg(F.max("ts").alias("created_at"), F.count("*").alias("n"))
+    path, into = shared_path(spark, "stages"), shared_path(spark, "purged")
+    last = frames.write_stage(stages, path).agg(F.max("created_at")).first()[0]
+    return frames.purge(spark, path, into, str(last), 48).select(F.col("burst_id").cast("long").alias("burst_id"), "n")
+
+
+def _meta(spark, sf):
+    """Two frames of metadata for each scene: the second differs and must not count."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    f = F.explode(F.array(F.lit(0), F.lit(1))).alias("frame_idx")
+    s = s.select(F.col("s_suppkey").cast("long").alias("burst_id"), f, "s_suppkey", "s_nationkey", "n_regionkey", "n_name", "s_name")
+    return s.select(
+        "burst_id", "frame_idx", F.when(F.col("frame_idx") == 0, F.col("n_name")).otherwise("other").alias("make"), F.col("s_name").alias("model"),
+        F.array(F.col("s_nationkey") / 8 + 1, F.col("s_suppkey") % 4 / 2, F.col("n_regionkey") / 4 + 1).alias("multipliers"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.array(*map(F.lit, (0, 1, 3, 2)))).otherwise(F.array(*map(F.lit, (2, 3, 1, 0)))).alias("colours"), (F.col("s_suppkey") % 8).cast("int").alias("flip"),
+        F.array(*[(F.lit(1.0) if i % 4 == 0 else F.lit(0.0)) + (F.col("s_nationkey") + i) % 5 / 16 for i in range(9)]).alias("matrix"),
+        F.when(F.col("s_suppkey") % 3 == 0, "wide2x").otherwise("wide").alias("lens"),
+    )
+
+
+def a4_settings(spark, sf):
+    s = settings.reference_settings(_meta(spark, sf))
+    return s.select("burst_id", "make", "model", *[P.six(F.element_at("white_balance", i + 1)).alias(f"gain_{n}") for i, n in enumerate("rgb")], F.array_join(F.col("cfa").cast("array<string>"), "").alias("cfa"), "orientation", "crop")
+
+
+def e16_settings(spark, sf):
+    """Samples of the references, their colour and gain by the settings of their burst."""
+    s = settings.reference_settings(_meta(spark, sf))
+    px = settings.colour_samples(_sc(spark, sf).where("frame_idx = 0"), s)
+    return _sixed(settings.balanced(px, s).select("burst_id", "y", "x", "ch", "v"), "v")
+
+
+def b7_colour(spark, sf):
+    """Half-size colour of the references through the gains and the matrix of their burst."""
+    rgb = encode.rgb(stencil.guide(_sc(spark, sf).where("frame_idx = 0"), P.Config()).select("burst_id", F.col("y").alias("Y"), F.col("x").alias("X"), "ch", "v"))
+    return _sixed(settings.coloured(rgb, settings.reference_settings(_meta(spark, sf))).select("burst_id", "Y", "X", "r", "g", "b"), "r", "g", "b")
+
+
+def b22_config(spark, sf):
+    """Tuning keys of each burst: given by its map where it has them, else the defaults; and the bounds of linear noise."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("burst_id"), "s_suppkey", "s_acctbal")
+    given = F.create_map(F.lit("r_t"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") / 16), F.lit("k_stretch"), F.col("s_suppkey") % 5 + 0.5, F.lit("alpha"), (F.col("s_suppkey") % 7 + 1) / 4096, F.lit("scale"), F.lit(9.0))
+    out = settings.burst_config(s.select("burst_id", given.alias("overrides")), P.Config())
+    return _sixed(out.select("burst_id", "r_t", "r_s2", "k_stretch", "alpha", "noise_low", "noise_high"), "r_t", "alpha", "noise_low", "noise_high")
+
+
+def e17_complete(spark, sf):
+    """Frames with both parts of their analysis, of bursts that keep a comparison frame."""
+    f = rasters.events_px(spark, sf).select("burst_id", "frame_idx").distinct()
+    return settings.complete_analysis(f, f.where("(frame_idx + burst_id) % 3 > 0"), f.where("frame_idx > 0 and burst_id % 4 > 0"))
+
+
+def c4_not_empty(spark, sf):
+    meta = rasters.events_px(spark, sf).groupBy("burst_id", "frame_idx").agg((F.count_if(F.col("v") % 2 == 0) % 3).cast("int").alias("h"), F.lit(1).alias("w"))
+    return crop.not_empty(meta)
+
+
+def c11_first_frames(spark, sf):
+    return crop.first_frames(rasters.events_px(spark, sf), F.lit(1)).groupBy("burst_id").agg(F.count("*").alias("samples"), F.max("frame_idx").alias("last"))
+
+
+def d3_fourier(spark, sf):
+    """Transforms of the event frames with the zero frequency in the middle."""
+    return _sixed(stencil.half_shift(stencil.fourier(_ev(spark, sf))), "v", "im")
+
+
+def d3_inverse(spark, sf):
+    """There and back again."""
+    f = stencil.half_shift(stencil.half_shift(stencil.fourier(_ev(spark, sf))), back=True)
+    return _sixed(stencil.fourier(f, inverse=True).select(*KEY, "v"), "v")
+
+
+def h3_pyramid(spark, sf):
+    return _sixed(stencil.pyramid_levels(_sc(spark, sf), (1, 2, 4)), "v")
+
+
+def d14_hard(spark, sf):
+    return _sixed(stencil.kernel_field(_ev(spark, sf), P.Config(hard_selection=True)), "xx", "xy", "yy")
+
+
+def e5_bilinear(spark, sf):
+    """Reads between samples with nothing beyond the frame; the negative step has a negative fraction."""
+    px = _sc(spark, sf).where("frame_idx = 1")
+    asked = stencil.with_dims(px).withColumns({"dx": F.lit(0.375), "dy": F.lit(-0.25)}).drop("v")
+    return _sixed(gather.bilinear(asked, px, F.col("dx"), F.col("dy"), False, KEY).select(*KEY, "mov"), "mov")
+
+
+def e6_bilinear_clamped(spark, sf):
+    px = _sc(spark, sf).where("frame_idx = 1")
+    asked = stencil.with_dims(px).withColumns({"dx": F.lit(-1.625), "dy": F.lit(2.25)}).drop("v")
+    return _sixed(gather.bilinear(asked, px, F.col("dx"), F.col("dy"), True, KEY).select(*KEY, "mov"), "mov")
+
+
+def e8_kernel_at(spark, sf):
+    """The inverse kernel at each raw sample of the event frames."""
+    px = _ev(spark, sf)
+    out = gather.inverse_kernel_at(px.select(*KEY), stencil.kernel_field(px, P.Config()), F.col("y") / 2 - 0.5, F.col("x") / 2 - 0.5)
+    return out.select(*KEY, *[P.six(F.col(n) / 1000).alias(n) for n in ("ixx", "ixy", "iyy")])
+
+
+def h2_replaced(spark, sf):
+    """All frames, where the reference's kernel grows and its part replaces theirs by how many frames could be trusted."""
+    px, c = _sc(spark, sf), P.Config(steerable=False, tile_sizes=(8, 8, 8, 8), denoise_accumulated=True)
+    acc = rasters.scene_px(spark, sf).where("frame_idx = 1").select("burst_id", "y", "x", (F.col("v") % 4).alias("v"))
+    ones = px.where("frame_idx > 0").withColumn("v", F.lit(1.0))
+    comp = merge.merge_comparison(px, _flow(spark, sf).drop("cost"), ones, None, 8, c)
+    return _sixed(merge.accumulate(comp, merge.merge_reference(px, None, acc, c)), "num", "den")
 
 
 def a9_output_rows(spark, sf):
@@ -256,10 +407,11 @@ def j1_burst_assembly(spark, sf):
 
 
 ALL = (
-    a3_manifest, a4_reference_meta, a5_unpack, a6_pack_tiles, a9_output_rows, a10_header, b_photometry, b30_snr, c2_centre_crop, c3_crop_to_reference, c5_valid_bursts,
-    d1_box_grey, d2_low_pass, d4_pad_circular, d5_downsample, d7_gradients, d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor,
-    d14_kernel_field, d15_flow_irregularity, e15_upscale_flow, f4_hessian, f9_noise_curves, g5_preview, i1_block_match_l1, i1_block_match_l2, i2_refine_step, i3_align,
-    i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
+    a1_burst_scan, a2_frame_scan, a3_manifest, a4_reference_meta, a4_settings, a5_unpack, a6_pack_tiles, a8_retention, a9_output_rows, a10_header, a11_export, b_photometry, b7_colour, b22_config,
+    b30_snr, c2_centre_crop, c3_crop_to_reference, c4_not_empty, c5_valid_bursts, c11_first_frames, d1_box_grey, d2_low_pass, d3_fourier, d3_inverse, d4_pad_circular, d5_downsample, d7_gradients,
+    d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor, d14_kernel_field, d14_hard, d15_flow_irregularity, e5_bilinear, e6_bilinear_clamped, e8_kernel_at,
+    e15_upscale_flow, e16_settings, e17_complete, f3_correlation, f4_hessian, f7_accumulated, f9_noise_curves, g5_preview, h2_replaced, h3_pyramid, i1_block_match_l1, i1_block_match_l2,
+    i2_refine_step, i3_align, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
 )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.crop import crop_to_reference
+
 
 def manifest(frames: DataFrame) -> DataFrame:
     """burst_id, frame_idx, capture_ts, path: frames in order of arrival, the first is the reference."""
@@ -19,6 +21,17 @@ def scan(spark: SparkSession, path: str, burst_id: int | None = None, frame_idx:
     return px if frame_idx is None else px.where(F.col("frame_idx") == frame_idx)
 
 
+def burst_scan(listed: DataFrame, samples: DataFrame) -> DataFrame:
+    """burst_id, frame_idx, y, x, v of the listed(burst_id, frame_idx, path) frames that have samples(path, y, x, v).
+
+    Frames that could not be read have none and are passed over: the others move up, so the first readable one is the
+    reference, and all are cropped to its even size."""
+    readable = samples.select("path").distinct()
+    order = Window.partitionBy("burst_id").orderBy("frame_idx")
+    kept = listed.join(readable, "path", "left_semi").withColumn("frame_idx", (F.row_number().over(order) - 1).cast("int"))
+    return crop_to_reference(kept.select("burst_id", "frame_idx", "path").join(samples, "path").select("burst_id", "frame_idx", "y", "x", "v"))
+
+
 def reference_metadata(px: DataFrame) -> DataFrame:
     """h, w, black and white of frame 0 for every frame of its burst."""
     meta = px.where("frame_idx = 0").groupBy("burst_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.min("v").alias("black"), F.max("v").alias("white"))
@@ -31,6 +44,12 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def purge(spark: SparkSession, path: str, into: str, now: str, hours: int = 24) -> DataFrame:
+    """Rewrite the stage table at path without stale bursts, and read it back; readers move to `into`, the old one can go."""
+    retained(spark.read.parquet(path), now, hours).write.partitionBy("burst_id").parquet(into)
+    return spark.read.parquet(into)
+
+
 def retained(stages: DataFrame, now: str, hours: int = 24) -> DataFrame:
     """Stage rows of bursts that are not stale: created_at within the last hours."""
     return stages.where(F.col("created_at") >= F.to_timestamp(F.lit(now)) - F.expr(f"interval {int(hours)} hours"))

@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "burst_id long, status string, n int, first_ts timestamp, last_ts timestamp"
-STATE = "n int, first_ts timestamp, last_ts timestamp"
+STATE = "n int, first_ts timestamp, last_ts timestamp, seen_ts timestamp, closed boolean"
 
 
 def assemble(frames: DataFrame, expected: int = 8, least: int = 2, late: str = "10 minutes") -> DataFrame:
     """burst_id, status, n, first_ts, last_ts of a stream frames(burst_id, capture_ts, status), one row for each burst that ends.
 
     complete: `expected` good frames have come. aborted: a frame came with status "error"; what was held is dropped. failed:
-    the watermark passed with fewer than `least` good frames; expired: with fewer than expected. State is bounded by the
-    bursts that are open within the watermark."""
+    the watermark passed with fewer than `least` good frames; expired: with fewer than expected. A burst ends once: frames
+    that come after its end are passed over. State is bounded by the bursts that have frames within the watermark."""
+    zone = frames.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def step(key, batches, state: GroupState):
+        n, first, last, seen, closed = state.get if state.exists else (0, None, None, None, False)
         if state.hasTimedOut:
-            n, first, last = state.get
             state.remove()
+            if closed:
+                return
             yield pd.DataFrame({"burst_id": [key[0]], "status": ["failed" if n < least else "expired"], "n": [n], "first_ts": [first], "last_ts": [last]})
             return
-        n, first, last = state.get if state.exists else (0, None, None)
         status = None
         for b in batches:
+            seen = b["capture_ts"].max() if seen is None else max(seen, b["capture_ts"].max())
+            if closed:
+                continue
             if (b["status"] == "error").any():
                 status = "aborted"
             good = b[b["status"] != "error"]
@@ -36,15 +41,12 @@ def assemble(frames: DataFrame, expected: int = 8, least: int = 2, late: str = "
             if len(good):
                 first = good["capture_ts"].min() if first is None else min(first, good["capture_ts"].min())
                 last = good["capture_ts"].max() if last is None else max(last, good["capture_ts"].max())
-        if status is None and n >= expected:
+        if status is None and n >= expected and not closed:
             status = "complete"
         if status is not None:
-            if state.exists:
-                state.remove()
             yield pd.DataFrame({"burst_id": [key[0]], "status": [status], "n": [n], "first_ts": [first], "last_ts": [last]})
-            return
-        state.update((n, first, last))
-        ahead = int(pd.Timestamp(last).timestamp() * 1000) if last is not None else 0
+        state.update((n, first, last, seen, closed or status is not None))
+        ahead = int(pd.Timestamp(seen).tz_localize(zone, ambiguous=False, nonexistent="shift_forward").timestamp() * 1000)  # naive, in the session's zone
         state.setTimeoutTimestamp(max(ahead, state.getCurrentWatermarkMs()) + 1)
 
     timed = frames.withColumn("capture_ts", F.col("capture_ts").cast("timestamp")).withWatermark("capture_ts", late)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstlake.functions import photometry as P
-from burstlake.operators import crop, gather, match, merge, robust, stencil
+from burstlake.operators import crop, gather, match, merge, robust, settings, stencil
 from burstlake.plans import registry, super_resolve
 from burstlake.sources import rasters
 
@@ -111,9 +111,42 @@ def test_reference_border_is_infinite(spark):
     assert {r.mean for r in s.where("y = 0 or x = 0").collect()} == {float("inf")}
 
 
-def test_noise_curves_have_all_levels(spark):
-    lut = robust.noise_curves(spark, 1e-3, 1e-5, patches=50)
-    assert lut.count() == 1001 and lut.where("sigma <= 0 or diff <= 0").count() == 0
+def test_noise_curves_are_measured(spark):
+    """Still pairs whose cells differ by four steps in brightness 0.25 and by none in 0.75; levels between lie on a line of squares."""
+    still = frame(spark, [[100] * 3 + [300] * 3] * 3).unionByName(frame(spark, [[104] * 3 + [300] * 3] * 3, idx=1))
+    assert robust.noise_curves(still.where("v < 0"), 400).count() == 0
+    lut = {r.bin: r for r in robust.noise_curves(still, 400).collect()}
+    assert len(lut) == 1001 and lut[255].diff == lut[0].diff == pytest.approx(0.01) and lut[750].diff == lut[1000].diff == 0
+    assert lut[502].diff == pytest.approx(0.01 * (1 - 247 / 495) ** 0.5) and all(r.sigma == 0 for r in lut.values())
+    uneven = robust.noise_curves(frame(spark, [[0, 0, 0], [0, 90, 0], [0, 0, 0]]).unionByName(frame(spark, [[0, 0, 0], [0, 90, 0], [0, 0, 0]], idx=1)), 100).first()
+    assert uneven.sigma == pytest.approx(0.1 * 8**0.5) and uneven.diff == 0
+
+
+def test_replacing_covers_all_channels(spark):
+    """A pixel of which the reference gives one channel loses the others as well; beside it they are added."""
+    shape = "burst_id long, Y int, X int, ch int, num double, den double, src string"
+    comp = spark.createDataFrame([(1, 0, 0, 0, 2.0, 1.0, "comp"), (1, 0, 0, 1, 3.0, 1.0, "comp"), (1, 0, 1, 0, 5.0, 1.0, "comp")], shape)
+    ref = spark.createDataFrame([(1, 0, 0, 0, 7.0, 2.0, "ref"), (1, 0, 1, 0, 1.0, 1.0, "ref")], shape).withColumn("replaces", F.col("X") == 0)
+    assert {(r.X, r.ch): (r.num, r.den) for r in merge.accumulate(comp, ref).collect()} == {(0, 0): (7, 2), (0, 1): (0, 0), (1, 0): (6, 2)}
+
+
+def test_noise_bounds_and_overrides(spark):
+    low, high = spark.range(1).select(*P.linear_noise(1.80710882e-4, 3.1937599182e-6)).first()
+    assert low == pytest.approx(0.0169, abs=1e-3) and high == pytest.approx(0.961, abs=1e-3)
+    s = spark.createDataFrame([(1, {"r_t": 0.5, "other": 1.0}), (2, None)], "burst_id long, overrides map<string,double>")
+    got = {r.burst_id: r for r in settings.burst_config(s, P.Config()).collect()}
+    assert got[1].r_t == 0.5 and got[2].r_t == got[1].alpha / P.Config().alpha * 0.15 == pytest.approx(0.15)
+
+
+def test_transforms_of_any_size(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(5, 6))
+    f = stencil.half_shift(stencil.fourier(frame(spark, v)))
+    want = np.fft.fftshift(np.fft.fft2(v))
+    assert all(r.v + 1j * r.im == pytest.approx(want[r.y, r.x]) for r in f.collect())
+    back = stencil.fourier(stencil.half_shift(f, back=True), inverse=True).collect()
+    assert len(back) == 30 and all(r.v == pytest.approx(v[r.y, r.x]) and abs(r.im) < 1e-9 for r in back)
 
 
 def test_planes_round_trip(spark):
@@ -131,7 +164,7 @@ def test_whole_path_aligns_and_tunes_each_burst(spark, monkeypatch):
     acc = "burst_id long, Y int, X int, ch int, num double, den double"
     monkeypatch.setattr(super_resolve, "merged", lambda px, c, lut, **how: seen.append((c.tile_sizes, how["tuned"].first(), how.get("flow"), lut)) or spark.createDataFrame([], acc))
     monkeypatch.setattr(registry, "_sc", lambda spark, sf: px)
-    registry.i11_super_resolve(spark, "")
+    registry.i11_super_resolve(spark, SF)
     dim, bright = sorted(seen, key=lambda s: -s[0][0])
     assert dim[0] == (64, 64, 64, 32) and bright[0] == (16, 16, 16, 8) and dim[2] is bright[2] is None
     assert dim[1].k_denoise > bright[1].k_denoise == pytest.approx(3.0) and bright[3].where("bin = 500").first().diff != registry._lut(spark).where("bin = 500").first().diff
