@@ -79,11 +79,12 @@ def refine(ref: DataFrame, moving: DataFrame, flow: DataFrame, tile: int, turns:
     return flow
 
 
-def align(grey: DataFrame, c: P.Config, materialise=lambda df, name: df) -> DataFrame:
+def align(grey: DataFrame, c: P.Config, materialise=lambda df, name: df, step=None) -> DataFrame:
     """Flow of every comparison frame (frame_idx > 0) against frame 0, from the coarsest level to the finest.
 
     grey: samples of all frames. Only the reference is padded to whole tiles. materialise(df, name) cuts the lineage
-    between levels, for example by writing a stage table."""
+    between levels, for example by writing a stage table. step(ref, moving, start, level) -> flow does the work of a level:
+    sample by sample unless given, in tile form by tiles.level_step."""
     ref = pyramid(pad_circular(grey.where("frame_idx = 0"), c.tile_sizes[0]), c.factors)
     moving = pyramid(grey.where("frame_idx > 0"), c.factors)
     frames = grey.where("frame_idx > 0").select(*BASE).distinct()
@@ -96,6 +97,10 @@ def align(grey: DataFrame, c: P.Config, materialise=lambda df, name: df) -> Data
             start = grid.withColumns({"dx": F.lit(0.0), "dy": F.lit(0.0)})
         else:
             start = upscale_flow(flow, grid, c.factors[level + 1], tile, c.tile_sizes[level + 1])
-        found = block_match(ref[level], moving[level], start, tile, c.radii[level], c.metrics[level]).drop("cost")
-        flow = materialise(refine(ref[level], moving[level], found, tile, c.refine_turns), f"flow_{level}")
+        if step is None:
+            found = block_match(ref[level], moving[level], start, tile, c.radii[level], c.metrics[level]).drop("cost")
+            found = refine(ref[level], moving[level], found, tile, c.refine_turns)
+        else:
+            found = step(ref[level], moving[level], start, level)
+        flow = materialise(found, f"flow_{level}")
     return flow

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import photometry as P
-from ..operators import crop, encode, gather, match, merge, robust, settings, stencil
+from ..operators import crop, encode, gather, match, merge, robust, settings, stencil, tiles
 from ..sources import frames, rasters
 from ..streaming import bursts
 from . import sql, super_resolve
@@ -199,6 +199,20 @@ def i3_align(spark, sf):
     return _sixed(match.align(stage(_sc(spark, sf), "grey"), c, stage), "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
 
 
+def i1_tiles(spark, sf):
+    """i1_block_match_l1 in tile form."""
+    px = rasters.scene_px(spark, sf)
+    return tiles.match_and_refine(tiles.stored(px.where("frame_idx = 0"), 16), tiles.stored(px.where("frame_idx > 0"), 16), _zero_flow(px, 8), 8, 2, side=16, block=2)
+
+
+def i3_tiles(spark, sf):
+    """i3_align in tile form."""
+    c = P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
+    stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
+    flow = match.align(stage(_sc(spark, sf), "grey"), c, stage, tiles.level_step(c, 16, 2, stage))
+    return _sixed(flow, "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
+
+
 def i4_reference_stats(spark, sf):
     return _sixed(robust.reference_stats(_sc(spark, sf), P.Config()).drop("frame_idx"), "mean", "var")
 
@@ -411,7 +425,7 @@ ALL = (
     b30_snr, c2_centre_crop, c3_crop_to_reference, c4_not_empty, c5_valid_bursts, c11_first_frames, d1_box_grey, d2_low_pass, d3_fourier, d3_inverse, d4_pad_circular, d5_downsample, d7_gradients,
     d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor, d14_kernel_field, d14_hard, d15_flow_irregularity, e5_bilinear, e6_bilinear_clamped, e8_kernel_at,
     e15_upscale_flow, e16_settings, e17_complete, f3_correlation, f4_hessian, f7_accumulated, f9_noise_curves, g5_preview, h2_replaced, h3_pyramid, i1_block_match_l1, i1_block_match_l2,
-    i2_refine_step, i3_align, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
+    i1_tiles, i2_refine_step, i3_align, i3_tiles, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
 )
 
 

@@ -249,7 +249,9 @@ ORACLES = {
     "h2_replaced": sql("sc scu flow1 hrcomp hrwide", f"""SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, ch, {six('CASE WHEN rep THEN rn ELSE rn+cn END')} AS num, {six('CASE WHEN rep THEN rd ELSE rd+cd END')} AS den FROM (
       SELECT burst_id, Y, X, ch, bool_or(rep) OVER (PARTITION BY burst_id, Y, X) AS rep, coalesce(r.num,0) AS rn, coalesce(r.den,0) AS rd, coalesce(c.num,0) AS cn, coalesce(c.den,0) AS cd FROM hrwide r FULL JOIN hrcomp c USING (burst_id, Y, X, ch))"""),
     "h3_pyramid": "WITH sc AS (" + CTES["sc"] + "), scu AS (" + CTES["scu"] + "), d AS (" + _down("scu", 32) + f") SELECT {KEY}, {six('v')} AS v, CAST(level AS INTEGER) AS level FROM (SELECT *, 0 AS level FROM scu UNION ALL SELECT *, unnest([1,2]) AS level FROM d)",
+    "i1_tiles": sql("sc", f"SELECT burst_id, frame_idx, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, dx, dy, cost FROM ({_match('L1')})"),
     "i3_align": _align(),
+    "i3_tiles": _align(),
     "i5_robustness": sql("ev sc scu quads qstats wref flow1 wcomp rough cells known lut trust", f"SELECT {KEY}, {six('v')} AS v FROM trust"),
     "j1_burst_assembly": "SELECT event_id // 512 AS burst_id, 'complete' AS status, 8 AS n FROM events GROUP BY 1 HAVING count(*)=512",
 }

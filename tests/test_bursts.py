@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstlake.functions import photometry as P
-from burstlake.operators import crop, gather, match, merge, robust, settings, stencil
+from burstlake.operators import crop, gather, match, merge, robust, settings, stencil, tiles
 from burstlake.plans import registry, super_resolve
 from burstlake.sources import rasters
 
@@ -170,3 +170,21 @@ def test_whole_path_aligns_and_tunes_each_burst(spark, monkeypatch):
     assert dim[1].k_denoise > bright[1].k_denoise == pytest.approx(3.0) and bright[3].where("bin = 500").first().diff != registry._lut(spark).where("bin = 500").first().diff
     a, b = (stencil.kernel_field(px.where("burst_id = 2 and frame_idx = 0"), P.Config(), t).agg(F.avg("xx")).first()[0] for t in (None, super_resolve.snr_table(px, P.Config())))
     assert a != b
+
+
+def test_tile_form_equals_pixel_form(spark):
+    """A frame of several blocks, uneven at its ends, started far off, refined in several turns: flow and cost agree, and tiles
+    that refinement leads away are fetched again."""
+    wave = lambda dx, dy: [[math.sin((x + dx) * 0.21) + math.cos((y + dy) * 0.17) + 0.3 * math.sin((x + dx) * (y + dy) * 0.01) for x in range(44)] for y in range(36)]
+    ref, moving = frame(spark, wave(0, 0)), frame(spark, wave(2.4, -1.3), idx=1)
+    grid = match.tiles_of(spark.createDataFrame([(1, 1, 36, 44)], "burst_id long, frame_idx int, h int, w int"), 8)
+    start = grid.withColumns({"dx": (F.col("tx") % 3).cast("double") * 3, "dy": -F.col("ty").cast("double")})
+    for metric in ("L1", "L2"):
+        found = match.block_match(ref, moving, start, 8, 2, metric)
+        want = {(r.ty, r.tx): r for r in match.refine(ref, moving, found.drop("cost"), 8, 3).collect()}
+        cost = {(r.ty, r.tx): r.cost for r in found.collect()}
+        got = tiles.match_and_refine(tiles.stored(ref, 16), tiles.stored(moving, 16), start, 8, 2, metric, 3, side=16, block=2).collect()
+        assert len(got) == len(want) == 20
+        for r in got:
+            w = want[r.ty, r.tx]
+            assert (r.dx, r.dy, r.cost) == pytest.approx((w.dx, w.dy, cost[r.ty, r.tx]), abs=1e-5)
