@@ -85,8 +85,8 @@ def align(grey: DataFrame, c: P.Config, materialise=lambda df, name: df, step=No
     grey: samples of all frames. Only the reference is padded to whole tiles. materialise(df, name) cuts the lineage
     between levels, for example by writing a stage table. step(ref, moving, start, level) -> flow does the work of a level:
     sample by sample unless given, in tile form by tiles.level_step."""
-    ref = pyramid(pad_circular(grey.where("frame_idx = 0"), c.tile_sizes[0]), c.factors)
-    moving = pyramid(grey.where("frame_idx > 0"), c.factors)
+    ref = pyramid(pad_circular(grey.where("frame_idx = 0"), c.tile_sizes[0]), c.factors, materialise)
+    moving = pyramid(grey.where("frame_idx > 0"), c.factors, materialise)
     frames = grey.where("frame_idx > 0").select(*BASE).distinct()
     flow = None
     for level in range(len(c.factors) - 1, -1, -1):

@@ -76,11 +76,11 @@ def downsample(px: DataFrame, factor: int) -> DataFrame:
     return out.select(*px.columns).unionByName(d.where(small).select(*px.columns))
 
 
-def pyramid(px: DataFrame, factors=(1, 2, 4, 4)) -> list[DataFrame]:
-    """Levels from fine to coarse, each made from the one before."""
+def pyramid(px: DataFrame, factors=(1, 2, 4, 4), materialise=lambda df, name: df) -> list[DataFrame]:
+    """Levels from fine to coarse, each made from the one before; materialise(df, name) stores them, so that none is made twice."""
     levels = []
-    for f in factors:
-        px = downsample(px, f)
+    for i, f in enumerate(factors):
+        px = materialise(downsample(px, f), f"level_{i}")
         levels.append(px)
     return levels
 
