@@ -38,6 +38,7 @@ SHARED = 1 << 12  #: leaves of all other words
 LEAST_ROWS = 1 << 15  #: rows of hashed weights
 PAGE = 512  #: rows of weights that travel together
 CHUNK = 8192  #: tokens of one numpy batch
+SLICE = 1 << 17  #: tokens whose features are held at once, in whole documents
 STEPS, LEAST_BATCH = 64, 16  #: a block makes about so many gradient steps at least, unless its batches get smaller than this
 FEATURES = 4
 SMOOTH = 0.1
@@ -69,6 +70,10 @@ class Tree:
     keys: np.ndarray  #: a hash of each class
     mass: np.ndarray  #: training tokens of each shared leaf
 
+    def __setstate__(self, state: dict) -> None:
+        """Arrays that have travelled carry copies of their types, for which numpy takes slow paths; a view has the type itself."""
+        self.__dict__.update({k: v.view(np.dtype(v.dtype.str).type) for k, v in state.items()})
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         shared = len(self.words) + (h >> np.uint64(20) & np.uint64(SHARED - 1)).astype(np.int64)
         if not len(self.words):
@@ -201,14 +206,14 @@ def _opened(piece: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
 
 
 PAGES = "page long, used binary, w binary"
-BLOCK = "block long, part int, docs binary, words binary, k long, n long"
+BLOCK = "block long, part int, docs binary, words binary, times binary"
 
 
 def _blocked(rounds: int, most: int):
-    """(doc_id, held, text) -> a row for each block with its documents, and one for each of its distinct words.
+    """(doc_id, held, text) -> a row for each block: its documents, its distinct words and how often it has each.
 
     Training documents are dealt to the rounds in turn; the rest is part `rounds`. A block ends at `most` tokens."""
-    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("docs", pa.binary()), ("words", pa.binary()), ("k", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("docs", pa.binary()), ("words", pa.binary()), ("times", pa.binary())])
 
     def run(batches):
         held = {p: ([], []) for p in range(rounds + 1)}
@@ -218,11 +223,7 @@ def _blocked(rounds: int, most: int):
             nonlocal made
             ids, docs = held[part]
             k, places, n = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"block": [task + made], "part": [part], "docs": [_piece(ids, [len(d) for d in docs], places)], "words": [k.tobytes()], "k": [None], "n": [None]}, schema)
-            for s in range(0, len(k), 1 << 16):
-                some = k[s : s + (1 << 16)]
-                none = pa.nulls(len(some), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), task + made)), pa.array(np.full(len(some), part, np.int32)), none, none, pa.array(as_long(some)), pa.array(n[s : s + (1 << 16)])], schema=schema)
+            yield pa.RecordBatch.from_pydict({"block": [task + made], "part": [part], "docs": [_piece(ids, [len(d) for d in docs], places)], "words": [k.tobytes()], "times": [n.astype(np.uint32).tobytes()]}, schema)
             made, held[part], size[part] = made + 1, ([], []), 0
 
         for b in batches:
@@ -242,6 +243,33 @@ def _blocked(rounds: int, most: int):
     return run
 
 
+def _listed(own: np.ndarray):
+    """(block, words, times) -> a row for each word of each block that is not one of `own`, which are in order."""
+
+    def run(batches):
+        for b in batches:
+            for block, words, times in zip(*(b.column(i).to_pylist() for i in range(3))):
+                k, n = np.frombuffer(words, np.uint64), np.frombuffer(times, np.uint32)
+                if len(own):
+                    rest = own[np.minimum(np.searchsorted(own, k), len(own) - 1)] != k
+                    k, n = k[rest], n[rest]
+                for s in range(0, len(k), 1 << 16):
+                    some = k[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(as_long(some)), pa.array(n[s : s + (1 << 16)].astype(np.int64))], ["block", "k", "n"])
+
+    return run
+
+
+def _slices(size: np.ndarray, most: int):
+    """Runs [first, last) of documents and of their tokens, of at most `most` tokens unless a document alone has more."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        low = int(ends[at - 1]) if at else 0
+        last = max(at + 1, int(np.searchsorted(ends, low + most, "right")))
+        yield at, last, low, int(ends[last - 1])
+        at = last
+
+
 def _pages(w: np.ndarray, used: np.ndarray) -> pa.Table:
     """Weights as pages of half floats, with the use of each row."""
     at = range(0, len(w), PAGE)
@@ -261,13 +289,14 @@ def _trained(tree: Tree, bits: int, rate: float):
         w = _weights(given["page"], given["w"], bits)
         before, used, square = w.copy(), np.zeros(len(w), np.float32), np.full(len(w), 1e-6, np.float32)
         for piece, words in zip(docs["docs"].to_pylist(), docs["words"].to_pylist()):
-            _, places, starts, _ = _opened(piece)
+            _, places, starts, size = _opened(piece)
             words = np.frombuffer(words, np.uint64)
-            symbols, h = tree.symbols(words)[places], words[places]
-            features = history(h, starts)
-            batch = min(CHUNK, max(LEAST_BATCH, len(h) // STEPS))
-            for s in range(0, len(h), batch):
-                descend(tree, w, used, square, bits, symbols[s : s + batch], features[:, s : s + batch], rate)
+            symbols, batch = tree.symbols(words), min(CHUNK, max(LEAST_BATCH, len(places) // STEPS))
+            for _, _, low, high in _slices(size, SLICE):
+                of = places[low:high]
+                y, features = symbols[of], history(words[of], starts[low:high])
+                for s in range(0, len(of), batch):
+                    descend(tree, w, used, square, bits, y[s : s + batch], features[:, s : s + batch], rate)
         return _pages(w - before, used)
 
     return run
@@ -315,10 +344,10 @@ def _scored(tree: Tree, bits: int, n: float, v: int, unseen: float, held: int):
     base_of = lambda c: np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
 
     def run(docs, given):
-        is_page = pa.compute.is_valid(given["page"])
-        pages, met = given.filter(is_page), given.filter(pa.compute.invert(is_page))
+        is_page = pa.compute.is_valid(docs["page"])
+        pages, docs = docs.filter(is_page), docs.filter(pa.compute.invert(is_page))
         w = _weights(pages["page"], pages["w"], bits)
-        k, n_of = met["k"].to_numpy().view(np.uint64), met["n"].to_numpy().astype(np.float64)
+        k, n_of = given["k"].to_numpy().view(np.uint64), given["n"].to_numpy().astype(np.float64)
         order = np.argsort(k)
         k, n_of, out = k[order], n_of[order], []
         own = len(tree.words)
@@ -331,14 +360,17 @@ def _scored(tree: Tree, bits: int, n: float, v: int, unseen: float, held: int):
             if len(rest) and len(k):
                 at = np.minimum(np.searchsorted(k, words[rest]), len(k) - 1)
                 count[rest] = np.where(k[at] == words[rest], n_of[at], 0)
-            symbols, count, h = symbols[places], count[places], words[places]
-            features, rest = history(h, starts), np.flatnonzero(symbols >= own)
-            model = np.concatenate([log_shares(tree, w, bits, symbols[s : s + CHUNK], features[:, s : s + CHUNK]) for s in range(0, len(h), CHUNK)])
-            model[rest] += np.log10(np.maximum(count[rest], 1) / np.maximum(tree.mass[symbols[rest] - own], 1))
-            model = np.where(count > 0, model + math.log10(max(1 - unseen, 1e-30)), math.log10(unseen))
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            sums = [np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), base_of(count), model)]
-            out.append(pa.table([ids, pa.array(np.full(len(ids), part == held)), pa.array(size.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+            inside = np.zeros(len(words))
+            inside[rest] = np.log10(np.maximum(count[rest], 1) / np.maximum(tree.mass[symbols[rest] - own], 1))
+            base = base_of(count)
+            for at, last, low, high in _slices(size, SLICE):
+                of = places[low:high]
+                y, features = symbols[of], history(words[of], starts[low:high])
+                model = np.concatenate([log_shares(tree, w, bits, y[s : s + CHUNK], features[:, s : s + CHUNK]) for s in range(0, len(of), CHUNK)])
+                model = np.where(count[of] > 0, model + inside[of] + math.log10(max(1 - unseen, 1e-30)), math.log10(unseen))
+                first = np.cumsum(size[at:last]) - size[at:last]
+                sums = [np.add.reduceat(x, first) for x in ((count[of] > 0).astype(np.int64), base[of], model)]
+                out.append(pa.table([ids.slice(at, last - at), pa.array(np.full(last - at, part == held)), pa.array(size[at:last]), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out)
 
     return run
@@ -358,8 +390,9 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, rounds: int = 3
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     bits = row_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     made = cut(docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held"), "text").mapInArrow(_blocked(rounds, 32 << bits), BLOCK), "blocks")
-    blocks, asked = made.where("k is null").select("block", "part", "docs", "words"), made.where("k is not null").select("block", "part", "k", "n")
-    counts = cut(asked.where(F.col("part") < rounds).groupBy("k").agg(F.sum("n").alias("n")), "counts")
+    blocks = made.select("block", "part", "docs", "words")
+    listed = lambda own, which: made.where(which).select("block", "words", "times").mapInArrow(_listed(own), "block long, k long, n long")
+    counts = cut(listed(np.empty(0, np.uint64), F.col("part") < rounds).groupBy("k").agg(F.sum("n").alias("n")), "counts")
     n, v, once = (x or 0 for x in counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first())
     own = counts.where(F.col("n") * HEADS >= n)
     heads = own.toPandas()  # at most HEADS rows: each has that share of the tokens
@@ -370,7 +403,7 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, rounds: int = 3
     tree = grow_tree(heads["k"].to_numpy(np.int64).view(np.uint64), heads["n"].to_numpy(), mass)
     weights = train(blocks, tree, bits, rounds)
 
-    words = asked.select("block", "k").join(rest, "k").select("block", F.lit(None).cast("long").alias("page"), F.lit(None).cast("binary").alias("w"), "k", "n")
-    pages = _for_each(blocks, weights, bits).select("block", "page", "w", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("n"))
-    out = blocks.groupBy("block").cogroup(apart(words.unionByName(pages)).groupBy("block")).applyInArrow(_scored(tree, bits, float(n), v, (once + 1) / (n + 1), rounds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    words = listed(tree.words, F.lit(True)).select("block", "k").join(rest, "k").select("block", "k", "n")
+    whole = blocks.unionByName(_for_each(blocks, weights, bits), allowMissingColumns=True)
+    out = whole.groupBy("block").cogroup(apart(words).groupBy("block")).applyInArrow(_scored(tree, bits, float(n), v, (once + 1) / (n + 1), rounds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

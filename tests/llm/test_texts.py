@@ -259,9 +259,11 @@ def test_scores_against_plain_sums(monkeypatch):
     w, docs, n, v, unseen = r.normal(size=(1 << 15, lm.FAN)).astype(np.float16).astype(np.float32), [words[[1, 45, 3, 59, 1]], words[[50, 2]]], 900.0, 50, 0.1
     rest = {int(k): 2 for k in words[40:55] if tree.mass[int(k) >> 20 & 7]}
     k, places = np.unique(np.concatenate(docs), return_inverse=True)
-    block = pa.table({"part": [3], "docs": [lm._piece([7, None], [5, 2], places)], "words": [k.tobytes()]})
     pages = lm._pages(w, np.zeros(len(w), np.float32))
-    given = pa.table({"page": [*pages["page"].to_pylist(), *[None] * len(rest)], "w": [*pages["w"].to_pylist(), *[None] * len(rest)], "k": [*[None] * len(pages), *(x - (x >> 63 << 64) for x in rest)], "n": [*[None] * len(pages), *rest.values()]})
+    none = [None] * len(pages)
+    block = pa.table({"part": [3, *none], "docs": [lm._piece([7, None], [5, 2], places), *none], "words": [k.tobytes(), *none], "page": [None, *pages["page"].to_pylist()], "w": [None, *pages["w"].to_pylist()]})
+    given = pa.table({"k": [x - (x >> 63 << 64) for x in rest], "n": list(rest.values())})
+    monkeypatch.setattr(lm, "SLICE", 4)
     got = lm._scored(tree, 15, n, v, unseen, 3)(block, given).to_pylist()
     for row, h in zip(got, docs):
         base = score = known = 0.0
