@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, minhash, mixing, packing, pq_dedup, quality, suffix, toxicity, warc
+from . import ann, divergence, lm, minhash, mixing, packing, pq_dedup, quality, spelling, suffix, token_counts, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +59,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_resynchronised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_packing, op2_toxicity, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op6_compression, op7_warc, op8_maxent, op9_mixing, op10_minhash,
+    op11_resynchronised_counts, op12_spelling_variants, op13_divergence_cells,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_multi_index, op4_suffix_dedup, op5_product_quantisation, op6_compression, op7_warc, op8_maxent, op9_mixing, op10_minhash)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.WARC_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op7_warc": warc.WARC_SQL, "op9_mixing": mixing.MIX_SQL, "op13_divergence_cells": divergence.AUDIT_SQL}
