@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import photometry as P
-from ..operators import crop, encode, gather, match, merge, robust, settings, stencil, tiles
-from ..sources import frames, rasters
+from ..operators import crop, encode, gather, halo, match, merge, robust, settings, stencil, tile_merge, tiles
+from ..sources import frames, rasters, stages
 from ..streaming import bursts
 from . import sql, super_resolve
 
@@ -39,6 +39,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _stage(spark):
+    """Stores a table under a new path and reads it back."""
+    return lambda df, name: frames.write_stage(df, shared_path(spark, name))
+
+
 def _zero_flow(px: DataFrame, tile: int) -> DataFrame:
     dims = px.where("frame_idx > 0").groupBy("burst_id", "frame_idx").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     return match.tiles_of(dims, tile).withColumns({"dx": F.lit(0.0), "dy": F.lit(0.0)})
@@ -195,7 +200,7 @@ def i2_refine_step(spark, sf):
 def i3_align(spark, sf):
     """Two levels, from coarse to fine, with refinement at each."""
     c = P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
-    stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
+    stage = _stage(spark)
     return _sixed(match.align(stage(_sc(spark, sf), "grey"), c, stage), "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
 
 
@@ -208,7 +213,7 @@ def i1_tiles(spark, sf):
 def i3_tiles(spark, sf):
     """i3_align in tile form."""
     c = P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
-    stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
+    stage = _stage(spark)
     flow = match.align(stage(_sc(spark, sf), "grey"), c, stage, tiles.level_step(c, 16, 2, stage))
     return _sixed(flow, "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
 
@@ -254,7 +259,7 @@ def i11_super_resolve(spark, sf):
     """The whole path: grey low-pass, alignment over four levels with refinement, noise curves, parameters tuned to each
     burst's signal-to-noise ratio, steerable kernels, robustness and the accumulated denoiser, as 16-bit rows."""
     c = P.Config(denoise_accumulated=True)
-    stage = lambda df, name: frames.write_stage(df, shared_path(spark, name))
+    stage = _stage(spark)
     return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _curves(spark, sf), by_snr=True, materialise=stage)[0]
 
 
@@ -286,9 +291,17 @@ def a1_burst_scan(spark, sf):
 
 
 def a2_frame_scan(spark, sf):
-    path = shared_path(spark, "raw")
-    frames.write_stage(rasters.events_px(spark, sf), path)
-    return frames.scan(spark, path, burst_id=0, frame_idx=3).select(F.col("burst_id").cast("long").alias("burst_id"), "frame_idx", "y", "x", "v")
+    store = stages.StageStore(spark, shared_path(spark, "store"), 4)
+    store.write(rasters.events_px(spark, sf), "raw")
+    return store.read("raw", burst_id=0).where("frame_idx = 3")
+
+
+def a7_stage_store(spark, sf):
+    """A stage that loses a third of its bursts and has another third written again: what counts after the lost ones are rebuilt."""
+    px, store = rasters.events_px(spark, sf), stages.StageStore(spark, shared_path(spark, "store"), 4)
+    store.write(px.where("burst_id % 3 > 0"), "raw")
+    store.write(px.where("burst_id % 3 = 1").withColumn("v", F.col("v") + 1), "raw")
+    return store.rebuild(px, "raw", lambda lost: px.join(lost, "burst_id", "left_semi").withColumn("v", F.col("v") + 2))
 
 
 def a8_retention(spark, sf):
@@ -420,11 +433,88 @@ def j1_burst_assembly(spark, sf):
     return spark.read.schema(bursts.OUT).parquet(out).where("status = 'complete'").select("burst_id", "status", "n")
 
 
+def d5_tiles(spark, sf):
+    """d5_downsample in tile form."""
+    return _sixed(halo.samples(halo.chain(tiles.stored(_sc(spark, sf), 16), [halo.downsample(2)], 16), "v"), "v")
+
+
+def d9_tiles(spark, sf):
+    """d9_blur in tile form."""
+    return _sixed(halo.samples(halo.chain(tiles.stored(_ev(spark, sf), 4), [halo.blur(1.0)], 4), "v"), "v")
+
+
+def d11_tiles(spark, sf):
+    """d11_local_stats in tile form."""
+    return _sixed(halo.samples(halo.chain(tiles.stored(_ev(spark, sf), 4), [halo.local_stats()], 4), "mean", "var"), "mean", "var")
+
+
+def d12_tiles(spark, sf):
+    """d12_local_min in tile form."""
+    return halo.samples(halo.chain(tiles.stored(rasters.events_px(spark, sf), 4), [halo.local_min()], 4), "v")
+
+
+def d14_tiles(spark, sf):
+    """d14_kernel_field in tile form: transform, grey, gradients, tensor and kernels with one shuffle of borders."""
+    return _sixed(halo.samples(tile_merge.kernel_tiles(tiles.stored(_ev(spark, sf), 4), P.Config(), 4), "xx", "xy", "yy"), "xx", "xy", "yy")
+
+
+def i5_tiles(spark, sf):
+    """i5_robustness in tile form."""
+    flow = _flow(spark, sf).drop("cost")
+    return _sixed(halo.samples(tile_merge.robustness(tiles.stored(_sc(spark, sf), 16), flow, _curves(spark, sf), 8, ISO, 16, _stage(spark)), "v"), "v")
+
+
+def f7_tiles(spark, sf):
+    """f7_accumulated in tile form."""
+    rob = tile_merge.robustness(tiles.stored(_sc(spark, sf), 16), _flow(spark, sf).drop("cost"), _curves(spark, sf), 8, ISO, 16, _stage(spark))
+    return _sixed(halo.samples(tile_merge.accumulated(rob), "v").drop("frame_idx"), "v")
+
+
+def i7_tiles(spark, sf):
+    """i7_merge_reference in tile form."""
+    raw = tiles.stored(_sc(spark, sf).where("frame_idx = 0"), 16)
+    return _sixed(tile_merge.sums(tile_merge.merge(raw, None, None, None, 8, ISO, 16)), "num", "den")
+
+
+def i9_tiles(spark, sf):
+    """i9_merge_all in tile form."""
+    acc = tile_merge.merge(tiles.stored(_sc(spark, sf), 16), _flow(spark, sf), None, None, 8, ISO, 16)
+    return _sixed(merge.normalised(tile_merge.sums(acc), ISO), "v")
+
+
+def h2_tiles(spark, sf):
+    """h2_replaced in tile form."""
+    c = P.Config(steerable=False, tile_sizes=(8, 8, 8, 8), denoise_accumulated=True)
+    acc = rasters.scene_px(spark, sf).where("frame_idx = 1").select("burst_id", F.lit(0).alias("frame_idx"), "y", "x", (F.col("v") % 4).alias("v"))
+    return _sixed(tile_merge.sums(tile_merge.merge(tiles.stored(_sc(spark, sf), 16), _flow(spark, sf), None, None, 8, c, 16, tiles.stored(acc, 16))), "num", "den")
+
+
+STEERED = P.Config(tile_sizes=(8, 8, 8, 8))
+
+
+def b26_steered(spark, sf):
+    """All frames with the steerable kernel, the default of the method, and full trust."""
+    px = _sc(spark, sf)
+    ones = px.where("frame_idx > 0").withColumn("v", F.lit(1.0))
+    cov = _stage(spark)(stencil.kernel_field(px, STEERED), "cov")
+    acc = merge.accumulate(merge.merge_comparison(px, _flow(spark, sf).drop("cost"), ones, cov, 8, STEERED), merge.merge_reference(px, cov, None, STEERED))
+    return _sixed(merge.normalised(acc, STEERED), "v")
+
+
+def b26_tiles(spark, sf):
+    """b26_steered in tile form."""
+    raw, stage = tiles.stored(_sc(spark, sf), 16), _stage(spark)
+    raw = stage(raw, "raw")
+    acc = tile_merge.merge(raw, _flow(spark, sf), None, stage(tile_merge.kernel_tiles(raw, STEERED, 16), "cov"), 8, STEERED, 16)
+    return _sixed(merge.normalised(tile_merge.sums(acc), STEERED), "v")
+
+
 ALL = (
-    a1_burst_scan, a2_frame_scan, a3_manifest, a4_reference_meta, a4_settings, a5_unpack, a6_pack_tiles, a8_retention, a9_output_rows, a10_header, a11_export, b_photometry, b7_colour, b22_config,
+    a1_burst_scan, a2_frame_scan, a3_manifest, a4_reference_meta, a4_settings, a5_unpack, a6_pack_tiles, a7_stage_store, a8_retention, a9_output_rows, a10_header, a11_export, b_photometry, b7_colour, b22_config,
     b30_snr, c2_centre_crop, c3_crop_to_reference, c4_not_empty, c5_valid_bursts, c11_first_frames, d1_box_grey, d2_low_pass, d3_fourier, d3_inverse, d4_pad_circular, d5_downsample, d7_gradients,
     d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor, d14_kernel_field, d14_hard, d15_flow_irregularity, e5_bilinear, e6_bilinear_clamped, e8_kernel_at,
     e15_upscale_flow, e16_settings, e17_complete, f3_correlation, f4_hessian, f7_accumulated, f9_noise_curves, g5_preview, h2_replaced, h3_pyramid, i1_block_match_l1, i1_block_match_l2,
+    d5_tiles, d9_tiles, d11_tiles, d12_tiles, d14_tiles, i5_tiles, f7_tiles, i7_tiles, i9_tiles, h2_tiles, b26_steered, b26_tiles,
     i1_tiles, i2_refine_step, i3_align, i3_tiles, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
 )
 

@@ -255,3 +255,35 @@ ORACLES = {
     "i5_robustness": sql("ev sc scu quads qstats wref flow1 wcomp rough cells known lut trust", f"SELECT {KEY}, {six('v')} AS v FROM trust"),
     "j1_burst_assembly": "SELECT event_id // 512 AS burst_id, 'complete' AS status, 8 AS n FROM events GROUP BY 1 HAVING count(*)=512",
 }
+
+
+def _steered() -> str:
+    """All frames with the steerable kernel: the covariance between four grey pixels, inverted, weighs the nine samples around."""
+    grid = "(SELECT a.i AS Y, c.i AS X, a.i/2e0 AS cy, c.i/2e0 AS cx, (a.i+0.5::DOUBLE)/2 AS ly, (c.i+0.5::DOUBLE)/2 AS lx, a.i//16 AS ty, c.i//16 AS tx FROM range(64) a(i), range(64) c(i))"
+    weight = lambda n: f"sum((CASE WHEN o.j=1 THEN fx ELSE 1-fx END)*(CASE WHEN o.i=1 THEN fy ELSE 1-fy END)*c.{n}) AS {n}"
+    inverse = ", ".join(f"CASE WHEN abs(xx*yy-xy*xy)>1e-10 THEN {a}/(xx*yy-xy*xy) ELSE {b} END AS {n}" for n, a, b in (("ixx", "yy", 1), ("ixy", "-xy", 0), ("iyy", "xx", 1)))
+    named = {n: CTES[n] for n in ("sc", "scu", "vst", "vgrad", "vtensor", "veigen", "cov", "flow1")}
+    named["vst"] = named["vst"].replace("evu", "scu")
+    named["pts"] = f"""SELECT b.burst_id, 0 AS frame_idx, Y, X, cy AS py, cx AS px, round_even(cy,0) AS sy, round_even(cx,0) AS sx, cy/2-0.5::DOUBLE AS ky, cx/2-0.5::DOUBLE AS kx FROM (SELECT DISTINCT burst_id FROM sc) b, {grid}
+      UNION ALL SELECT burst_id, frame_idx, Y, X, my-0.5::DOUBLE, mx-0.5::DOUBLE, floor(my), floor(mx), my/2-0.5::DOUBLE, mx/2-0.5::DOUBLE FROM (
+      SELECT f.burst_id, f.frame_idx, h.Y, h.X, ly+f.dy AS my, lx+f.dx AS mx FROM flow1 f JOIN {grid} h ON f.ty=h.ty AND f.tx=h.tx) WHERE mx>=0 AND mx<32 AND my>=0 AND my<32"""
+    named["inv"] = f"""SELECT burst_id, frame_idx, Y, X, py, px, sy, sx, {inverse} FROM (
+      SELECT p.burst_id, p.frame_idx, p.Y, p.X, any_value(py) AS py, any_value(px) AS px, any_value(sy) AS sy, any_value(sx) AS sx, {weight('xx')}, {weight('xy')}, {weight('yy')} FROM (
+      SELECT *, ky-floor(ky) AS fy, kx-floor(kx) AS fx, least(greatest(trunc(ky),0),15) AS y0, least(greatest(trunc(kx),0),15) AS x0 FROM pts) p, (SELECT a.i, b.j FROM range(2) a(i), range(2) b(j)) o
+      JOIN cov c ON c.burst_id=p.burst_id AND c.frame_idx=p.frame_idx AND c.y=least(p.y0+o.i,15) AND c.x=least(p.x0+o.j,15) GROUP BY 1,2,3,4)"""
+    named["taps"] = f"""SELECT g.burst_id, Y, X, CAST([0,1,1,2][(i%2)*2+j%2+1] AS INTEGER) AS ch, s.v, CASE WHEN k=0 AND oi=0 AND oj=0 THEN 1 ELSE k END AS k FROM (
+      SELECT *, exp(-0.5::DOUBLE*greatest(ixx*(j-px)*(j-px)+2*ixy*(j-px)*(i-py)+iyy*(i-py)*(i-py),0)) AS k FROM (SELECT n.*, o.i AS oi, o.j AS oj, CAST(sy AS INTEGER)+o.i AS i, CAST(sx AS INTEGER)+o.j AS j FROM inv n, {OFFSETS.format(r=1)} o)) g
+      JOIN scu s ON s.burst_id=g.burst_id AND s.frame_idx=g.frame_idx AND s.y=i AND s.x=j"""
+    final = f"SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, ch, {six('CASE WHEN den>0 THEN num/den ELSE 0 END')} AS v FROM (SELECT burst_id, Y, X, ch, sum(k*v) AS num, sum(k) AS den FROM taps GROUP BY ALL)"
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in named.items()) + "\n" + final
+
+
+ORACLES |= {
+    "b26_steered": _steered(),
+    "a7_stage_store": sql("ev", "SELECT burst_id, frame_idx, y, x, v+CASE burst_id%3 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 0 END AS v FROM ev"),
+}
+# Tile forms give the rows of the forms sample by sample.
+ORACLES |= {tiled: ORACLES[plain] for tiled, plain in (
+    ("d5_tiles", "d5_downsample"), ("d9_tiles", "d9_blur"), ("d11_tiles", "d11_local_stats"), ("d12_tiles", "d12_local_min"), ("d14_tiles", "d14_kernel_field"), ("i5_tiles", "i5_robustness"),
+    ("f7_tiles", "f7_accumulated"), ("i7_tiles", "i7_merge_reference"), ("i9_tiles", "i9_merge_all"), ("h2_tiles", "h2_replaced"), ("b26_tiles", "b26_steered"),
+)}

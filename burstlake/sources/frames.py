@@ -15,7 +15,7 @@ def manifest(frames: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, burst_id: int | None = None, frame_idx: int | None = None) -> DataFrame:
-    """Stored samples of all, of one burst or of one frame; the filters prune partitions and reach the scan."""
+    """Stored samples of all, of one burst or of one frame; the filters reach the scan."""
     px = spark.read.parquet(path)
     px = px if burst_id is None else px.where(F.col("burst_id") == burst_id)
     return px if frame_idx is None else px.where(F.col("frame_idx") == frame_idx)
@@ -39,15 +39,15 @@ def reference_metadata(px: DataFrame) -> DataFrame:
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
-    """Materialise a stage table by burst and read it back; rewriting a burst replaces its partition alone."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("burst_id").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Materialise a stage table once under a new path and read it back, empty or not, with its own schema. Stages that are
+    written burst by burst, replaced, purged or rebuilt are kept by sources.stages.StageStore."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession, path: str, into: str, now: str, hours: int = 24) -> DataFrame:
     """Rewrite the stage table at path without stale bursts, and read it back; readers move to `into`, the old one can go."""
-    retained(spark.read.parquet(path), now, hours).write.partitionBy("burst_id").parquet(into)
-    return spark.read.parquet(into)
+    return write_stage(retained(spark.read.parquet(path), now, hours), into)
 
 
 def retained(stages: DataFrame, now: str, hours: int = 24) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstlake.functions import photometry as P
-from burstlake.operators import crop, gather, match, merge, robust, settings, stencil, tiles
+from burstlake.operators import crop, gather, halo, match, merge, robust, settings, stencil, tile_merge, tiles
 from burstlake.plans import registry, super_resolve
 from burstlake.sources import rasters
 
@@ -188,3 +188,56 @@ def test_tile_form_equals_pixel_form(spark):
         for r in got:
             w = want[r.ty, r.tx]
             assert (r.dx, r.dy, r.cost) == pytest.approx((w.dx, w.dy, cost[r.ty, r.tx]), abs=1e-5)
+
+
+def _wavy(spark):
+    """Three frames of uneven size in tiles, with edges, and a flow of fractions, some of it far beyond the frame."""
+    wave = lambda d, e: [[0.5 + 0.2 * math.sin((x + d) * 0.41) + 0.2 * math.cos((y + e) * 0.37) + (0.1 if (x // 5 + y // 7) % 2 else 0) for x in range(44)] for y in range(36)]
+    px = frame(spark, wave(0, 0)).unionByName(frame(spark, wave(0.6, -1.2), idx=1)).unionByName(frame(spark, wave(-2.5, 0.3), idx=2))
+    grid = match.tiles_of(spark.createDataFrame([(1, f, 36, 44) for f in (1, 2)], "burst_id long, frame_idx int, h int, w int"), 8)
+    far = F.when((F.col("tx") == 2) & (F.col("ty") == 1), 25.4).otherwise(0.0)
+    flow = grid.withColumns({"dx": F.col("tx") * 0.37 - 1.1 * F.col("frame_idx") + far, "dy": F.col("ty") * -0.45 + 0.8 * F.col("frame_idx")})
+    return px, flow
+
+
+def _same(got, want, key, *values, least=1):
+    a, b = ({tuple(r[k] for k in key): [r[v] for v in values] for r in df.collect()} for df in (got, want))
+    assert set(a) == set(b) and len(a) >= least
+    for k, v in a.items():
+        for x, y in zip(v, b[k]):
+            assert x == pytest.approx(y, rel=1e-6, abs=1e-6, nan_ok=True), k
+
+
+@pytest.mark.parametrize("c", [P.Config(), P.Config(hard_selection=True, cfa=(1, 0, 2, 3)), P.Config(bayer=False)], ids=["steered", "hard", "mono"])
+def test_merge_and_robustness_in_tile_form(spark, c):
+    px, flow = _wavy(spark)
+    raw, key = tiles.stored(px, 16), ("burst_id", "frame_idx", "y", "x")
+    cov, cov_tiles = stencil.kernel_field(px, c), tile_merge.kernel_tiles(raw, c, 16)
+    _same(halo.samples(cov_tiles, "xx", "xy", "yy"), cov, key, "xx", "xy", "yy", least=300)
+    rob = robust.robustness(px, robust.reference_stats(px, c), flow, registry._lut(spark), 8, c)
+    rob_tiles = tile_merge.robustness(raw, flow, registry._lut(spark), 8, c, 16)
+    _same(halo.samples(rob_tiles, "v"), rob, key, "v", least=3000)
+    acc, acc_tiles = robust.accumulated(rob), tile_merge.accumulated(rob_tiles)
+    _same(halo.samples(acc_tiles, "v"), acc, ("burst_id", "y", "x"), "v", least=1500)
+    for denoise in (False, True):
+        c.denoise_accumulated = denoise
+        want = merge.accumulate(merge.merge_comparison(px, flow, rob, cov, 8, c), merge.merge_reference(px, cov, acc if denoise else None, c))
+        got = tile_merge.sums(tile_merge.merge(raw, flow, rob_tiles, cov_tiles, 8, c, 16, acc_tiles if denoise else None))
+        _same(got, want, ("burst_id", "Y", "X", "ch"), "num", "den", least=6000)
+
+
+def test_chains_of_any_size_in_tile_form(spark):
+    import numpy as np
+
+    v = np.random.default_rng(4).normal(size=(37, 45))
+    v[3, 4] = np.nan
+    px, key = frame(spark, v), ("burst_id", "frame_idx", "y", "x")
+    good = frame(spark, np.nan_to_num(v))
+    _same(halo.samples(halo.chain(tiles.stored(px, 16), [halo.local_min()], 16), "v"), stencil.local_min(px), key, "v", least=1600)
+    _same(halo.samples(halo.chain(tiles.stored(good, 16), [halo.blur(1.3)], 16), "v"), stencil.blur(good, 1.3), key, "v", least=1600)
+    _same(halo.samples(halo.chain(tiles.stored(good, 32), [halo.downsample(2), halo.downsample(2)], 32), "v"), stencil.downsample(stencil.downsample(good, 2), 2), key, "v", least=1)
+    _same(halo.samples(halo.chain(tiles.stored(good, 16), [halo.box_grey(), halo.gradients(), halo.structure_tensor()], 16), "xx", "xy", "yy"), stencil.structure_tensor(stencil.gradients(stencil.box_grey(good))), key, "xx", "xy", "yy", least=390)
+    small = frame(spark, np.ones((5, 6)))
+    _same(halo.samples(halo.chain(tiles.stored(small, 16), [halo.downsample(4)], 16), "v"), stencil.downsample(small, 4), key, "v", least=30)
+    with pytest.raises(ValueError):
+        halo.chain(tiles.stored(good, 4), [halo.downsample(4)], 4)
