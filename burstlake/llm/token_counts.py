@@ -75,7 +75,8 @@ class UnitCounts(dict):
             return np.empty(0, np.int64), np.empty(0, np.int64), 0
         unit = np.array([-1 if w is None else w for w in e.word_ids])
         first = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))
-        return np.array([e.offsets[k][0] for k in first], np.int64), first, len(e)
+        offsets = e.offsets  # a new list each time it is read
+        return np.array([offsets[k][0] for k in first.tolist()], np.int64), first, len(e)
 
 
 def unit_counts(path: str) -> UnitCounts:
