@@ -22,7 +22,13 @@ from .vectors import flagged, kmeans, matrix, nearest, sample
 SLACK = 1e-7  #: for rounding in the bounds; the cosine itself has none
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over the power of two next to their largest component: exact, and squares of tiny and huge components stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -84,10 +90,10 @@ def _linked(coarse: np.ndarray, books: list[np.ndarray], cosine: float, r: float
         if rows.num_rows and asked.num_rows:
             lists = rows.column("list").to_numpy()
             centre = coarse[lists[0]]
-            node, n, error, x = rows.column("node").to_numpy(), rows.column("n").to_numpy(), rows.column("error").to_numpy(), matrix(rows.column("embedding"))
+            node, n, error, x = rows.column("node").to_numpy(), rows.column("n").to_numpy(), rows.column("error").to_numpy(), _scaled(matrix(rows.column("embedding")))
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
             size = np.sqrt((x * x).sum(1))
-            q_node, q = asked.column("node").to_numpy(), matrix(asked.column("embedding"))
+            q_node, q = asked.column("node").to_numpy(), _scaled(matrix(asked.column("embedding")))
             for s in range(0, len(q), tile):
                 some, ids = q[s : s + tile], q_node[s : s + tile]
                 q_size = np.sqrt((some * some).sum(1))
@@ -122,7 +128,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, train: int
 
     Rows of one label link where the cosine of their vectors is at least `cosine`. Identical vectors of a label are one
     class and are compared once; n_links counts all rows linked directly, component_id is the smallest vec_id reachable.
-    Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing. A null
+    Vectors that are null, zero, hold null or non-finite components or have another length than most, and rows without a
+    label, link with nothing; tiny and huge finite vectors link like any others. A null
     vec_id names a component only where no member has an id; repeated rows are rows of their own; the codebooks are fitted
     on at most `train` vectors, everything else covers all; an empty table gives no rows."""
     known = flagged(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label"))

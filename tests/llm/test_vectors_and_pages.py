@@ -133,3 +133,17 @@ def test_links_of_grouped_vectors_against_brute_force(spark):
         reach = reach @ reach
     assert links.sum() > 2000
     assert all((got[i].n_links, got[i].component_id) == (links[i].sum() - 1, reach[i].argmax()) for i in range(300))
+
+
+def test_tiny_and_huge_vectors_lose_no_link(spark):
+    """One valid vector of 1e-200 or 1e200, or of the smallest numbers there are, changes nothing for the others."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 8))
+    rows = [(2 * i, b.tolist(), 1) for i, b in enumerate(base)] + [(2 * i + 1, (b + 0.01 * r.normal(size=8)).tolist(), 1) for i, b in enumerate(base)]
+    rows += [(900, (base[0] * 1e-200).tolist(), 1), (901, (base[1] * 1e200).tolist(), 1), (902, (base[2] * 1e-310).tolist(), 1), (903, [1e-200] + [0.0] * 7, 2), (904, [5e-324] + [0.0] * 7, 2), (905, [1.7e308] + [0.0] * 7, 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: g for g in pq_dedup.near_duplicate_vectors(d).collect()}
+    for i in range(60):
+        links = 2 if i < 3 else 1
+        assert (got[2 * i].n_links, got[2 * i + 1].n_links, got[2 * i + 1].component_id) == (links, links, 2 * i)
+    assert [got[i].component_id for i in (900, 901, 902)] == [0, 2, 4] and [got[i].n_links for i in (903, 904, 905)] == [2, 2, 2] and got[905].component_id == 903
