@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,16 +42,40 @@ class Config:
     white_balance: tuple = (1.0, 1.0, 1.0)
     matrix: tuple = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
     bake_srgb: bool = False
-    tuned: dict = field(default_factory=dict)
+    snr_tuning: bool = True
+
+
+# The tuning keys that override a default when they are given, and only these, with the parameter of each.
+TUNABLE = {
+    "r_t": "r_t",
+    "r_s1": "r_s1",
+    "r_s2": "r_s2",
+    "r_Mt": "r_Mt",
+    "k_detail": "k_detail",
+    "k_denoise": "k_denoise",
+    "k_stretch": "k_stretch",
+    "snr_auto_tune": "snr_tuning",
+    "accumulated_robustness_denoiser_enabled": "denoise_accumulated",
+    "acc_rob_rad_max": "denoise_radius",
+    "acc_rob_max_multiplier": "denoise_power",
+    "acc_rob_max_frame_count": "denoise_frames",
+}
 
 
-# The tuning keys that override a default when they are given, and only these.
-TUNABLE = ("r_t", "r_s1", "r_s2", "r_Mt", "k_detail", "k_denoise", "D_th", "D_tr", "k_stretch", "k_shrink", "alpha", "beta")
+def overridden(config: Config, given: dict) -> Config:
+    """config with the known keys of given in place, each in the type of its default; others are ignored."""
+    return replace(config, **{TUNABLE[k]: type(getattr(config, TUNABLE[k]))(v) for k, v in given.items() if k in TUNABLE and v is not None})
 
 
-def overridden(config: Config, given: dict) -> Config:
-    """config with the known keys of given in place; others are ignored."""
-    return Config(**{**config.__dict__, **{k: float(v) for k, v in given.items() if k in TUNABLE and v is not None}})
+#: What may differ from burst to burst, in the order of a vector of parameters; white balance and mosaic follow these.
+PER_BURST = ("alpha", "beta", "r_t", "r_s1", "r_s2", "r_Mt", "k_detail", "k_denoise", "k_stretch", "k_shrink", "D_th", "D_tr", "denoise_accumulated", "denoise_radius", "denoise_power", "denoise_frames")
+
+
+def config_of(vector, config: Config) -> Config:
+    """config with the parameters of a burst, from a vector of settings.parameters."""
+    n = len(PER_BURST)
+    own = {name: type(getattr(config, name))(v) for name, v in zip(PER_BURST, vector)}
+    return replace(config, **own, white_balance=tuple(float(v) for v in vector[n : n + 3]), cfa=tuple(int(v) for v in vector[n + 3 : n + 7]))
 
 
 def _c(x) -> Column:

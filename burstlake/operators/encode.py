@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import photometry as P
@@ -40,15 +40,47 @@ def preview(px: DataFrame, side: int, c: P.Config) -> DataFrame:
     return last.select("burst_id", "py", "px", *[P.to_8_bits(f"s.{n}", half_even=False).alias(f"{n}8") for n in "rgb"])
 
 
-def header_rows(sizes: DataFrame, c: P.Config) -> DataFrame:
-    """burst_id, tag, name, values: rows for sizes(burst_id, H, W), sorted by tag; linear output has an identity matrix."""
-    const = lambda tag, name, *v: F.struct(F.lit(tag).alias("tag"), F.lit(name).alias("name"), F.array(*[F.lit(float(x)) for x in v]).alias("values"))
-    col = lambda tag, name, x: F.struct(F.lit(tag).alias("tag"), F.lit(name).alias("name"), F.array(F.col(x).cast("double")).alias("values"))
-    # Tag numbers of the image file format.
-    rows = [col(256, "width", "W"), col(257, "height", "H"), const(258, "bits", 16, 16, 16), const(262, "photometric", 2 if c.bake_srgb else 34892), const(277, "samples", 3), const(50714, "black", 0), const(50717, "white", 65535)]
+def header_rows(sizes: DataFrame, c: P.Config, make: str = "burstlake", model: str = "merged") -> DataFrame:
+    """burst_id, tag, name, text, values: header rows for sizes(burst_id, H, W), sorted by tag.
+
+    make, model and orientation come from columns of these names where sizes has them; an empty or null name becomes the
+    given one, an orientation outside 1 to 8 has no row. Linear output has an identity matrix and its illuminant. text is null
+    for numbers and values are null for text; offsets in a file are not rows of a table, so tag 273 has 0."""
+    known = set(sizes.columns)
+    name = lambda n, other: F.coalesce(F.when(F.col(n) != "", F.col(n)), F.lit(other)) if n in known else F.lit(other)
+    none, no_text = F.lit(None).cast("array<double>"), F.lit(None).cast("string")
+    row = lambda tag, label, *v: F.struct(F.lit(tag).alias("tag"), F.lit(label).alias("name"), no_text.alias("text"), F.array(*[(F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)).cast("double") for x in v]).alias("values"))
+    text = lambda tag, label, v: F.struct(F.lit(tag).alias("tag"), F.lit(label).alias("name"), v.alias("text"), none.alias("values"))
+    # Tag numbers of the image file format and what this kind of file has in them.
+    rows = [
+        row(254, "subfile", 0),
+        row(256, "width", "W"),
+        row(257, "height", "H"),
+        row(258, "bits", 16, 16, 16),
+        row(259, "compression", 1),
+        row(262, "photometric", 2 if c.bake_srgb else 34892),
+        text(271, "make", name("make", make)),
+        text(272, "model", name("model", model)),
+        row(273, "strip_offset", 0),
+        row(277, "samples", 3),
+        row(278, "rows_per_strip", "H"),
+        row(279, "strip_bytes", F.col("W").cast("long") * F.col("H") * 6),
+        row(284, "planar", 1),
+        row(339, "sample_format", 1, 1, 1),
+        row(50706, "version", 1, 4, 0, 0),
+        row(50707, "backward_version", 1, 3, 0, 0),
+        text(50708, "unique_model", name("model", model)),
+        row(50714, "black", 0, 0, 0),
+        row(50717, "white", 65535, 65535, 65535),
+        row(50719, "crop_origin", 0, 0),
+        row(50720, "crop_size", "W", "H"),
+        row(50829, "active_area", 0, 0, "H", "W"),
+    ]
+    if "orientation" in known:
+        rows.append(F.when(F.col("orientation").between(1, 8), row(274, "orientation", "orientation")))
     if not c.bake_srgb:
-        rows.append(const(50721, "matrix", 1, 0, 0, 0, 1, 0, 0, 0, 1))
-    return sizes.select("burst_id", F.explode(F.array(*rows)).alias("r")).select("burst_id", "r.tag", "r.name", "r.values").orderBy("burst_id", "tag")
+        rows += [row(50721, "matrix", 1, 0, 0, 0, 1, 0, 0, 0, 1), row(50778, "illuminant", 21)]
+    return sizes.select("burst_id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("burst_id", "r.tag", "r.name", "r.text", "r.values").orderBy("burst_id", "tag")
 
 
 def export_linear(rgb_: DataFrame, path: str) -> DataFrame:

@@ -232,12 +232,13 @@ def view_of(t) -> View:
     return View(out, top, left, t.column("fh")[0].as_py(), t.column("fw")[0].as_py())
 
 
-def _chained(steps: list[Step], side: int):
-    total = int(np.prod([s.factor for s in steps]))
-
+def _chained(steps_of: Callable[[P.Config | None], list[Step]], side: int, c: P.Config | None):
     def run(key, t):
         burst, frame, by, bx = (k.as_py() for k in key)
-        view, small = view_of(t), side // total
+        own = "params" in t.column_names
+        steps = steps_of(P.config_of(t.column("params")[0].as_py(), c) if own else c)
+        t = t.select(COLUMNS)
+        view, small = view_of(t), side // int(np.prod([s.factor for s in steps]))
         sizes = [(view.fh, view.fw)]
         for s in steps:
             sizes.append(s.size(*sizes[-1]))
@@ -258,10 +259,14 @@ def _chained(steps: list[Step], side: int):
     return run
 
 
-def chain(tiles: DataFrame, steps: list[Step], side: int) -> DataFrame:
+def chain(tiles: DataFrame, steps: list[Step] | Callable[[P.Config], list[Step]], side: int, c: P.Config | None = None, params: DataFrame | None = None) -> DataFrame:
     """Tiles after all steps, of side / (product of the factors), with one shuffle of tiles and borders.
 
-    `side` is that of tiles and a multiple of the product, and no smaller than a border."""
+    `side` is that of tiles and a multiple of the product, and no smaller than a border. steps may be a function of c; with
+    params(burst_id, params), of settings.parameters, each burst has the steps of its own parameters. These change what a step
+    works out, not how far it reaches."""
+    steps_of = steps if callable(steps) else lambda _: steps
+    steps = steps_of(c)
     total = int(np.prod([s.factor for s in steps]))
     lo, hi = 0, side // total
     for s in reversed(steps):
@@ -272,7 +277,9 @@ def chain(tiles: DataFrame, steps: list[Step], side: int) -> DataFrame:
     sent = tiles.select(*[F.col(n).cast(t) for n, t in zip(COLUMNS, (x.strip().split(" ")[1] for x in TILE.split(",")))])
     if before or after:
         sent = sent.mapInArrow(_borders(side, before, after), TILE)
-    return sent.groupBy(*BASE, "sy", "sx").applyInArrow(_chained(steps, side), TILE)
+    if params is not None:
+        sent = sent.join(params, "burst_id")
+    return sent.groupBy(*BASE, "sy", "sx").applyInArrow(_chained(steps_of, side, c), TILE)
 
 
 def samples(tiles: DataFrame, *names: str) -> DataFrame:

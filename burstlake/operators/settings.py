@@ -36,17 +36,47 @@ def reference_settings(meta: DataFrame) -> DataFrame:
 
 
 def burst_config(settings: DataFrame, c: P.Config) -> DataFrame:
-    """settings with a column for each tuning key: what its map `overrides` gives, else the default of c.
+    """settings with a column for each parameter that can be tuned: what its map `overrides` gives under the tuning key, else the
+    default of c. Switches are given as numbers, 0 for off.
 
-    Unknown keys and null values do not count. Without a column `overrides` all are defaults. Adds noise_low and noise_high,
-    the brightness between which clipping leaves the noise of that burst linear."""
+    Unknown keys and null values do not count. Without a column `overrides` all are defaults. alpha and beta are the noise of
+    the burst's camera where settings has them, else that of c; noise_low and noise_high are the brightness between which
+    clipping leaves such noise linear."""
     given = "overrides" in settings.columns
-    key = lambda n: F.coalesce(F.try_element_at("overrides", F.lit(n)).cast("double"), F.lit(float(getattr(c, n)))) if given else F.lit(float(getattr(c, n)))
-    out = settings.withColumns({n: key(n) for n in P.TUNABLE})
+
+    def value(key: str, name: str) -> Column:
+        default = getattr(c, name)
+        usual = F.lit(default if isinstance(default, bool) else float(default))
+        if not given:
+            return usual
+        own = F.try_element_at("overrides", F.lit(key)).cast("double")
+        return F.coalesce(own != 0 if isinstance(default, bool) else own, usual)
+
+    noise = {n: F.lit(float(getattr(c, n))) for n in ("alpha", "beta") if n not in settings.columns}
+    out = settings.withColumns({n: value(k, n) for k, n in P.TUNABLE.items()} | noise)
     low, high = P.linear_noise("alpha", "beta")
     return out.withColumns({"noise_low": low, "noise_high": high}).drop("overrides")
 
 
+def tuned(config: DataFrame, means: DataFrame, c: P.Config) -> DataFrame:
+    """config(burst_id, ..., of burst_config) after the tuning by signal-to-noise ratio, where it is switched on for the burst.
+
+    means(burst_id, mean): the brightness of the reference. Tuning comes after the overrides, so it replaces an override of
+    k_detail or k_denoise; it gives D_th, D_tr, tile and coarse_tile as well, which else are those of c."""
+    at = config.join(means.select("burst_id", "mean"), "burst_id").withColumn("snr", P.snr("mean", F.col("alpha"), F.col("beta")))
+    by_snr = at.withColumn("t", F.struct(*P.tuned_by_snr("snr")))
+    usual = {"k_detail": F.col("k_detail"), "k_denoise": F.col("k_denoise"), "D_th": F.lit(c.D_th), "D_tr": F.lit(c.D_tr), "tile": F.lit(c.tile_sizes[0]), "coarse_tile": F.lit(c.tile_sizes[-1])}
+    return by_snr.withColumns({n: F.when(F.col("snr_tuning"), F.col(f"t.{n}")).otherwise(v) for n, v in usual.items()}).drop("t")
+
+
+def parameters(settings: DataFrame, c: P.Config) -> DataFrame:
+    """burst_id, params: all that may differ from burst to burst as one vector, from the columns that settings has, else from c."""
+    known = set(settings.columns)
+    one = [F.col(n).cast("double") if n in known else F.lit(float(getattr(c, n))) for n in P.PER_BURST]
+    many = [F.col(n).cast("array<double>") if n in known else F.array(*[F.lit(float(v)) for v in getattr(c, n)]) for n in ("white_balance", "cfa")]
+    return settings.select("burst_id", F.concat(F.array(*one), *many).alias("params"))
+
+
 def with_settings(px: DataFrame, settings: DataFrame, *names: str) -> DataFrame:
     """px with the named settings of its burst; samples of bursts without settings go. Spark broadcasts the table of bursts
     where it is small enough, else it shuffles by burst."""

@@ -8,6 +8,8 @@ leaves a task is one set of planes for each block, and what it holds grows with
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import photometry as P
 from .halo import COLUMNS, TILE, chain, guide_stats_steps, kernel_steps, local_min
+from .settings import parameters
 from .stencil import BASE, flow_irregularity
 
 ROW = "burst_id long, by int, bx int, frame_idx int, kind string, sy int, sx int, th int, tw int, fh int, fw int, data array<double>"
@@ -92,9 +95,14 @@ class _Block:
         self.kind, self.data = np.array(t.column("kind").to_pylist()), t.column("data").combine_chunks()
         self.frames = sorted(set(self.cols["frame_idx"][self.kind == "flow"].tolist()))
 
-    def tiles(self, kind: str, frame: int | None, side: int) -> _Tiles | None:
-        keep = self.kind == kind
-        k = np.flatnonzero(keep if frame is None else keep & (self.cols["frame_idx"] == frame))
+    def about(self, c: P.Config) -> tuple[int, int, P.Config]:
+        """Height and width of the raw frames, and the parameters of the burst."""
+        k = int(np.flatnonzero(self.kind == "about")[0])
+        own = self.data[k].values.to_numpy()
+        return int(self.cols["fh"][k]), int(self.cols["fw"][k]), P.config_of(own.tolist(), c) if len(own) else c
+
+    def tiles(self, kind: str, frame: int, side: int) -> _Tiles | None:
+        k = np.flatnonzero((self.kind == kind) & (self.cols["frame_idx"] == frame))
         if not len(k):
             return None
         c = self.cols
@@ -141,8 +149,14 @@ def _between(stats: _Tiles, y: np.ndarray, x: np.ndarray, per: int) -> np.ndarra
     return out
 
 
-def _trusted(c: P.Config, tile: int, side: int, sigma: np.ndarray, diff: np.ndarray):
-    per, border = 2 if c.bayer else 1, 2
+def _about_rows(blocks: DataFrame, params: DataFrame | None) -> DataFrame:
+    """A row for each block with the size of its frame and the parameters of its burst, if they are its own."""
+    own = blocks.withColumn("params", F.array().cast("array<double>")) if params is None else blocks.join(params, "burst_id")
+    return _rows(own.select(*BLOCK, "frame_idx", *[F.lit(0).alias(n) for n in ("sy", "sx", "th", "tw")], "fh", "fw", F.col("params").alias("data")), "about")
+
+
+def _trusted(base: P.Config, tile: int, side: int, sigma: np.ndarray, diff: np.ndarray):
+    per, border = 2 if base.bayer else 1, 2
 
     def run(key, t):
         burst, by, bx, frame = (k.as_py() for k in key)
@@ -150,9 +164,7 @@ def _trusted(c: P.Config, tile: int, side: int, sigma: np.ndarray, diff: np.ndar
         own, moving = block.tiles("own", 0, side // per), block.tiles("moving", frame, side // per)
         if own is None or moving is None:
             return pa.Table.from_pylist([], schema=_TILE)
-        h, w = moving.h * per, moving.w * per
-        size = block.cols["th"][block.kind == "size"], block.cols["tw"][block.kind == "size"]
-        h, w = (int(size[0][0]), int(size[1][0])) if len(size[0]) else (h, w)
+        h, w, c = block.about(base)
         y, x = np.arange(max(0, by * side - border), min(h, (by + 1) * side + border)), np.arange(max(0, bx * side - border), min(w, (bx + 1) * side + border))
         f = block.flow(frame, y, x, tile)
         Y, X = np.broadcast_to(y[:, None], f.shape[:2]).astype(float), np.broadcast_to(x[None, :], f.shape[:2]).astype(float)
@@ -184,26 +196,30 @@ _TILE = pa.schema([*[(n, pa.int64() if n == "burst_id" else pa.int32()) for n in
 _ACC = pa.schema([("burst_id", pa.int64()), *[(n, pa.int32()) for n in ("by", "bx", "y0", "x0", "th", "tw")], ("data", pa.list_(pa.float64()))])
 
 
-def robustness(raw: DataFrame, flow: DataFrame, lut: DataFrame, tile: int, c: P.Config, side: int = 64, materialise=lambda df, name: df) -> DataFrame:
+def robustness(raw: DataFrame, flow: DataFrame, lut: DataFrame, tile: int, c: P.Config, side: int = 64, materialise=lambda df, name: df, config: DataFrame | None = None) -> DataFrame:
     """Storage tiles of the robustness of comparison frames, as robust.robustness has it.
 
     raw: storage tiles of all frames, of even sizes and the same size in a burst; lut(bin, sigma, diff): all 1001 levels.
-    materialise(df, name) stores the guide statistics, which the reference's and the displaced reads share."""
+    materialise(df, name) stores the guide statistics, which the reference's and the displaced reads share. config: settings
+    of each burst (settings.burst_config and the like) in place of those of c."""
     comp = raw.where("frame_idx > 0")
     if not c.robust:
         return comp.withColumn("data", F.transform("data", lambda v: F.lit(1.0)))
     levels = sorted(tuple(r) for r in lut.select("bin", "sigma", "diff").collect())  # 1001 rows
     if [r[0] for r in levels] != list(range(1001)):
         raise ValueError("the noise curves need a row for each of the levels 0 to 1000")
-    per = 2 if c.bayer else 1
-    stats = materialise(chain(raw, guide_stats_steps(c), side), "guide_stats")
-    asked = _flow_of_blocks(_blocks(comp), flow.drop("cost").join(flow_irregularity(flow, c), [*BASE, "ty", "tx"]), tile, side, 2)
+    per, params, flow = 2 if c.bayer else 1, None if config is None else parameters(config, c), flow.drop("cost")
+    stats = materialise(chain(raw, guide_stats_steps, side, c, params), "guide_stats")
+    rough = flow_irregularity(flow, c)
+    if config is not None:
+        names = [n for n in ("r_s1", "r_s2", "r_Mt") if n in config.columns]
+        rough = flow_irregularity(flow.join(config.select("burst_id", *names), "burst_id"), replace(c, **{n: F.col(n) for n in names}))
+    asked = _flow_of_blocks(_blocks(comp), flow.join(rough, [*BASE, "ty", "tx"]), tile, side, 2)
     moving = _fetched(asked, stats, "moving", tile, side, 2, per, 2)
     own = _blocks(comp).withColumns({"last_y": F.lit(0), "last_x": F.lit(0)})
     mine = _fetched(own.withColumn("frame_idx", F.lit(0)).distinct(), stats.where("frame_idx = 0"), "own", tile, side, 2, per, 2, moved=False)
     mine = _blocks(comp).select(*BLOCK, F.col("frame_idx").alias("for")).join(mine, [*BLOCK])
-    size = _blocks(comp).select(*BLOCK, "frame_idx", F.lit(0).alias("sy"), F.lit(0).alias("sx"), F.col("fh").alias("th"), F.col("fw").alias("tw"), "fh", "fw", F.array(F.lit(0.0)).alias("data"))
-    rows = [df.withColumn("for", F.col("frame_idx")) for df in (moving, _flow_rows(asked, "dx", "dy", "s"), _rows(size, "size"))]
+    rows = [df.withColumn("for", F.col("frame_idx")) for df in (moving, _flow_rows(asked, "dx", "dy", "s"), _about_rows(_blocks(comp), params))]
     rows = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(mine)
     return rows.groupBy(*BLOCK, "for").applyInArrow(_trusted(c, tile, side, np.array([r[1] for r in levels]), np.array([r[2] for r in levels])), TILE)
 
@@ -246,16 +262,13 @@ class _Sums:
         self.seen[at] = True
 
 
-def _merged(c: P.Config, tile: int, side: int, steered: bool):
-    half, cfa = 2 if c.bayer else 1, np.array([[1 if x == 3 else x for x in c.cfa][:2], [1 if x == 3 else x for x in c.cfa][2:]])
-
-    def channel(i, j):
-        return cfa[i % 2, j % 2] if c.bayer else np.zeros(i.shape, np.int64)
+def _merged(base: P.Config, tile: int, side: int):
+    half, steered = 2 if base.bayer else 1, base.steerable
 
     def distance(inv, dy, dx):
         return 2 * (dx * dx + dy * dy) if inv is None else np.maximum(inv[0] * dx * dx + 2 * inv[1] * dx * dy + inv[2] * dy * dy, 0.0)
 
-    def span(b, n):
+    def span(b, n, c):
         """Output pixels of a block: those whose undisplaced centre lies in it, the rest of the last block included."""
         all_ = np.arange(int(np.rint(n * c.scale)))
         own = np.minimum(np.floor((all_ + 0.5) / c.scale), n - 1) // side == b
@@ -263,13 +276,12 @@ def _merged(c: P.Config, tile: int, side: int, steered: bool):
 
     def run(key, t):
         burst, by, bx = (k.as_py() for k in key)
-        block, raw = _Block(t), {}
-        for frame in {0, *block.frames}:
-            raw[frame] = block.tiles("raw", frame, side)
-        known = next((r for r in raw.values() if r is not None), None)
-        sizes = block.kind == "size"
-        h, w = (int(block.cols["th"][sizes][0]), int(block.cols["tw"][sizes][0])) if sizes.any() else (known.h, known.w)
-        Y, X = span(by, h), span(bx, w)
+        block = _Block(t)
+        h, w, c = block.about(base)
+        raw = {frame: block.tiles("raw", frame, side) for frame in {0, *block.frames}}
+        cfa = np.array([1 if x == 3 else x for x in c.cfa]).reshape(2, 2)
+        channel = lambda i, j: cfa[i % 2, j % 2] if c.bayer else np.zeros(i.shape, np.int64)
+        Y, X = span(by, h, c), span(bx, w, c)
         shape = (len(Y), len(X))
         comp, ref = _Sums(shape), _Sums(shape)
         for frame in block.frames:
@@ -299,7 +311,7 @@ def _merged(c: P.Config, tile: int, side: int, steered: bool):
         replaces = np.zeros(shape, bool)
         if raw[0] is not None:
             cy, cx = np.broadcast_to((Y / c.scale)[:, None], shape), np.broadcast_to((X / c.scale)[None, :], shape)
-            acc, radius, power = block.tiles("acc", 0, side), np.ones(shape), 1.0
+            acc, radius, power = block.tiles("acc", 0, side) if c.denoise_accumulated else None, np.ones(shape), 1.0
             if acc is not None:
                 a = acc.at(np.rint(cy), np.rint(cx))[..., 0]
                 much = a <= c.denoise_frames
@@ -328,21 +340,22 @@ def _merged(c: P.Config, tile: int, side: int, steered: bool):
     return run
 
 
-def merge(raw: DataFrame, flow: DataFrame | None, rob: DataFrame | None, cov: DataFrame | None, tile: int, c: P.Config, side: int = 64, acc: DataFrame | None = None) -> DataFrame:
+def merge(raw: DataFrame, flow: DataFrame | None, rob: DataFrame | None, cov: DataFrame | None, tile: int, c: P.Config, side: int = 64, acc: DataFrame | None = None, config: DataFrame | None = None) -> DataFrame:
     """Blocks of output pixels: y0, x0, th, tw and in `data` three planes of num, then three of den, not a number where no
     sample counts. The sums of merge.accumulate over merge_comparison and merge_reference.
 
-    raw, rob, cov and acc: storage tiles (cov of side / 2 in a mosaic). Without flow only the reference gives; without rob
-    all is trusted; cov is needed for the steerable kernel; acc is used where the accumulated denoiser is on."""
-    half, ref = 2 if c.bayer else 1, raw.where("frame_idx = 0")
+    raw, rob, cov and acc: storage tiles (cov of side / 2 in a mosaic). Frames without flow do not count, so without flow only
+    the reference gives; without rob all is trusted; cov is needed for the steerable kernel; acc is used where the accumulated
+    denoiser is on. config: settings of each burst in place of those of c."""
+    half, ref, params = 2 if c.bayer else 1, raw.where("frame_idx = 0"), None if config is None else parameters(config, c)
     blocks = _blocks(ref)
-    size = blocks.select(*BLOCK, "frame_idx", F.lit(0).alias("sy"), F.lit(0).alias("sx"), F.col("fh").alias("th"), F.col("fw").alias("tw"), "fh", "fw", F.array(F.lit(0.0)).alias("data"))
-    still = blocks.withColumns({"last_y": F.lit(0), "last_x": F.lit(0)})
-    denoise = c.denoise_accumulated and acc is not None
-    parts = [_rows(size, "size"), _fetched(still, ref, "raw", tile, side, 0, 1, 1 + (c.denoise_radius if denoise else 1), moved=False)]
+    still = blocks.withColumns({"last_y": F.lit(0), "last_x": F.lit(0), "radius": F.lit(c.denoise_radius)})
+    if config is not None and "denoise_radius" in config.columns:
+        still = still.drop("radius").join(config.select("burst_id", F.ceil("denoise_radius").alias("radius")), "burst_id")
+    parts = [_about_rows(blocks, params), _fetched(still, ref, "raw", tile, side, 0, 1, 1 + (F.col("radius") if acc is not None else F.lit(1)), moved=False)]
     if c.steerable:
         parts.append(_fetched(still, cov.where("frame_idx = 0"), "cov", tile, side, 0, half, 2, moved=False))
-    if denoise:
+    if acc is not None:
         parts.append(_fetched(still, acc, "acc", tile, side, 0, 1, 1, moved=False))
     if flow is not None:
         comp = raw.where("frame_idx > 0")
@@ -356,7 +369,7 @@ def merge(raw: DataFrame, flow: DataFrame | None, rob: DataFrame | None, cov: Da
     for p in parts[1:]:
         rows = rows.unionByName(p)
     types = [x.strip().rsplit(" ", 1) for x in ROW.split(",")]
-    return rows.select(*[F.col(n).cast(t) for n, t in types]).groupBy(*BLOCK).applyInArrow(_merged(c, tile, side, c.steerable), ACC)
+    return rows.select(*[F.col(n).cast(t) for n, t in types]).groupBy(*BLOCK).applyInArrow(_merged(c, tile, side), ACC)
 
 
 def sums(blocks: DataFrame) -> DataFrame:
@@ -367,6 +380,6 @@ def sums(blocks: DataFrame) -> DataFrame:
     return out.select("burst_id", (F.col("y0") + F.floor(at / F.col("tw"))).cast("int").alias("Y"), (F.col("x0") + at % F.col("tw")).cast("int").alias("X"), F.floor(F.col("pos") / area).cast("int").alias("ch"), "s.num", "s.den")
 
 
-def kernel_tiles(raw: DataFrame, c: P.Config, side: int = 64) -> DataFrame:
-    """Storage tiles (of side / 2 in a mosaic) of the merging kernel's covariance."""
-    return chain(raw, kernel_steps(c), side)
+def kernel_tiles(raw: DataFrame, c: P.Config, side: int = 64, config: DataFrame | None = None) -> DataFrame:
+    """Storage tiles (of side / 2 in a mosaic) of the merging kernel's covariance, by the settings of each burst where given."""
+    return chain(raw, kernel_steps, side, c, None if config is None else parameters(config, c))

@@ -68,9 +68,11 @@ def a6_pack_tiles(spark, sf):
 
 
 def a10_header(spark, sf):
-    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("burst_id"), F.lit(64).alias("H"), F.lit(64).alias("W"))
-    text = F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), " ")
-    return encode.header_rows(s, P.Config()).select("burst_id", "tag", "name", text.alias("numbers"))
+    """Header rows of the merged scenes, with make, model and orientation by the settings of their burst."""
+    s = settings.reference_settings(_meta(spark, sf)).select("burst_id", "make", F.when(F.col("burst_id") % 3 > 0, F.col("model")).otherwise("").alias("model"), F.when(F.col("burst_id") % 5 > 0, F.col("orientation")).otherwise(0).alias("orientation"))
+    size = _sc(spark, sf).where("frame_idx = 0").groupBy("burst_id").agg((2 * (F.max("y") + 1)).alias("H"), (2 * (F.max("x") + 1)).alias("W"))
+    numbers = F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), " ")
+    return encode.header_rows(s.join(size, "burst_id"), P.Config()).select("burst_id", "tag", "name", F.coalesce("text", numbers).alias("value"))
 
 
 def b_photometry(spark, sf):
@@ -257,14 +259,27 @@ def i9_merge_all(spark, sf):
 
 def i11_super_resolve(spark, sf):
     """The whole path: grey low-pass, alignment over four levels with refinement, noise curves, parameters tuned to each
-    burst's signal-to-noise ratio, steerable kernels, robustness and the accumulated denoiser, as 16-bit rows."""
-    c = P.Config(denoise_accumulated=True)
-    stage = _stage(spark)
-    return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _curves(spark, sf), by_snr=True, materialise=stage)[0]
+    burst's signal-to-noise ratio, steerable kernels, robustness, merge and the accumulated denoiser in tile form, as 16-bit rows."""
+    c, stage = P.Config(denoise_accumulated=True), _stage(spark)
+    return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _curves(spark, sf), by_snr=True, materialise=stage, side_tiles=32)[0]
+
+
+def i9_process(spark, sf):
+    """Flow, robustness, steerable kernels and merge of a burst with a given flow to its balanced raster in linear light."""
+    return _sixed(super_resolve.process(_sc(spark, sf), STEERED, _curves(spark, sf), flow=_stage(spark)(_flow(spark, sf).drop("cost"), "flow"), materialise=_stage(spark), side=16), "v")
+
+
+def e16_two_cameras(spark, sf):
+    """References of cameras with different mosaics and gains, merged by one plan in tile form and balanced by burst."""
+    s = settings.reference_settings(_meta(spark, sf)).select("burst_id", "white_balance", "cfa")
+    acc = tile_merge.sums(tile_merge.merge(tiles.stored(_sc(spark, sf).where("frame_idx = 0"), 16), None, None, None, 8, ISO, 16, config=s))
+    return _sixed(settings.balanced(merge.normalised(acc, ISO, balance=False), s), "v")
 
 
 def _linear(spark, sf):
-    return encode.rgb(_sixed(merge.normalised(merge.merge_reference(_sc(spark, sf), None, None, ISO), ISO, balance=False), "v"))
+    """The references alone, merged in tile form."""
+    raw = tiles.stored(_sc(spark, sf).where("frame_idx = 0"), 16)
+    return encode.rgb(_sixed(merge.normalised(tile_merge.sums(tile_merge.merge(raw, None, None, None, 8, ISO, 16)), ISO, balance=False), "v"))
 
 
 def i12_encode(spark, sf):
@@ -346,11 +361,16 @@ def b7_colour(spark, sf):
 
 
 def b22_config(spark, sf):
-    """Tuning keys of each burst: given by its map where it has them, else the defaults; and the bounds of linear noise."""
-    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("burst_id"), "s_suppkey", "s_acctbal")
-    given = F.create_map(F.lit("r_t"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") / 16), F.lit("k_stretch"), F.col("s_suppkey") % 5 + 0.5, F.lit("alpha"), (F.col("s_suppkey") % 7 + 1) / 4096, F.lit("scale"), F.lit(9.0))
-    out = settings.burst_config(s.select("burst_id", given.alias("overrides")), P.Config())
-    return _sixed(out.select("burst_id", "r_t", "r_s2", "k_stretch", "alpha", "noise_low", "noise_high"), "r_t", "alpha", "noise_low", "noise_high")
+    """Parameters of each burst: given under the tuning keys by its map where it has them, else the defaults; then those that the
+    signal-to-noise ratio tunes where that is not switched off. Keys that are no tuning keys change nothing."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("burst_id"), "s_suppkey")
+    k = F.col("s_suppkey")
+    given = {"r_t": F.when(k % 2 == 0, k / 16), "k_stretch": k % 5 + 0.5, "k_detail": k % 4 / 8, "snr_auto_tune": k % 3, "accumulated_robustness_denoiser_enabled": k % 2, "acc_rob_max_frame_count": F.when(k % 7 > 0, k % 7), "alpha": F.lit(9.0), "D_th": F.lit(9.0)}
+    config = settings.burst_config(s.select("burst_id", F.create_map(*[x for n, v in given.items() for x in (F.lit(n), v.cast("double"))]).alias("overrides")), P.Config())
+    means = _sc(spark, sf).where("frame_idx = 0").groupBy("burst_id").agg(F.avg("v").alias("mean"))
+    out = settings.tuned(config, means, P.Config())
+    six = ("r_t", "k_detail", "k_denoise", "D_th", "D_tr", "alpha", "noise_low", "noise_high")
+    return _sixed(out.select("burst_id", *six, "r_s2", "k_stretch", "snr_tuning", "denoise_accumulated", "denoise_frames", "denoise_power", "tile", "coarse_tile"), *six)
 
 
 def e17_complete(spark, sf):
@@ -421,11 +441,15 @@ def a9_output_rows(spark, sf):
     return encode.write_rows(encode.encode_16(_linear(spark, sf), ISO), shared_path(spark, "rows"))
 
 
-def j1_burst_assembly(spark, sf):
-    """Frames of the event stream as they arrive; the bursts that are complete when the stream is through."""
+def _arrivals(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     f = e.groupBy(F.floor(F.col("event_id") / 512).cast("long").alias("burst_id"), (F.floor(F.col("event_id") / 64) % 8).cast("int").alias("part"))
-    f = f.agg(F.max("ts").cast("timestamp").alias("capture_ts"), F.count("*").alias("n")).where("n = 64").select("burst_id", "capture_ts", F.lit("ok").alias("status"))
+    return f.agg(F.max("ts").cast("timestamp").alias("capture_ts"), F.count("*").alias("n")).where("n = 64").select("burst_id", "part", "capture_ts", F.lit("ok").alias("status"))
+
+
+def j1_burst_assembly(spark, sf):
+    """Frames of the event stream as they arrive; the bursts that are complete when the stream is through."""
+    f = _arrivals(spark, sf).drop("part")
     path, out, state = (shared_path(spark, n) for n in ("arrivals", "assembled", "state"))
     f.write.parquet(path)
     stream = bursts.assemble(spark.readStream.schema(f.schema).parquet(path))
@@ -433,6 +457,18 @@ def j1_burst_assembly(spark, sf):
     return spark.read.schema(bursts.OUT).parquet(out).where("status = 'complete'").select("burst_id", "status", "n")
 
 
+def j5_late(spark, sf):
+    """Bursts of six frames of which the last two of eight come in a later batch: these go to the side output."""
+    f = _arrivals(spark, sf)
+    whole = f.join(f.groupBy("burst_id").count().where("count = 8"), "burst_id", "left_semi")
+    path, out, state = (shared_path(spark, n) for n in ("arrivals", "assembled", "state"))
+    for batch in ("part < 6", "part >= 6"):
+        whole.where(batch).drop("part").coalesce(1).write.mode("append").parquet(path)
+    stream = bursts.assemble(spark.readStream.schema(f.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path), expected=6, late="3650 days", side=True)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(bursts.OUT).parquet(out).groupBy("burst_id", "status").agg(F.sum("n").cast("int").alias("n"))
+
+
 def d5_tiles(spark, sf):
     """d5_downsample in tile form."""
     return _sixed(halo.samples(halo.chain(tiles.stored(_sc(spark, sf), 16), [halo.downsample(2)], 16), "v"), "v")
@@ -514,8 +550,8 @@ ALL = (
     b30_snr, c2_centre_crop, c3_crop_to_reference, c4_not_empty, c5_valid_bursts, c11_first_frames, d1_box_grey, d2_low_pass, d3_fourier, d3_inverse, d4_pad_circular, d5_downsample, d7_gradients,
     d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor, d14_kernel_field, d14_hard, d15_flow_irregularity, e5_bilinear, e6_bilinear_clamped, e8_kernel_at,
     e15_upscale_flow, e16_settings, e17_complete, f3_correlation, f4_hessian, f7_accumulated, f9_noise_curves, g5_preview, h2_replaced, h3_pyramid, i1_block_match_l1, i1_block_match_l2,
-    d5_tiles, d9_tiles, d11_tiles, d12_tiles, d14_tiles, i5_tiles, f7_tiles, i7_tiles, i9_tiles, h2_tiles, b26_steered, b26_tiles,
-    i1_tiles, i2_refine_step, i3_align, i3_tiles, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly,
+    d5_tiles, d9_tiles, d11_tiles, d12_tiles, d14_tiles, i5_tiles, f7_tiles, i7_tiles, i9_tiles, i9_process, e16_two_cameras, h2_tiles, b26_steered, b26_tiles,
+    i1_tiles, i2_refine_step, i3_align, i3_tiles, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly, j5_late,
 )
 
 

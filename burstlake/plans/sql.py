@@ -188,7 +188,10 @@ ORACLES = {
     "a4_reference_meta": sql("ev", "SELECT f.burst_id, f.frame_idx, m.* EXCLUDE burst_id FROM (SELECT DISTINCT burst_id, frame_idx FROM ev) f JOIN (SELECT burst_id, max(y)+1 AS h, max(x)+1 AS w, min(v) AS black, max(v) AS white FROM ev WHERE frame_idx=0 GROUP BY 1) m USING (burst_id)"),
     "a5_unpack": f"SELECT CAST(label AS BIGINT) AS burst_id, vec_id AS frame_idx, CAST(p//8 AS INTEGER) AS y, CAST(p%8 AS INTEGER) AS x, {six('CAST(embedding[p+1] AS DOUBLE)')} AS v FROM embeddings, range(64) t(p)",
     "a6_pack_tiles": sql("ev", "SELECT burst_id, frame_idx, CAST(y//4 AS INTEGER) AS ty, CAST(x//4 AS INTEGER) AS tx, min(y) AS y0, min(x) AS x0, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x) AS data FROM ev GROUP BY ALL"),
-    "a10_header": sql("", "SELECT CAST(s_suppkey AS BIGINT) AS burst_id, t.* FROM supplier, (VALUES (256,'width','64'),(257,'height','64'),(258,'bits','16 16 16'),(262,'photometric','34892'),(277,'samples','3'),(50714,'black','0'),(50717,'white','65535'),(50721,'matrix','1 0 0 0 1 0 0 0 1')) t(tag,name,numbers)"),
+    "a10_header": sql("cams", """SELECT CAST(s_suppkey AS BIGINT) AS burst_id, tag, name, value FROM (SELECT *, s_suppkey%8 AS flip, CASE WHEN s_suppkey%3>0 THEN s_name ELSE 'merged' END AS model FROM cams), LATERAL (
+      SELECT * FROM (VALUES (254,'subfile','0'),(256,'width','64'),(257,'height','64'),(258,'bits','16 16 16'),(259,'compression','1'),(262,'photometric','34892'),(271,'make',n_name),(272,'model',model),(273,'strip_offset','0'),(277,'samples','3'),
+      (274,'orientation',CASE WHEN s_suppkey%5>0 THEN CASE flip WHEN 3 THEN '3' WHEN 5 THEN '8' WHEN 6 THEN '6' ELSE '1' END END),(278,'rows_per_strip','64'),(279,'strip_bytes','24576'),(284,'planar','1'),(339,'sample_format','1 1 1'),(50706,'version','1 4 0 0'),(50707,'backward_version','1 3 0 0'),
+      (50708,'unique_model',model),(50714,'black','0 0 0'),(50717,'white','65535 65535 65535'),(50719,'crop_origin','0 0'),(50720,'crop_size','64 64'),(50829,'active_area','0 0 64 64'),(50721,'matrix','1 0 0 0 1 0 0 0 1'),(50778,'illuminant','21')) t(tag,name,value)) WHERE value IS NOT NULL"""),
     "b_photometry": sql("evu", f"SELECT {KEY}, {six('least(greatest((v*65535-1000)/greatest(1, 65535-1000),0),1)')} AS norm, {six(f'{2 / A!r}::DOUBLE*sqrt(greatest(0, v*{A!r}::DOUBLE+{0.375 * A * A + B!r}::DOUBLE))')} AS stabilised, {six(srgb('v'))} AS srgb, CAST(floor(v*65535+0.5) AS INTEGER) AS v16, CAST(round_even(v*255,0) AS INTEGER) AS even8, CAST(floor(v*255+0.5) AS INTEGER) AS away8, {six(SPLINE.format('(v*2)'))} AS spline, CAST({CFA} AS INTEGER) AS ch, {six('t*t*(3-2*t)')} AS smooth, trunc((v-0.5::DOUBLE)*7) AS whole, {six('least(greatest((v-0.125::DOUBLE)/0.5::DOUBLE,0),1)*3+2')} AS line FROM (SELECT *, least(greatest((v-0.25::DOUBLE)/0.5::DOUBLE,0),1) AS t FROM evu)"),
     "b30_snr": sql("evu", f"SELECT burst_id, {six('mean')} AS mean, {six('snr')} AS snr, {six('(snr-6)/24*(0.29::DOUBLE-0.30::DOUBLE)+0.30::DOUBLE')} AS k_detail, {six('(snr-6)/24*(-2)+5')} AS k_denoise, CASE WHEN snr<=14 THEN 64 WHEN snr<=22 THEN 32 ELSE 16 END AS tile FROM (SELECT burst_id, mean, least(greatest(mean/sqrt(mean*{A!r}::DOUBLE+{B!r}::DOUBLE),6),30) AS snr FROM (SELECT burst_id, avg(v) AS mean FROM evu WHERE frame_idx=0 GROUP BY 1))"),
     "c2_centre_crop": sql("ev", "SELECT burst_id, frame_idx, CAST(y-2 AS INTEGER) AS y, CAST(x-2 AS INTEGER) AS x, v FROM ev WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5"),
@@ -229,7 +232,11 @@ ORACLES = {
     "a9_output_rows": sql("sc scu hrref lin", "SELECT burst_id, count(DISTINCT Y) AS rows, CAST(max(Y)+1 AS INTEGER) AS expected, count(DISTINCT Y)=max(Y)+1 AS complete FROM lin GROUP BY 1"),
     "a11_export": sql("sc scu hrref lin", "SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, CAST(floor(coalesce(r,0)*65535+0.5) AS INTEGER) AS r16, CAST(floor(coalesce(g,0)*65535+0.5) AS INTEGER) AS g16, CAST(floor(coalesce(b,0)*65535+0.5) AS INTEGER) AS b16 FROM lin"),
     "b7_colour": sql("sc scu quads cams", "SELECT burst_id, CAST(y AS INTEGER) AS Y, CAST(x AS INTEGER) AS X, " + ", ".join(six("+".join(f"({1 if i == k else 0}+(s_nationkey+{3 * i + k})%5/16)*v{k}" for k in range(3))) + f" AS {n}" for i, n in enumerate("rgb")) + " FROM (SELECT q.burst_id, q.y, q.x, s_nationkey, " + ", ".join(f"max(CASE WHEN ch={k} THEN v END)*any_value(gain[{k + 1}]) AS v{k}" for k in range(3)) + " FROM quads q JOIN cams c ON c.burst_id=q.burst_id WHERE frame_idx=0 GROUP BY 1,2,3,4)"),
-    "b22_config": f"SELECT CAST(s_suppkey AS BIGINT) AS burst_id, {six('CASE WHEN s_suppkey%2=0 THEN s_suppkey/16 ELSE 0.15::DOUBLE END')} AS r_t, 24::DOUBLE AS r_s2, s_suppkey%5+0.5::DOUBLE AS k_stretch, {six('a')} AS alpha, {six(f'4.5::DOUBLE*(a+sqrt(9*a*a+4*{B!r}::DOUBLE))')} AS noise_low, {six(f'(2+9*a-sqrt(greatest((2+9*a)*(2+9*a)-4*(1+9*{B!r}::DOUBLE),0)))/2')} AS noise_high FROM (SELECT *, (s_suppkey%7+1)/4096 AS a FROM supplier)",
+    "b22_config": sql("sc scu", f"""SELECT CAST(s_suppkey AS BIGINT) AS burst_id, {six('CASE WHEN s_suppkey%2=0 THEN s_suppkey/16 ELSE 0.15::DOUBLE END')} AS r_t, {six('CASE WHEN snr_on THEN 0.30::DOUBLE-0.01::DOUBLE*p ELSE s_suppkey%4/8 END')} AS k_detail,
+      {six('CASE WHEN snr_on THEN 5-2*p ELSE 3.5::DOUBLE END')} AS k_denoise, {six('CASE WHEN snr_on THEN 0.81::DOUBLE-0.1::DOUBLE*p ELSE 0.005::DOUBLE END')} AS D_th, {six('CASE WHEN snr_on THEN 1.24::DOUBLE-0.24::DOUBLE*p ELSE 0.014::DOUBLE END')} AS D_tr, {six(f'{A!r}::DOUBLE')} AS alpha,
+      {six(f'4.5::DOUBLE*({A!r}::DOUBLE+sqrt(9*{A!r}::DOUBLE*{A!r}::DOUBLE+4*{B!r}::DOUBLE))')} AS noise_low, {six(f'(2+9*{A!r}::DOUBLE-sqrt((2+9*{A!r}::DOUBLE)*(2+9*{A!r}::DOUBLE)-4*(1+9*{B!r}::DOUBLE)))/2')} AS noise_high, 24::DOUBLE AS r_s2, s_suppkey%5+0.5::DOUBLE AS k_stretch, snr_on AS snr_tuning,
+      s_suppkey%2<>0 AS denoise_accumulated, CASE WHEN s_suppkey%7>0 THEN (s_suppkey%7)::DOUBLE ELSE 2 END AS denoise_frames, 8::DOUBLE AS denoise_power, CAST(CASE WHEN NOT snr_on THEN 16 WHEN snr<=14 THEN 64 WHEN snr<=22 THEN 32 ELSE 16 END AS INTEGER) AS tile,
+      CAST(CASE WHEN NOT snr_on THEN 8 WHEN snr<=14 THEN 32 WHEN snr<=22 THEN 16 ELSE 8 END AS INTEGER) AS coarse_tile FROM (SELECT *, (snr-6)/24 AS p FROM (SELECT s_suppkey, s_suppkey%3<>0 AS snr_on, least(greatest(mean/sqrt(mean*{A!r}::DOUBLE+{B!r}::DOUBLE),6),30) AS snr FROM supplier JOIN (SELECT burst_id, avg(v) AS mean FROM scu WHERE frame_idx=0 GROUP BY 1) ON burst_id=s_suppkey))"""),
     "c4_not_empty": sql("ev", "SELECT burst_id, frame_idx, h, CAST(1 AS INTEGER) AS w FROM (SELECT burst_id, frame_idx, CAST(count(*) FILTER (v%2=0)%3 AS INTEGER) AS h FROM ev GROUP BY ALL) WHERE h>0"),
     "c11_first_frames": sql("ev", "SELECT burst_id, count(*) AS samples, max(frame_idx) AS last FROM ev WHERE frame_idx<2 GROUP BY 1"),
     "d3_fourier": sql("evu", f"SELECT burst_id, frame_idx, CAST((a.i+4)%8 AS INTEGER) AS y, CAST((b.i+4)%8 AS INTEGER) AS x, {six('sum(v*cos(2*pi()*(a.i*y+b.i*x)/8))')} AS v, {six('-sum(v*sin(2*pi()*(a.i*y+b.i*x)/8))')} AS im FROM evu, range(8) a(i), range(8) b(i) GROUP BY burst_id, frame_idx, a.i, b.i"),
@@ -257,29 +264,38 @@ ORACLES = {
 }
 
 
-def _steered() -> str:
-    """All frames with the steerable kernel: the covariance between four grey pixels, inverted, weighs the nine samples around."""
+def _steered(trusted: bool = False) -> str:
+    """All frames with the steerable kernel: the covariance between four grey pixels, inverted, weighs the nine samples around;
+    trusted: comparison frames by their robustness as well."""
     grid = "(SELECT a.i AS Y, c.i AS X, a.i/2e0 AS cy, c.i/2e0 AS cx, (a.i+0.5::DOUBLE)/2 AS ly, (c.i+0.5::DOUBLE)/2 AS lx, a.i//16 AS ty, c.i//16 AS tx FROM range(64) a(i), range(64) c(i))"
     weight = lambda n: f"sum((CASE WHEN o.j=1 THEN fx ELSE 1-fx END)*(CASE WHEN o.i=1 THEN fy ELSE 1-fy END)*c.{n}) AS {n}"
     inverse = ", ".join(f"CASE WHEN abs(xx*yy-xy*xy)>1e-10 THEN {a}/(xx*yy-xy*xy) ELSE {b} END AS {n}" for n, a, b in (("ixx", "yy", 1), ("ixy", "-xy", 0), ("iyy", "xx", 1)))
-    named = {n: CTES[n] for n in ("sc", "scu", "vst", "vgrad", "vtensor", "veigen", "cov", "flow1")}
+    robust = ("ev", "quads", "qstats", "wref", "wcomp", "rough", "cells", "known", "lut", "trust") if trusted else ()
+    named = {n: CTES[n] for n in ("sc", "scu", "vst", "vgrad", "vtensor", "veigen", "cov", "flow1", *robust)}
     named["vst"] = named["vst"].replace("evu", "scu")
-    named["pts"] = f"""SELECT b.burst_id, 0 AS frame_idx, Y, X, cy AS py, cx AS px, round_even(cy,0) AS sy, round_even(cx,0) AS sx, cy/2-0.5::DOUBLE AS ky, cx/2-0.5::DOUBLE AS kx FROM (SELECT DISTINCT burst_id FROM sc) b, {grid}
-      UNION ALL SELECT burst_id, frame_idx, Y, X, my-0.5::DOUBLE, mx-0.5::DOUBLE, floor(my), floor(mx), my/2-0.5::DOUBLE, mx/2-0.5::DOUBLE FROM (
-      SELECT f.burst_id, f.frame_idx, h.Y, h.X, ly+f.dy AS my, lx+f.dx AS mx FROM flow1 f JOIN {grid} h ON f.ty=h.ty AND f.tx=h.tx) WHERE mx>=0 AND mx<32 AND my>=0 AND my<32"""
-    named["inv"] = f"""SELECT burst_id, frame_idx, Y, X, py, px, sy, sx, {inverse} FROM (
-      SELECT p.burst_id, p.frame_idx, p.Y, p.X, any_value(py) AS py, any_value(px) AS px, any_value(sy) AS sy, any_value(sx) AS sx, {weight('xx')}, {weight('xy')}, {weight('yy')} FROM (
+    named["pts"] = f"""SELECT b.burst_id, 0 AS frame_idx, Y, X, cy AS py, cx AS px, round_even(cy,0) AS sy, round_even(cx,0) AS sx, cy/2-0.5::DOUBLE AS ky, cx/2-0.5::DOUBLE AS kx, 0 AS ry, 0 AS rx FROM (SELECT DISTINCT burst_id FROM sc) b, {grid}
+      UNION ALL SELECT burst_id, frame_idx, Y, X, my-0.5::DOUBLE, mx-0.5::DOUBLE, floor(my), floor(mx), my/2-0.5::DOUBLE, mx/2-0.5::DOUBLE, floor(ly), floor(lx) FROM (
+      SELECT f.burst_id, f.frame_idx, h.Y, h.X, ly, lx, ly+f.dy AS my, lx+f.dx AS mx FROM flow1 f JOIN {grid} h ON f.ty=h.ty AND f.tx=h.tx) WHERE mx>=0 AND mx<32 AND my>=0 AND my<32"""
+    named["inv"] = f"""SELECT burst_id, frame_idx, Y, X, py, px, sy, sx, ry, rx, {inverse} FROM (
+      SELECT p.burst_id, p.frame_idx, p.Y, p.X, any_value(py) AS py, any_value(px) AS px, any_value(sy) AS sy, any_value(sx) AS sx, any_value(ry) AS ry, any_value(rx) AS rx, {weight('xx')}, {weight('xy')}, {weight('yy')} FROM (
       SELECT *, ky-floor(ky) AS fy, kx-floor(kx) AS fx, least(greatest(trunc(ky),0),15) AS y0, least(greatest(trunc(kx),0),15) AS x0 FROM pts) p, (SELECT a.i, b.j FROM range(2) a(i), range(2) b(j)) o
       JOIN cov c ON c.burst_id=p.burst_id AND c.frame_idx=p.frame_idx AND c.y=least(p.y0+o.i,15) AND c.x=least(p.x0+o.j,15) GROUP BY 1,2,3,4)"""
-    named["taps"] = f"""SELECT g.burst_id, Y, X, CAST([0,1,1,2][(i%2)*2+j%2+1] AS INTEGER) AS ch, s.v, CASE WHEN k=0 AND oi=0 AND oj=0 THEN 1 ELSE k END AS k FROM (
+    named["taps"] = f"""SELECT g.burst_id, g.Y, g.X, CAST([0,1,1,2][(i%2)*2+j%2+1] AS INTEGER) AS ch, s.v, CASE WHEN k=0 AND oi=0 AND oj=0 THEN 1 ELSE k END{'*CASE WHEN g.frame_idx>0 THEN t.v ELSE 1 END' if trusted else ''} AS k FROM (
       SELECT *, exp(-0.5::DOUBLE*greatest(ixx*(j-px)*(j-px)+2*ixy*(j-px)*(i-py)+iyy*(i-py)*(i-py),0)) AS k FROM (SELECT n.*, o.i AS oi, o.j AS oj, CAST(sy AS INTEGER)+o.i AS i, CAST(sx AS INTEGER)+o.j AS j FROM inv n, {OFFSETS.format(r=1)} o)) g
-      JOIN scu s ON s.burst_id=g.burst_id AND s.frame_idx=g.frame_idx AND s.y=i AND s.x=j"""
+      JOIN scu s ON s.burst_id=g.burst_id AND s.frame_idx=g.frame_idx AND s.y=i AND s.x=j{' LEFT JOIN trust t ON t.burst_id=g.burst_id AND t.frame_idx=g.frame_idx AND t.y=ry AND t.x=rx' if trusted else ''}"""
     final = f"SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, ch, {six('CASE WHEN den>0 THEN num/den ELSE 0 END')} AS v FROM (SELECT burst_id, Y, X, ch, sum(k*v) AS num, sum(k) AS den FROM taps GROUP BY ALL)"
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in named.items()) + "\n" + final
 
 
 ORACLES |= {
     "b26_steered": _steered(),
+    "i9_process": _steered(trusted=True),
+    "j5_late": "SELECT burst_id, u.status, u.n FROM (SELECT event_id//512 AS burst_id FROM events GROUP BY 1 HAVING count(*)=512), (VALUES ('complete', 6), ('late', 2)) u(status, n)",
+    "e16_two_cameras": sql("sc scu cams", f"""SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, CAST(ch AS INTEGER) AS ch, {six('num/den*gain[ch+1]')} AS v FROM (SELECT g.burst_id, Y, X, c.gain, c.cfa[(i%2)*2+j%2+1] AS ch, sum(k*v) AS num, sum(k) AS den FROM (
+      SELECT t.*, s.v, exp(-0.5::DOUBLE*2*((j-cx)*(j-cx)+(i-cy)*(i-cy))) AS k FROM (
+      SELECT b.burst_id, Y, X, cy, cx, CAST(round_even(cy,0) AS INTEGER)+o.i AS i, CAST(round_even(cx,0) AS INTEGER)+o.j AS j FROM (SELECT DISTINCT burst_id FROM sc) b,
+      (SELECT a.i AS Y, c.i AS X, a.i/2e0 AS cy, c.i/2e0 AS cx FROM range(64) a(i), range(64) c(i)), {OFFSETS.format(r=1)} o) t
+      JOIN (SELECT * FROM scu WHERE frame_idx=0) s ON s.burst_id=t.burst_id AND s.y=i AND s.x=j) g JOIN cams c ON c.burst_id=g.burst_id GROUP BY ALL)"""),
     "a7_stage_store": sql("ev", "SELECT burst_id, frame_idx, y, x, v+CASE burst_id%3 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 0 END AS v FROM ev"),
 }
 # Tile forms give the rows of the forms sample by sample.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstlake.functions import photometry as P
-from burstlake.operators import crop, gather, halo, match, merge, robust, settings, stencil, tile_merge, tiles
+from burstlake.operators import crop, encode, gather, halo, match, merge, robust, settings, stencil, tile_merge, tiles
 from burstlake.plans import registry, super_resolve
 from burstlake.sources import rasters
 
@@ -130,12 +130,37 @@ def test_replacing_covers_all_channels(spark):
     assert {(r.X, r.ch): (r.num, r.den) for r in merge.accumulate(comp, ref).collect()} == {(0, 0): (7, 2), (0, 1): (0, 0), (1, 0): (6, 2)}
 
 
-def test_noise_bounds_and_overrides(spark):
+def test_noise_bounds(spark):
     low, high = spark.range(1).select(*P.linear_noise(1.80710882e-4, 3.1937599182e-6)).first()
     assert low == pytest.approx(0.0169, abs=1e-3) and high == pytest.approx(0.961, abs=1e-3)
-    s = spark.createDataFrame([(1, {"r_t": 0.5, "other": 1.0}), (2, None)], "burst_id long, overrides map<string,double>")
-    got = {r.burst_id: r for r in settings.burst_config(s, P.Config()).collect()}
-    assert got[1].r_t == 0.5 and got[2].r_t == got[1].alpha / P.Config().alpha * 0.15 == pytest.approx(0.15)
+
+
+def test_the_twelve_tuning_keys(spark):
+    # The keys that can be tuned.
+    keys = """r_t r_s1 r_s2 r_Mt k_detail k_denoise k_stretch snr_auto_tune accumulated_robustness_denoiser_enabled
+        acc_rob_rad_max acc_rob_max_multiplier acc_rob_max_frame_count""".split()
+    assert sorted(P.TUNABLE) == sorted(keys)
+    given = {k: 0.0 if k == "snr_auto_tune" else 1.0 for k in keys}
+    s = spark.createDataFrame([(1, {**given, "alpha": 5.0, "k_shrink": 9.0}), (2, None), (3, {"snr_auto_tune": None, "r_t": 0.5})], "burst_id long, overrides map<string,double>")
+    got = {r.burst_id: r.asDict() for r in settings.burst_config(s, P.Config()).collect()}
+    usual = P.Config()
+    assert all(got[1][n] == P.overridden(usual, given).__dict__[n] for n in P.TUNABLE.values()) and all(got[2][n] == getattr(usual, n) for n in P.TUNABLE.values())
+    assert got[1]["alpha"] == usual.alpha and "k_shrink" not in got[1] and got[3]["snr_tuning"] is True and got[3]["r_t"] == 0.5
+    means = spark.createDataFrame([(1, 0.5), (2, 0.5)], "burst_id long, mean double")
+    config = settings.burst_config(s.where("burst_id < 3"), usual)
+    own = {r.burst_id: r for r in settings.tuned(config, means, usual).collect()}
+    assert own[1].k_denoise == 1 and own[1].tile == 16 and own[1].D_tr == usual.D_tr  # switched off: as overridden
+    assert own[2].k_denoise == pytest.approx(3) and own[2].D_tr == pytest.approx(1)
+
+
+def test_header_has_every_tag(spark):
+    sizes = spark.createDataFrame([(1, 6, 4, "maker", "", 6), (2, 6, 4, None, "camera", 9)], "burst_id long, H int, W int, make string, model string, orientation int")
+    rows = {(r.burst_id, r.tag): r.text if r.text is not None else r["values"] for r in encode.header_rows(sizes, P.Config()).collect()}
+    assert [t for b, t in sorted(rows) if b == 1] == [254, 256, 257, 258, 259, 262, 271, 272, 273, 274, 277, 278, 279, 284, 339, 50706, 50707, 50708, 50714, 50717, 50719, 50720, 50721, 50778, 50829]
+    assert (rows[1, 271], rows[1, 272], rows[2, 271], rows[2, 50708]) == ("maker", "merged", "burstlake", "camera")
+    assert rows[1, 274] == [6] and (2, 274) not in rows and rows[1, 279] == [144] and rows[1, 50829] == [0, 0, 6, 4] and rows[1, 50720] == [4, 6] and rows[1, 50717] == [65535] * 3
+    baked = {r.tag for r in encode.header_rows(sizes, P.Config(bake_srgb=True)).collect()}
+    assert 50721 not in baked and 50778 not in baked
 
 
 def test_transforms_of_any_size(spark):
@@ -172,6 +197,50 @@ def test_whole_path_aligns_and_tunes_each_burst(spark, monkeypatch):
     assert a != b
 
 
+def _bursts(spark):
+    """Three bursts of three frames: a bright one, a dim one and one in between, moving by fractions."""
+    wave = lambda level, d, e: [[level * (1 + 0.5 * math.sin((x + d) * 0.5) * math.cos((y + e) * 0.45)) for x in range(32)] for y in range(32)]
+    parts = [frame(spark, wave(level, 0.7 * f, -0.4 * f), burst=b, idx=f) for b, level in ((1, 0.5), (2, 0.01), (3, 0.05)) for f in range(3)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.coalesce(4)
+
+
+def test_whole_path_in_tile_form_gives_the_same_raster(spark, tmp_path):
+    """Alignment, robustness, kernels by each burst's own tuning, denoiser and merge, both ways, down to the 16-bit rows."""
+    count = iter(range(1000))
+    store = lambda df, name: registry.frames.write_stage(df, f"file://{tmp_path}/{name}-{next(count)}")
+    px, c = store(_bursts(spark), "px"), P.Config(denoise_accumulated=True, factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=2)
+    flow = store(match.align(px, c, store, tiles.level_step(c, 16, 2, store)), "flow")
+    lut, own = registry._lut(spark), store(super_resolve.snr_table(px, c), "snr")
+    plain = store(super_resolve.merged(px, c, lut, flow, store, own), "plain")
+    tiled = store(super_resolve.merged(px, c, lut, flow, store, own, side=16), "tiled")
+    _same(tiled, plain, ("burst_id", "Y", "X", "ch"), "num", "den", least=3 * 64 * 64 * 2)
+    rows = [{(r.burst_id, r.Y, r.X): (r.r16, r.g16, r.b16) for r in encode.encode_16(encode.rgb(merge.normalised(a, c)), c).collect()} for a in (plain, tiled)]
+    assert len(rows[0]) == 3 * 64 * 64 and all(abs(a - b) <= 1 for k in rows[0] for a, b in zip(rows[0][k], rows[1][k]))
+    # a frame whose robustness is lost is as if it had never come
+    lost = lambda df, name: store(df.where("not (burst_id = 2 and frame_idx = 1)") if name == "rob" else df, name)
+    without = px.where("not (burst_id = 2 and frame_idx = 1)")
+    want = super_resolve.merged(without, c, lut, flow.where("not (burst_id = 2 and frame_idx = 1)"), store, own, side=16)
+    _same(super_resolve.merged(px, c, lut, flow, lost, own, side=16), want, ("burst_id", "Y", "X", "ch"), "num", "den", least=20000)
+
+
+def test_settings_of_each_burst_in_tile_form(spark, tmp_path):
+    """Two cameras in one plan give what each gives alone with its own parameters."""
+    px = _bursts(spark).where("burst_id < 3").cache()
+    flow = registry._zero_flow(px, 8).withColumn("dx", F.lit(0.4))
+    own = {1: P.Config(r_t=0.05, white_balance=(2.0, 1.0, 1.5), k_detail=0.5, denoise_accumulated=True, denoise_radius=1), 2: P.Config(alpha=1e-3, cfa=(1, 0, 2, 3), r_s2=3.0, k_stretch=2.0)}
+    names = [*P.PER_BURST, "white_balance", "cfa"]
+    config = spark.createDataFrame([(b, *[(float(v) if not isinstance(v, tuple) else [float(x) for x in v]) for v in (getattr(c, n) for n in names)]) for b, c in own.items()], ["burst_id", *names])
+    lut, parts = registry._lut(spark), None
+    for b, c in own.items():
+        one = super_resolve.merged(px.where(F.col("burst_id") == b), c, lut, flow.where(F.col("burst_id") == b))
+        parts = one if parts is None else parts.unionByName(one)
+    got = super_resolve.merged(px, P.Config(), lut, flow, tuned=config, side=16)
+    _same(got, parts, ("burst_id", "Y", "X", "ch"), "num", "den", least=12000)
+
+
 def test_tile_form_equals_pixel_form(spark):
     """A frame of several blocks, uneven at its ends, started far off, refined in several turns: flow and cost agree, and tiles
     that refinement leads away are fetched again."""
