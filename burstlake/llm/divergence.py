@@ -3,11 +3,11 @@
 Terms are counted inside tasks and summed by (lang, source, term). What a term contributes depends on its counts alone, so
 terms are grouped into cells of equal counts, the contribution is worked out once for each cell, and cells are ranked by it
 with their cumulative multiplicity; only the cells of the first ranks are expanded into their terms again. For pairs of
-sources the cells are (count in one, count in the other): those of terms that both have come from the terms' vectors of
-counts, each different vector once; signed multiplicities then give the cells in which one count or both are 0, so no term
-is paired with sources that lack it.
+sources the cells come from the terms' vectors of counts, each different vector once. All terms are first valued as if both
+sources lacked them, then the terms that one has are corrected by its count, and the terms that both have by both counts, so
+no term is paired with sources that lack it.
 
-All arithmetic is in whole numbers of 64 bits, which hold up to 9e15 occurrences in a language and 8e9 kept terms.
+All arithmetic is in whole numbers of 64 bits, which hold up to 2.8e14 occurrences in a language and 8e9 kept terms.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,33 +23,35 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
-_HELD = 200_000  #: sums that a task holds before it passes them on
+_HELD = 400_000  #: sums that a task holds before it passes them on
 
 
 def _counted(batches):
     """Sums (lang, source, term, n, docs) of what a task reads, passed on whenever _HELD are held."""
-    sums: dict[tuple, list[int]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
 
     def rows():
-        keys, values = zip(*sums.items())
-        sums.clear()
-        lang, source, term = zip(*keys)
-        n, docs = zip(*values)
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        for (lang, source), (n, docs) in held.items():
+            terms = list(n)
+            same = [pa.array([v], pa.string()).take(pa.array(np.zeros(len(terms), np.int64))) for v in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(terms, pa.binary()), pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, terms), pa.int64())], ["lang", "source", "term", "n", "docs"])
+        held.clear()
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            for term, n in Counter(_TERM.findall(text.as_py().lower())).items():
-                at = sums.get((lang, source, term))
-                if at is None:
-                    sums[lang, source, term] = [n, 1]
-                else:
-                    at[0] += n
-                    at[1] += 1
-            if len(sums) >= _HELD:
-                yield rows()
-    if sums:
-        yield rows()
+            if (lang, source) not in held:
+                held[lang, source] = Counter(), Counter()
+            n, docs = held[lang, source]
+            terms = _TERM.findall(text.as_py().lower())
+            size -= len(n)
+            n.update(terms)
+            docs.update(set(terms))
+            size += len(n)
+            if size >= _HELD:
+                yield from rows()
+                size = 0
+    yield from rows()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -65,12 +68,10 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def smoothed_share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 * (count + 1) / (total + terms)), three digits at a time, so that no product leaves 64 bits."""
-    out, rest, of = F.lit(0), count + 1, total + terms
-    for _ in range(3):
-        out, rest = out * 1000 + _div(rest * 1000, of), (rest * 1000) % of
-    return out + 1
+def smoothed_share(count: Column, of: Column) -> Column:
+    """1 + floor(10^9 * (count + 1) / of) in two steps, as 10^9 = 31250 * 32000, so that no product leaves 64 bits."""
+    whole, rest = _div((count + 1) * 31250, of), ((count + 1) * 31250) % of
+    return whole * 32000 + _div(rest * 32000, of) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -79,27 +80,26 @@ def divergence(p: Column, q: Column) -> Column:
 
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value: each source of a language against each other one, over all kept terms."""
-    vectors = kept.groupBy("lang", "counts").agg(F.count("*").alias("m"))
+    vectors = cut(kept.groupBy("lang", "counts").agg(F.count("*").alias("m")), "vectors")
     v = vectors.select("lang", "m", "counts", F.posexplode("counts").alias("i", "a"))
     both = v.select("lang", "m", "a", F.explode(F.slice("counts", F.col("i") + 2, F.size("counts"))).alias("b"))
-    both = both.groupBy("lang", F.col("a.source").alias("one"), F.col("b.source").alias("two"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.sum("m").alias("m"))
-    single = v.groupBy("lang", F.col("a.source").alias("source"), F.col("a.n").alias("n")).agg(F.sum("m").alias("m"))
-    g = lambda name, n: groups.select("lang", F.col("source").alias(name), F.col("total").alias(n))
-    pairs = g("one", "total_one").join(g("two", "total_two"), "lang").where(F.col("one") < F.col("two")).join(groups.select("lang", "terms").distinct(), "lang")
-    cell = lambda x, y, m: F.struct(F.lit(x).cast("long").alias("x") if isinstance(x, int) else x.alias("x"), F.lit(y).cast("long").alias("y") if isinstance(y, int) else y.alias("y"), m.alias("m"))
-    x, y, n, m = (F.col(c) for c in ("x", "y", "n", "m"))
+    both = both.select("lang", F.col("a.source").alias("one"), F.col("b.source").alias("two"), F.col("a.n").alias("x"), F.col("b.n").alias("y"), "m")
+    single = cut(v.groupBy("lang", F.col("a.source").alias("source"), F.col("a.n").alias("n")).agg(F.sum("m").alias("m")), "counts")
+    side = lambda k: groups.select("lang", F.col("source").alias(k), F.col("of").alias(f"of_{k}"), F.when(F.col("terms") > 0, smoothed_share(F.lit(0), F.col("of"))).alias(f"none_{k}"), *(["terms"] if k == "one" else []))
+    pairs = cut(side("one").join(side("two"), "lang").where(F.col("one") < F.col("two")), "pairs")  # as many rows as part "pair" has, halved
     key = ("lang", "one", "two")
-    signed = [
-        both.select(*key, F.explode(F.array(cell(x, y, m), cell(x, 0, -m), cell(0, y, -m), cell(0, 0, m))).alias("c")),
-        single.withColumnRenamed("source", "one").join(pairs.select(*key), ["lang", "one"]).select(*key, F.explode(F.array(cell(n, 0, m), cell(0, 0, -m))).alias("c")),
-        single.withColumnRenamed("source", "two").join(pairs.select(*key), ["lang", "two"]).select(*key, F.explode(F.array(cell(0, n, m), cell(0, 0, -m))).alias("c")),
-        pairs.select(*key, cell(0, 0, F.col("terms")).alias("c")),
+    p, q, p0, q0 = smoothed_share(F.col("x"), F.col("of_one")), smoothed_share(F.col("y"), F.col("of_two")), F.col("none_one"), F.col("none_two")
+    P, Q = F.col("p"), F.col("q")
+    # Each kind of cell: m terms and what these add to the value that they have where counts still to come are taken for 0.
+    kinds = [
+        (both.join(pairs, list(key)).select(*key, "m", p0, q0, p.alias("p"), q.alias("q")), lambda f: f(P, Q) - f(P, q0) - f(p0, Q) + f(p0, q0)),
+        (single.withColumnsRenamed({"source": "one", "n": "x"}).join(pairs, ["lang", "one"]).select(*key, "m", p0, q0, p.alias("p")), lambda f: f(P, q0) - f(p0, q0)),
+        (single.withColumnsRenamed({"source": "two", "n": "y"}).join(pairs, ["lang", "two"]).select(*key, "m", p0, q0, q.alias("q")), lambda f: f(p0, Q) - f(p0, q0)),
+        (pairs.where("terms > 0").select(*key, F.col("terms").alias("m"), p0, q0), lambda f: f(p0, q0)),
     ]
-    cells = signed[0].unionByName(signed[1]).unionByName(signed[2]).unionByName(signed[3])
-    cells = cells.groupBy(*key, F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("c.m").alias("m")).where("m > 0")
-    p, q = smoothed_share(x, F.col("total_one"), F.col("terms")), smoothed_share(y, F.col("total_two"), F.col("terms"))
-    worth = cells.join(pairs, list(key)).withColumns({"p": p, "q": q})
-    sums = worth.groupBy(*key).agg(F.sum(m * divergence(F.col("p"), F.col("q"))).alias("there"), F.sum(m * divergence(F.col("q"), F.col("p"))).alias("back"))
+    back = lambda a, b: divergence(b, a)
+    sums = [cells.select(*key, (F.col("m") * more(divergence)).alias("there"), (F.col("m") * more(back)).alias("back")) for cells, more in kinds]
+    sums = sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3]).groupBy(*key).agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
     sums = pairs.select(*key).join(sums, list(key), "left")  # without kept terms: 0
     way = lambda a, b, v: F.struct(F.col(a).alias("source"), F.col(b).alias("item"), F.coalesce(F.col(v), F.lit(0)).alias("value"))
     return sums.select("lang", F.explode(F.array(way("one", "two", "there"), way("two", "one", "back"))).alias("w")).select("lang", "w.*")
@@ -108,18 +108,18 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
 def _terms(kept: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """lang, source, item, value, rank: the terms that a source has more of than its language, the first `most` of each."""
     x = kept.select("lang", "term", "all", F.explode("counts").alias("c")).select("lang", "term", "all", "c.source", "c.n")
-    cells = x.groupBy("lang", "source", "n", "all").agg(F.count("*").alias("m")).join(groups, ["lang", "source"])
-    p, q = smoothed_share(F.col("n"), F.col("total"), F.col("terms")), smoothed_share(F.col("all"), F.col("total_lang"), F.col("terms"))
-    cells = cells.withColumns({"p": p, "q": q}).where("p > q").select("lang", "source", "n", "all", "m", divergence(F.col("p"), F.col("q")).alias("value"))
-    group = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    p, q = smoothed_share(F.col("n"), F.col("of")), smoothed_share(F.col("all"), F.col("of_lang"))
+    valued = lambda df: df.withColumns({"p": p, "q": q}).where("p > q").withColumn("value", divergence(F.col("p"), F.col("q")))
+    cells = valued(x.groupBy("lang", "source", "n", "all").agg(F.count("*").alias("m")).join(groups, ["lang", "source"]))
     levels = cells.groupBy("lang", "source", "value").agg(F.sum("m").alias("m"))
+    group = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
     levels = levels.withColumn("k", F.row_number().over(group)).where(F.col("k") <= most)  # each level has a term at least
     before = F.coalesce(F.sum("m").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.withColumn("before", before).where(F.col("before") < most).select("lang", "source", "value", "before")
-    chosen = cells.drop("m").join(levels, ["lang", "source", "value"])
-    out = x.join(chosen, ["lang", "source", "n", "all"])
+    levels = cut(levels.withColumn("before", before).where(F.col("before") < most).select("lang", "source", "value", "before"), "levels")
+    least = cut(groups.join(levels.groupBy("lang", "source").agg(F.min("value").alias("least")), ["lang", "source"]), "least")
+    out = valued(x.join(least, ["lang", "source"])).where(F.col("value") >= F.col("least")).select("lang", "source", "term", "value")
     out = out.withColumn("k", F.row_number().over(Window.partitionBy("lang", "source", "value").orderBy("term"))).where(F.col("k") <= most)
-    out = out.withColumn("rank", (F.col("before") + F.col("k")).cast("int")).where(F.col("rank") <= most)
+    out = out.join(levels, ["lang", "source", "value"]).withColumn("rank", (F.col("before") + F.col("k")).cast("int")).where(F.col("rank") <= most)
     return out.select("lang", "source", F.col("term").alias("item"), "value", "rank")
 
 
@@ -143,7 +143,8 @@ def audit_sources(docs: DataFrame, least_docs: int = 3, most: int = 200) -> Data
     sizes = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("total"))
     languages = kept.groupBy("lang").agg(F.sum("all").alias("total_lang"), F.count("*").alias("terms"))
     groups = docs.select(text("lang"), text("source")).distinct().join(sizes, ["lang", "source"], "left").join(languages, "lang", "left")
-    groups = cut(groups.na.fill(0, ["total", "total_lang", "terms"]), "sources")
+    groups = groups.na.fill(0, ["total", "total_lang", "terms"])
+    groups = cut(groups.select("lang", "source", "terms", (F.col("total") + F.col("terms")).alias("of"), (F.col("total_lang") + F.col("terms")).alias("of_lang")), "sources")
     pairs = _pairs(kept, groups).withColumn("part", F.lit("pair"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     columns = ["lang", "source", "part", "item", "value", "rank"]
