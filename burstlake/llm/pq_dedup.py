@@ -22,13 +22,14 @@ from .vectors import flagged, kmeans, matrix, nearest, sample
 SLACK = 1e-7  #: for rounding in the bounds; the cosine itself has none
 
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    """Rows over the power of two next to their largest component: exact, and squares of tiny and huge components stay finite."""
-    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
+def _scaled(column: str):
+    """A vector over a power of two next to its largest component: exact, and squares of tiny and huge components stay finite."""
+    most = F.array_max(F.transform(column, lambda v: F.abs(v)))
+    by = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(most)), F.lit(-1074)))
+    return F.transform(column, lambda v: v / by)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -90,10 +91,10 @@ def _linked(coarse: np.ndarray, books: list[np.ndarray], cosine: float, r: float
         if rows.num_rows and asked.num_rows:
             lists = rows.column("list").to_numpy()
             centre = coarse[lists[0]]
-            node, n, error, x = rows.column("node").to_numpy(), rows.column("n").to_numpy(), rows.column("error").to_numpy(), _scaled(matrix(rows.column("embedding")))
+            node, n, error, x = rows.column("node").to_numpy(), rows.column("n").to_numpy(), rows.column("error").to_numpy(), matrix(rows.column("embedding"))
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
             size = np.sqrt((x * x).sum(1))
-            q_node, q = asked.column("node").to_numpy(), _scaled(matrix(asked.column("embedding")))
+            q_node, q = asked.column("node").to_numpy(), matrix(asked.column("embedding"))
             for s in range(0, len(q), tile):
                 some, ids = q[s : s + tile], q_node[s : s + tile]
                 q_size = np.sqrt((some * some).sum(1))
@@ -137,13 +138,13 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, train: int
     known = cut(known, "vectors")
     rows, rest = known.where("node is not null"), known.where("node is null")
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    classes = cut(rows.groupBy("node", "label", "embedding").agg(F.count("*").alias("n")), "classes")
+    classes = cut(rows.groupBy("node", "label", "embedding").agg(F.count("*").alias("n")).withColumn("embedding", _scaled("embedding")), "classes")
     if not classes.take(1):
         return rest
     total = classes.count()
     u = _unit(sample(classes, train, "node"))
     r = float(np.sqrt(2 - 2 * cosine))
-    coarse = kmeans(u, int(np.clip(round(total**0.5 / 2), 1, 512)))
+    coarse = kmeans(u, int(np.clip(round(total**0.5 / 8), 1, 512)))
     parts = min(8, u.shape[1])
     books = [kmeans(p, 32) for p in np.array_split(u - coarse[nearest(u, coarse)], parts, axis=1)]
 
