@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import photometry as P
@@ -85,8 +85,7 @@ def header_rows(sizes: DataFrame, c: P.Config, make: str = "burstlake", model: s
 
 def export_linear(rgb_: DataFrame, path: str) -> DataFrame:
     """r, g, b in 0..1 stored as 16-bit rows without balance or curve, and read back."""
-    write_rows(rgb_.select("burst_id", "Y", "X", *[P.to_16_bits(n).alias(f"{n}16") for n in "rgb"]), path)
-    return rgb_.sparkSession.read.parquet(path)
+    return write_rows(rgb_.select("burst_id", "Y", "X", *[P.to_16_bits(n).alias(f"{n}16") for n in "rgb"]), path).drop("place")
 
 
 def write_preview(px8: DataFrame, path: str) -> DataFrame:
@@ -95,9 +94,43 @@ def write_preview(px8: DataFrame, path: str) -> DataFrame:
     return px8.sparkSession.read.parquet(path)
 
 
+LEDGER = "file string, first struct<burst_id:bigint,Y:int,X:int>, last struct<burst_id:bigint,Y:int,X:int>, rows bigint, digest bigint"
+
+
+def _files(stored: DataFrame) -> DataFrame:
+    """What the ledger says of each file: its first and last place in raster order, its rows and a digest of them."""
+    place = F.struct(F.col("burst_id").cast("long").alias("burst_id"), F.col("Y").cast("int").alias("Y"), F.col("X").cast("int").alias("X"))
+    return stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*stored.columns)).alias("digest"))
+
+
 def write_rows(px16: DataFrame, path: str) -> DataFrame:
-    """Store rows in output order and return, for each burst, whether all of its rows are there."""
+    """Store rows in output order, with a ledger of the files beside them, and give them as read_rows does."""
     ordered = px16.repartitionByRange("burst_id", "Y").sortWithinPartitions("burst_id", "Y", "X")
-    ordered.write.mode("overwrite").parquet(path)
-    back = px16.sparkSession.read.parquet(path)
-    return back.groupBy("burst_id").agg(F.countDistinct("Y").alias("rows"), (F.max("Y") + 1).alias("expected")).withColumn("complete", F.col("rows") == F.col("expected"))
+    ordered.write.mode("overwrite").parquet(f"{path}/rows")
+    back = px16.sparkSession.read.schema(px16.schema).parquet(f"{path}/rows")
+    _files(back).coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger")
+    return read_rows(px16.sparkSession, path, px16.schema)
+
+
+def read_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Stored rows with `place`, (first place of the file, row of the file), by which they are in output order.
+
+    Raises where a file is missing, changed or not known to the ledger, or where files overlap."""
+    stored = spark.read.schema(schema).parquet(f"{path}/rows")
+    ledger = spark.read.schema(LEDGER).parquet(f"{path}/ledger")
+    now = _files(stored).withColumnsRenamed({n: f"now_{n}" for n in ("first", "last", "rows", "digest")})
+    met = ledger.join(now, "file", "full")
+    wrong = met.where(~F.coalesce((F.col("rows") == F.col("now_rows")) & (F.col("digest") == F.col("now_digest")) & (F.col("first") == F.col("now_first")) & (F.col("last") == F.col("now_last")), F.lit(False)))
+    bad = [r["file"] for r in wrong.select("file").take(5)]
+    if bad:
+        raise ValueError(f"stored rows differ from their ledger: {bad}")
+    before = Window.partitionBy(F.lit(0)).orderBy("first")  # a row for each file
+    if ledger.withColumn("ends", F.lag("last").over(before)).where(F.col("ends") >= F.col("first")).take(1):
+        raise ValueError("files of stored rows overlap")
+    placed = stored.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return placed.join(ledger.select("file", "first"), "file").withColumn("place", F.struct("first", "row")).drop("file", "first", "row")
+
+
+def completeness(rows: DataFrame) -> DataFrame:
+    """burst_id, rows, expected, complete: whether all rows of each burst are there."""
+    return rows.groupBy("burst_id").agg(F.countDistinct("Y").alias("rows"), (F.max("Y") + 1).alias("expected")).withColumn("complete", F.col("rows") == F.col("expected"))

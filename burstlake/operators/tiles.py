@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import photometry as P
 from ..sources.rasters import pack_planes
+from .halo import view_of
 from .stencil import BASE
 
 SLACK = 4  #: samples around the search window that refinement may use before a tile is fetched anew
@@ -34,14 +35,11 @@ def _touched(low: Column, high: Column, size: Column, side: int) -> Column:
 
 def _canvas(t: pa.Table, kind: int):
     """(samples, y0, x0, frame height, frame width) of the storage tiles of one kind; what was not fetched is not a number."""
-    rows = t.filter(pa.array(t["kind"].to_numpy() == kind)).to_pylist()
-    if not rows:
+    t = t.filter(pa.array(t["kind"].to_numpy() == kind))
+    if not t.num_rows:
         return None
-    y0, x0 = min(r["y0"] for r in rows), min(r["x0"] for r in rows)
-    out = np.full((max(r["y0"] + r["th"] for r in rows) - y0, max(r["x0"] + r["tw"] for r in rows) - x0), np.nan)
-    for r in rows:
-        out[r["y0"] - y0 : r["y0"] - y0 + r["th"], r["x0"] - x0 : r["x0"] - x0 + r["tw"]] = np.reshape(r["data"], (r["th"], r["tw"]))
-    return out, y0, x0, rows[0]["fh"], rows[0]["fw"]
+    view = view_of(t)
+    return view.data[0], view.top, view.left, view.fh, view.fw
 
 
 def _read(canvas, y: np.ndarray, x: np.ndarray, clamp: bool) -> np.ndarray:

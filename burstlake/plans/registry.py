@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import photometry as P
@@ -151,8 +151,8 @@ def d14_kernel_field(spark, sf):
     return _sixed(stencil.kernel_field(_ev(spark, sf), P.Config()), "xx", "xy", "yy")
 
 
-def _flow(spark, sf, metric="L1"):
-    px = rasters.scene_px(spark, sf)
+def _flow(spark, sf, metric="L1", px=None):
+    px = rasters.scene_px(spark, sf) if px is None else px
     return match.block_match(px.where("frame_idx = 0"), px.where("frame_idx > 0"), _zero_flow(px, 8), 8, 2, metric)
 
 
@@ -264,9 +264,21 @@ def i11_super_resolve(spark, sf):
     return super_resolve.process_to_rows(stage(_sc(spark, sf), "raw"), c, _curves(spark, sf), by_snr=True, materialise=stage, side_tiles=32)[0]
 
 
+def _processed(spark, sf, px):
+    stage = _stage(spark)
+    px = stage(px, "px")
+    flow = stage(_flow(spark, sf, px=px).drop("cost"), "flow")
+    return _sixed(super_resolve.process(rasters.unit(px), STEERED, _curves(spark, sf), flow=flow, materialise=stage, side=16), "v")
+
+
 def i9_process(spark, sf):
-    """Flow, robustness, steerable kernels and merge of a burst with a given flow to its balanced raster in linear light."""
-    return _sixed(super_resolve.process(_sc(spark, sf), STEERED, _curves(spark, sf), flow=_stage(spark)(_flow(spark, sf).drop("cost"), "flow"), materialise=_stage(spark), side=16), "v")
+    """Flow, robustness, steerable kernels and merge of the scenes to rasters in linear light, in tile form."""
+    return _processed(spark, sf, rasters.scene_px(spark, sf))
+
+
+def i9_orders(spark, sf):
+    """The same of bursts of order prices, in which little moves alike and few samples are trusted."""
+    return _processed(spark, sf, rasters.orders_px(spark, sf))
 
 
 def e16_two_cameras(spark, sf):
@@ -437,8 +449,11 @@ def h2_replaced(spark, sf):
 
 
 def a9_output_rows(spark, sf):
-    """Rows stored in output order, read back, and counted for completeness."""
-    return encode.write_rows(encode.encode_16(_linear(spark, sf), ISO), shared_path(spark, "rows"))
+    """Rows stored in output order and read back by their ledger: completeness, and a sum that tells their order in the files."""
+    rows = encode.write_rows(encode.encode_16(_linear(spark, sf), ISO), shared_path(spark, "rows"))
+    k = F.row_number().over(Window.partitionBy("burst_id").orderBy("place"))
+    order = rows.withColumn("k", k).groupBy("burst_id").agg(F.count("*").alias("pixels"), F.sum(F.col("k").cast("long") * (F.col("r16") + 3 * F.col("g16") + 7 * F.col("b16"))).alias("ordered"))
+    return encode.completeness(rows).join(order, "burst_id")
 
 
 def _arrivals(spark, sf):
@@ -550,7 +565,7 @@ ALL = (
     b30_snr, c2_centre_crop, c3_crop_to_reference, c4_not_empty, c5_valid_bursts, c11_first_frames, d1_box_grey, d2_low_pass, d3_fourier, d3_inverse, d4_pad_circular, d5_downsample, d7_gradients,
     d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor, d14_kernel_field, d14_hard, d15_flow_irregularity, e5_bilinear, e6_bilinear_clamped, e8_kernel_at,
     e15_upscale_flow, e16_settings, e17_complete, f3_correlation, f4_hessian, f7_accumulated, f9_noise_curves, g5_preview, h2_replaced, h3_pyramid, i1_block_match_l1, i1_block_match_l2,
-    d5_tiles, d9_tiles, d11_tiles, d12_tiles, d14_tiles, i5_tiles, f7_tiles, i7_tiles, i9_tiles, i9_process, e16_two_cameras, h2_tiles, b26_steered, b26_tiles,
+    d5_tiles, d9_tiles, d11_tiles, d12_tiles, d14_tiles, i5_tiles, f7_tiles, i7_tiles, i9_tiles, i9_process, i9_orders, e16_two_cameras, h2_tiles, b26_steered, b26_tiles,
     i1_tiles, i2_refine_step, i3_align, i3_tiles, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly, j5_late,
 )
 

@@ -229,7 +229,8 @@ ORACLES = {
     "a2_frame_scan": sql("ev", f"SELECT {KEY}, v FROM ev WHERE burst_id=0 AND frame_idx=3"),
     "a4_settings": sql("cams", f"SELECT burst_id, n_name AS make, s_name AS model, {six('gain[1]')} AS gain_r, {six('gain[2]')} AS gain_g, {six('gain[3]')} AS gain_b, array_to_string(cfa, '') AS cfa, CASE s_suppkey%8 WHEN 3 THEN 3 WHEN 5 THEN 8 WHEN 6 THEN 6 ELSE 1 END AS orientation, CASE WHEN s_suppkey%3=0 THEN 2 ELSE 1 END AS crop FROM cams"),
     "a8_retention": "SELECT event_id//512 AS burst_id, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 48 HOURS",
-    "a9_output_rows": sql("sc scu hrref lin", "SELECT burst_id, count(DISTINCT Y) AS rows, CAST(max(Y)+1 AS INTEGER) AS expected, count(DISTINCT Y)=max(Y)+1 AS complete FROM lin GROUP BY 1"),
+    "a9_output_rows": sql("sc scu hrref lin", """SELECT burst_id, count(DISTINCT Y) AS rows, CAST(max(Y)+1 AS INTEGER) AS expected, count(DISTINCT Y)=max(Y)+1 AS complete, count(*) AS pixels, CAST(sum(k*(r16+3*g16+7*b16)) AS BIGINT) AS ordered FROM (
+      SELECT burst_id, Y, row_number() OVER (PARTITION BY burst_id ORDER BY Y, X) AS k, """ + ", ".join(f"CAST(floor(least(greatest(coalesce({n},0),0),1)*65535+0.5) AS BIGINT) AS {n}16" for n in "rgb") + " FROM lin) GROUP BY 1"),
     "a11_export": sql("sc scu hrref lin", "SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, CAST(floor(coalesce(r,0)*65535+0.5) AS INTEGER) AS r16, CAST(floor(coalesce(g,0)*65535+0.5) AS INTEGER) AS g16, CAST(floor(coalesce(b,0)*65535+0.5) AS INTEGER) AS b16 FROM lin"),
     "b7_colour": sql("sc scu quads cams", "SELECT burst_id, CAST(y AS INTEGER) AS Y, CAST(x AS INTEGER) AS X, " + ", ".join(six("+".join(f"({1 if i == k else 0}+(s_nationkey+{3 * i + k})%5/16)*v{k}" for k in range(3))) + f" AS {n}" for i, n in enumerate("rgb")) + " FROM (SELECT q.burst_id, q.y, q.x, s_nationkey, " + ", ".join(f"max(CASE WHEN ch={k} THEN v END)*any_value(gain[{k + 1}]) AS v{k}" for k in range(3)) + " FROM quads q JOIN cams c ON c.burst_id=q.burst_id WHERE frame_idx=0 GROUP BY 1,2,3,4)"),
     "b22_config": sql("sc scu", f"""SELECT CAST(s_suppkey AS BIGINT) AS burst_id, {six('CASE WHEN s_suppkey%2=0 THEN s_suppkey/16 ELSE 0.15::DOUBLE END')} AS r_t, {six('CASE WHEN snr_on THEN 0.30::DOUBLE-0.01::DOUBLE*p ELSE s_suppkey%4/8 END')} AS k_detail,
@@ -264,7 +265,7 @@ ORACLES = {
 }
 
 
-def _steered(trusted: bool = False) -> str:
+def _steered(trusted: bool = False, frames: str = "sc") -> str:
     """All frames with the steerable kernel: the covariance between four grey pixels, inverted, weighs the nine samples around;
     trusted: comparison frames by their robustness as well."""
     grid = "(SELECT a.i AS Y, c.i AS X, a.i/2e0 AS cy, c.i/2e0 AS cx, (a.i+0.5::DOUBLE)/2 AS ly, (c.i+0.5::DOUBLE)/2 AS lx, a.i//16 AS ty, c.i//16 AS tx FROM range(64) a(i), range(64) c(i))"
@@ -272,6 +273,7 @@ def _steered(trusted: bool = False) -> str:
     inverse = ", ".join(f"CASE WHEN abs(xx*yy-xy*xy)>1e-10 THEN {a}/(xx*yy-xy*xy) ELSE {b} END AS {n}" for n, a, b in (("ixx", "yy", 1), ("ixy", "-xy", 0), ("iyy", "xx", 1)))
     robust = ("ev", "quads", "qstats", "wref", "wcomp", "rough", "cells", "known", "lut", "trust") if trusted else ()
     named = {n: CTES[n] for n in ("sc", "scu", "vst", "vgrad", "vtensor", "veigen", "cov", "flow1", *robust)}
+    named["sc"] = CTES[frames]
     named["vst"] = named["vst"].replace("evu", "scu")
     named["pts"] = f"""SELECT b.burst_id, 0 AS frame_idx, Y, X, cy AS py, cx AS px, round_even(cy,0) AS sy, round_even(cx,0) AS sx, cy/2-0.5::DOUBLE AS ky, cx/2-0.5::DOUBLE AS kx, 0 AS ry, 0 AS rx FROM (SELECT DISTINCT burst_id FROM sc) b, {grid}
       UNION ALL SELECT burst_id, frame_idx, Y, X, my-0.5::DOUBLE, mx-0.5::DOUBLE, floor(my), floor(mx), my/2-0.5::DOUBLE, mx/2-0.5::DOUBLE, floor(ly), floor(lx) FROM (
@@ -290,6 +292,7 @@ def _steered(trusted: bool = False) -> str:
 ORACLES |= {
     "b26_steered": _steered(),
     "i9_process": _steered(trusted=True),
+    "i9_orders": _steered(trusted=True, frames="ord"),
     "j5_late": "SELECT burst_id, u.status, u.n FROM (SELECT event_id//512 AS burst_id FROM events GROUP BY 1 HAVING count(*)=512), (VALUES ('complete', 6), ('late', 2)) u(status, n)",
     "e16_two_cameras": sql("sc scu cams", f"""SELECT burst_id, CAST(Y AS INTEGER) AS Y, CAST(X AS INTEGER) AS X, CAST(ch AS INTEGER) AS ch, {six('num/den*gain[ch+1]')} AS v FROM (SELECT g.burst_id, Y, X, c.gain, c.cfa[(i%2)*2+j%2+1] AS ch, sum(k*v) AS num, sum(k) AS den FROM (
       SELECT t.*, s.v, exp(-0.5::DOUBLE*2*((j-cx)*(j-cx)+(i-cy)*(i-cy))) AS k FROM (

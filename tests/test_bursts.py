@@ -209,8 +209,7 @@ def _bursts(spark):
 
 def test_whole_path_in_tile_form_gives_the_same_raster(spark, tmp_path):
     """Alignment, robustness, kernels by each burst's own tuning, denoiser and merge, both ways, down to the 16-bit rows."""
-    count = iter(range(1000))
-    store = lambda df, name: registry.frames.write_stage(df, f"file://{tmp_path}/{name}-{next(count)}")
+    store = _store(tmp_path)
     px, c = store(_bursts(spark), "px"), P.Config(denoise_accumulated=True, factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=2)
     flow = store(match.align(px, c, store, tiles.level_step(c, 16, 2, store)), "flow")
     lut, own = registry._lut(spark), store(super_resolve.snr_table(px, c), "snr")
@@ -228,16 +227,17 @@ def test_whole_path_in_tile_form_gives_the_same_raster(spark, tmp_path):
 
 def test_settings_of_each_burst_in_tile_form(spark, tmp_path):
     """Two cameras in one plan give what each gives alone with its own parameters."""
-    px = _bursts(spark).where("burst_id < 3").cache()
-    flow = registry._zero_flow(px, 8).withColumn("dx", F.lit(0.4))
+    store = _store(tmp_path)
+    px = store(_bursts(spark).where("burst_id < 3"), "px")
+    flow = store(registry._zero_flow(px, 8).withColumn("dx", F.lit(0.4)), "flow")
     own = {1: P.Config(r_t=0.05, white_balance=(2.0, 1.0, 1.5), k_detail=0.5, denoise_accumulated=True, denoise_radius=1), 2: P.Config(alpha=1e-3, cfa=(1, 0, 2, 3), r_s2=3.0, k_stretch=2.0)}
     names = [*P.PER_BURST, "white_balance", "cfa"]
     config = spark.createDataFrame([(b, *[(float(v) if not isinstance(v, tuple) else [float(x) for x in v]) for v in (getattr(c, n) for n in names)]) for b, c in own.items()], ["burst_id", *names])
     lut, parts = registry._lut(spark), None
     for b, c in own.items():
-        one = super_resolve.merged(px.where(F.col("burst_id") == b), c, lut, flow.where(F.col("burst_id") == b))
+        one = store(super_resolve.merged(px.where(F.col("burst_id") == b), c, lut, flow.where(F.col("burst_id") == b), store), "one")
         parts = one if parts is None else parts.unionByName(one)
-    got = super_resolve.merged(px, P.Config(), lut, flow, tuned=config, side=16)
+    got = super_resolve.merged(px, P.Config(), lut, flow, store, store(config, "config"), side=16)
     _same(got, parts, ("burst_id", "Y", "X", "ch"), "num", "den", least=12000)
 
 
@@ -269,6 +269,12 @@ def _wavy(spark):
     return px, flow
 
 
+def _store(path):
+    """Writes what it is given and reads it back, so that nothing is worked out twice."""
+    count = iter(range(1000))
+    return lambda df, name: registry.frames.write_stage(df, f"file://{path}/{name}-{next(count)}")
+
+
 def _same(got, want, key, *values, least=1):
     a, b = ({tuple(r[k] for k in key): [r[v] for v in values] for r in df.collect()} for df in (got, want))
     assert set(a) == set(b) and len(a) >= least
@@ -278,15 +284,16 @@ def _same(got, want, key, *values, least=1):
 
 
 @pytest.mark.parametrize("c", [P.Config(), P.Config(hard_selection=True, cfa=(1, 0, 2, 3)), P.Config(bayer=False)], ids=["steered", "hard", "mono"])
-def test_merge_and_robustness_in_tile_form(spark, c):
-    px, flow = _wavy(spark)
-    raw, key = tiles.stored(px, 16), ("burst_id", "frame_idx", "y", "x")
-    cov, cov_tiles = stencil.kernel_field(px, c), tile_merge.kernel_tiles(raw, c, 16)
+def test_merge_and_robustness_in_tile_form(spark, c, tmp_path):
+    store, key = _store(tmp_path), ("burst_id", "frame_idx", "y", "x")
+    px, flow = (store(df.coalesce(2), "given") for df in _wavy(spark))
+    raw = store(tiles.stored(px, 16), "raw")
+    cov, cov_tiles = store(stencil.kernel_field(px, c), "cov"), store(tile_merge.kernel_tiles(raw, c, 16), "cov")
     _same(halo.samples(cov_tiles, "xx", "xy", "yy"), cov, key, "xx", "xy", "yy", least=300)
-    rob = robust.robustness(px, robust.reference_stats(px, c), flow, registry._lut(spark), 8, c)
-    rob_tiles = tile_merge.robustness(raw, flow, registry._lut(spark), 8, c, 16)
+    rob = store(robust.robustness(px, robust.reference_stats(px, c), flow, registry._lut(spark), 8, c), "rob")
+    rob_tiles = store(tile_merge.robustness(raw, flow, registry._lut(spark), 8, c, 16, store), "rob")
     _same(halo.samples(rob_tiles, "v"), rob, key, "v", least=3000)
-    acc, acc_tiles = robust.accumulated(rob), tile_merge.accumulated(rob_tiles)
+    acc, acc_tiles = store(robust.accumulated(rob), "acc"), store(tile_merge.accumulated(rob_tiles), "acc")
     _same(halo.samples(acc_tiles, "v"), acc, ("burst_id", "y", "x"), "v", least=1500)
     for denoise in (False, True):
         c.denoise_accumulated = denoise
@@ -310,3 +317,19 @@ def test_chains_of_any_size_in_tile_form(spark):
     _same(halo.samples(halo.chain(tiles.stored(small, 16), [halo.downsample(4)], 16), "v"), stencil.downsample(small, 4), key, "v", least=30)
     with pytest.raises(ValueError):
         halo.chain(tiles.stored(good, 4), [halo.downsample(4)], 4)
+
+
+def test_stored_rows_are_checked_by_their_ledger(spark, tmp_path):
+    import glob
+    import os
+
+    px = spark.range(5000).select((F.col("id") % 3).alias("burst_id"), F.floor(F.col("id") / 3 / 40).cast("int").alias("Y"), (F.floor(F.col("id") / 3) % 40).cast("int").alias("X"), (F.col("id") % 77).cast("int").alias("r16")).repartition(7)
+    path = f"file://{tmp_path}/rows"
+    back = encode.write_rows(px, path)
+    assert [(r.burst_id, r.Y, r.X) for r in back.orderBy("place").collect()] == sorted((r.burst_id, r.Y, r.X) for r in px.collect())
+    assert encode.read_rows(spark, path, px.schema).count() == 5000
+    os.remove(glob.glob(f"{tmp_path}/rows/rows/*.parquet")[0])
+    with pytest.raises(ValueError):
+        encode.read_rows(spark, path, px.schema)
+    none = encode.write_rows(px.where("false"), f"file://{tmp_path}/none")
+    assert none.count() == 0
