@@ -290,36 +290,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty()).alias("fp"), text_or_empty().alias("text"))
 
 
-def _digests(words: int):
+def _digests(words: int | None):
     def run(batches):
         for b in batches:
             rows = []
-            for t, cell, passages in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+            for t, cell in zip(b.column(1).to_pylist(), b.column(2)):
                 data, spans, at, kept = in_bytes(t), _pairs(cell), 0, hashlib.sha256()
                 for s, e in spans:
                     kept.update(data[at:s])
                     at = e
                 kept.update(data[at:])
-                rows.append((len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), sum(e - s for s, e in _whole_words(_pairs(passages), words))))
-            n, r, s, h, w = zip(*rows) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(w, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
+                rows.append((len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
+            n, r, s, h = zip(*rows) if rows else ((), (), (), ())
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            if words:
+                counts = [sum(e - s for s, e in _whole_words(_pairs(cell), words)) for cell in b.column(3)]
+                out = out.append_column("n_passage_words", pa.array(counts, pa.int64()))
+            yield out
 
     return run
 
 
-def repeat_digests(docs: DataFrame, length: int = 400, words: int = 50, crowd: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words: one row per row of docs(doc_id, text, ...).
+def repeat_digests(docs: DataFrame, length: int = 400, words: int | None = None, crowd: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs(doc_id, text, ...).
 
     Each byte covered by a `length`-byte string that starts anywhere else in the corpus, same text included, counts as
-    removed. n_passage_words: the words covered by runs of `words` words that start anywhere else, which finds passages that
-    are shorter than `length` bytes or differ in their blanks; nothing is removed for it. Null texts are empty; texts shorter
-    than `length` lose nothing; rows that repeat a doc_id and its text are two texts that repeat each other; null ids stay
-    null; other columns are ignored; an empty table gives no rows."""
+    removed. Where `words` is given, a second parse adds n_passage_words: the words covered by runs of so many words that
+    start anywhere else, which finds passages that are shorter than `length` bytes or differ in their blanks; nothing is
+    removed for it. Null texts are empty; texts shorter than `length` lose nothing; rows that repeat a doc_id and its text
+    are two texts that repeat each other; null ids stay null; other columns are ignored; an empty table gives no rows."""
     keyed = _keyed(docs)
-    removed, passages = repeated_spans(keyed, length, crowd), repeated_spans(keyed, WORD * words, crowd, in_words)
-    found = removed.join(passages.withColumnRenamed("spans", "passages"), ["id", "fp"], "full")
-    met = keyed.join(found, ["id", "fp"], "left").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", "spans", "passages")
-    return met.mapInArrow(_digests(words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
+    found = repeated_spans(keyed, length, crowd)
+    if words:
+        passages = repeated_spans(keyed, WORD * words, crowd, in_words)
+        found = found.join(passages.withColumnRenamed("spans", "passages"), ["id", "fp"], "full")
+    met = keyed.join(found, ["id", "fp"], "left").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", *found.columns[2:])
+    return met.mapInArrow(_digests(words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_passage_words long" if words else ""))
 
 
 def _characters(data: bytes, spans) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ def test_stages_do_what_their_operators_say(spark):
     assert {r.doc_id for r in stages[1](spark, docs, SF).select("doc_id").collect()} == kept
     three = stages[2](spark, docs, SF)
     left = {r.doc_id: len((r.text or "").encode().split()) for r in three.collect()}
-    gone = {r.doc_id: r.n_passage_words for r in suffix.repeat_digests(docs).collect()}
+    gone = {r.doc_id: r.n_passage_words for r in suffix.repeat_digests(docs, words=50).collect()}
     assert any(gone.values()) and all(left[r.doc_id] == len((r.text or "").encode().split()) - gone[r.doc_id] for r in docs.collect())
     assert stages[3](spark, docs, SF).columns == columns
     assert {"sequence_id", "offset"} <= set(stages[4](spark, docs, SF).columns)

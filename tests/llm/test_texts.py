@@ -52,8 +52,9 @@ def test_suffix_against_brute_force(spark, rows):
         kept = bytes(x for x, c in zip(b, cover) if not c)
         want.append((i, len(b), int(cover.sum()), int((np.diff(cover.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), len(shared)))
     for crowd in (4096, 1):  # by suffix order, and window by window
-        got = suffix.repeat_digests(docs_of(spark, rows), crowd=crowd).collect()
+        got = suffix.repeat_digests(docs_of(spark, rows), words=50, crowd=crowd).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, suffix.repeat_digests(docs_of(spark, rows)).collect()), key=str) == sorted((w[:-1] for w in want), key=str)
     assert any(w[2] for w in want) and any(w[5] for w in want)
 
 
