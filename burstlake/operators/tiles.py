@@ -17,6 +17,8 @@ from ..sources.rasters import pack_planes
 from .halo import view_of
 from .stencil import BASE
 
+FAR = 1 << 40  #: samples
+CELLS = 1 << 22  #: samples under all offsets that are compared at once
 SLACK = 4  #: samples around the search window that refinement may use before a tile is fetched anew
 KEY = (*BASE, "by", "bx")
 
@@ -43,62 +45,91 @@ def _canvas(t: pa.Table, kind: int):
 
 
 def _read(canvas, y: np.ndarray, x: np.ndarray, clamp: bool) -> np.ndarray:
-    """Samples at rows y and columns x; beyond the frame the nearest one or 0, not a number where they were not fetched."""
+    """Samples at rows y[k] and columns x[k] for every tile k; beyond the frame the nearest one or 0, not a number where they
+    were not fetched."""
     data, y0, x0, h, w = canvas
-    inside = ((y >= 0) & (y < h))[:, None] & ((x >= 0) & (x < w))
+    inside = ((y >= 0) & (y < h))[:, :, None] & ((x >= 0) & (x < w))[:, None, :]
     y, x = np.clip(y, 0, h - 1) - y0, np.clip(x, 0, w - 1) - x0
-    fetched = ((y >= 0) & (y < data.shape[0]))[:, None] & ((x >= 0) & (x < data.shape[1]))
-    v = data[np.clip(y, 0, data.shape[0] - 1)[:, None], np.clip(x, 0, data.shape[1] - 1)]
+    fetched = ((y >= 0) & (y < data.shape[0]))[:, :, None] & ((x >= 0) & (x < data.shape[1]))[:, None, :]
+    v = data[np.clip(y, 0, data.shape[0] - 1)[:, :, None], np.clip(x, 0, data.shape[1] - 1)[:, None, :]]
     v = np.where(fetched, v, np.nan)
     return v if clamp else np.where(inside, v, 0.0)
 
 
-def _matched(r: np.ndarray, moving, y: np.ndarray, x: np.ndarray, dy: float, dx: float, radius: int, metric: str):
-    """(dy, dx, cost) of the best offset, the first in raster order among equals; None where samples are missing."""
-    reach = np.arange(-radius, radius + 1)
-    fy, fx = int(np.rint(dy)), int(np.rint(dx))
-    window = _read(moving, np.arange(y[0] - radius, y[-1] + radius + 1) + fy, np.arange(x[0] - radius, x[-1] + radius + 1) + fx, metric == "L2")
-    if np.isnan(window).any():
-        return None
-    m = np.lib.stride_tricks.sliding_window_view(window, r.shape)
-    cost = np.abs(r - m).sum((2, 3)) if metric == "L1" else (m * m).sum((2, 3)) - 2 * (r * m).sum((2, 3))
-    i, j = np.unravel_index(cost.argmin(), cost.shape)
-    base = (float(fy), float(fx)) if metric == "L1" else (dy, dx)
-    return base[0] + reach[i], base[1] + reach[j], float(cost[i, j])
+def _whole(v: np.ndarray) -> np.ndarray:
+    """Displacements as whole numbers; so far off that nothing is met they are all the same."""
+    return np.clip(np.nan_to_num(v), -FAR, FAR).astype(np.int64)[:, None]
 
 
-def _refined(r, gy, gx, moving, y, x, dy, dx, clamp: bool, turns: int):
-    """(dy, dx, turns left) after steps of inverse-compositional refinement, as far as the samples reach."""
-    h00, h01, h11 = (gx * gx).sum(), (gx * gy).sum(), (gy * gy).sum()
+def _matched(r: np.ndarray, moving, y: np.ndarray, x: np.ndarray, dy: np.ndarray, dx: np.ndarray, radius: int, metric: str):
+    """(dy, dx, cost, found) of the best offset of each tile, the first in raster order among equals; found only where no
+    sample is missing. y and x are the tiles' rows and columns with one more at both ends."""
+    reach = np.arange(-radius, radius + 1)
+    fy, fx = np.rint(dy), np.rint(dx)
+    wide = lambda at: at[:, 1:2] + np.arange(-radius, at.shape[1] - 2 + radius)
+    rows, columns = wide(y) + _whole(fy), wide(x) + _whole(fx)
+    window = _read(moving, rows, columns, metric == "L2")
+    found = ~np.isnan(window).any((1, 2))
+    m = np.lib.stride_tricks.sliding_window_view(window, r.shape[1:], axis=(1, 2))
+    own = r[:, None, None]
+    cost = np.abs(own - m).sum((3, 4)) if metric == "L1" else (m * m).sum((3, 4)) - 2 * (own * m).sum((3, 4))
+    flat = cost.reshape(len(r), -1)
+    best = flat.argmin(1)
+    base = (fy, fx) if metric == "L1" else (dy, dx)
+    return base[0] + reach[best // len(reach)], base[1] + reach[best % len(reach)], flat[np.arange(len(r)), best], found
+
+
+def _refined(r, gy, gx, moving, y, x, dy, dx, clamp: bool, turns: np.ndarray):
+    """(dy, dx, turns left) after steps of inverse-compositional refinement of each tile, as far as the samples reach."""
+    h00, h01, h11 = ((a * b).sum((1, 2)) for a, b in ((gx, gx), (gx, gy), (gy, gy)))
     det = h00 * h11 - h01 * h01
-    while turns and abs(det) >= 1e-10:
-        ty, tx = np.trunc(dy), np.trunc(dx)
-        fy, fx = dy - ty, dx - tx
-        m = _read(moving, np.arange(y[0], y[-1] + 2) + int(ty), np.arange(x[0], x[-1] + 2) + int(tx), clamp)
-        if np.isnan(m).any():
-            return dy, dx, turns
-        t = (1 - fy) * ((1 - fx) * m[:-1, :-1] + fx * m[:-1, 1:]) + fy * ((1 - fx) * m[1:, :-1] + fx * m[1:, 1:]) - r
-        b0, b1 = -(gx * t).sum(), -(gy * t).sum()
-        dx, dy, turns = dx + (h11 * b0 - h01 * b1) / det, dy + (h00 * b1 - h01 * b0) / det, turns - 1
-    return dy, dx, 0
+    good = np.abs(det) >= 1e-10
+    dy, dx, turns = dy.copy(), dx.copy(), np.where(good, turns, 0)
+    at = np.flatnonzero(turns > 0)
+    while len(at):
+        ty, tx = np.trunc(dy[at]), np.trunc(dx[at])
+        fy, fx = (dy[at] - ty)[:, None, None], (dx[at] - tx)[:, None, None]
+        m = _read(moving, y[at, 1:] + _whole(ty), x[at, 1:] + _whole(tx), clamp)
+        held = ~np.isnan(m).any((1, 2))
+        at, m, fy, fx = at[held], m[held], fy[held], fx[held]
+        t = (1 - fy) * ((1 - fx) * m[:, :-1, :-1] + fx * m[:, :-1, 1:]) + fy * ((1 - fx) * m[:, 1:, :-1] + fx * m[:, 1:, 1:]) - r[at]
+        b0, b1 = -(gx[at] * t).sum((1, 2)), -(gy[at] * t).sum((1, 2))
+        dx[at] += (h11[at] * b0 - h01[at] * b1) / det[at]
+        dy[at] += (h00[at] * b1 - h01[at] * b0) / det[at]
+        turns[at] -= 1
+        at = at[turns[at] > 0]
+    return dy, dx, turns
 
 
 def _solved(tile: int, radius: int, metric: str):
     def run(tiles: pa.Table, sources: pa.Table) -> pa.Table:
-        ref, moving, out = _canvas(sources, 0), _canvas(sources, 1), []
-        for t in tiles.to_pylist():
-            y = np.arange(t["ty"] * tile, min((t["ty"] + 1) * tile, ref[3]))
-            x = np.arange(t["tx"] * tile, min((t["tx"] + 1) * tile, ref[4]))
-            around = _read(ref, np.arange(y[0] - 1, y[-1] + 2), np.arange(x[0] - 1, x[-1] + 2), False)
-            r, gx, gy = around[1:-1, 1:-1], around[1:-1, 2:] - around[1:-1, :-2], around[2:, 1:-1] - around[:-2, 1:-1]
-            if not t["matched"]:
-                found = _matched(r, moving, y, x, t["dy"], t["dx"], radius, metric)
-                if found is not None:
-                    t |= {"dy": found[0], "dx": found[1], "cost": found[2], "matched": True}
-            if t["matched"] and t["todo"]:
-                t["dy"], t["dx"], t["todo"] = _refined(r, gy, gx, moving, y, x, t["dy"], t["dx"], tile == 8, t["todo"])
-            out.append(t)
-        return pa.Table.from_pylist(out, schema=tiles.schema)
+        ref, moving = _canvas(sources, 0), _canvas(sources, 1)
+        col = {n: tiles[n].to_numpy().copy() for n in ("ty", "tx", "dx", "dy", "cost", "todo", "matched")}
+        top, left = col["ty"] * tile, col["tx"] * tile
+        size = np.stack([np.minimum(top + tile, ref[3]) - top, np.minimum(left + tile, ref[4]) - left], axis=1)
+        # tiles at the ends of a frame may be smaller; those of one size are worked on together, in portions of bounded memory
+        portion = max(1, CELLS // ((2 * radius + 1) ** 2 * tile * tile))
+        for h, w in np.unique(size, axis=0):
+            same = np.flatnonzero((size == (h, w)).all(1))
+            for s in range(0, len(same), portion):
+                at = same[s : s + portion]
+                y, x = top[at, None] + np.arange(-1, h + 1), left[at, None] + np.arange(-1, w + 1)
+                around = _read(ref, y, x, False)
+                r, gx, gy = around[:, 1:-1, 1:-1], around[:, 1:-1, 2:] - around[:, 1:-1, :-2], around[:, 2:, 1:-1] - around[:, :-2, 1:-1]
+                new = np.flatnonzero(~col["matched"][at])
+                if len(new):
+                    *found, ok = _matched(r[new], moving, y[new], x[new], col["dy"][at[new]], col["dx"][at[new]], radius, metric)
+                    for n, v in zip(("dy", "dx", "cost"), found):
+                        col[n][at[new[ok]]] = v[ok]
+                    col["matched"][at[new[ok]]] = True
+                some = np.flatnonzero(col["matched"][at] & (col["todo"][at] > 0))
+                if len(some):
+                    dy, dx, left_ = _refined(r[some], gy[some], gx[some], moving, y[some], x[some], col["dy"][at[some]], col["dx"][at[some]], tile == 8, col["todo"][at[some]])
+                    col["dy"][at[some]], col["dx"][at[some]], col["todo"][at[some]] = dy, dx, left_
+        for n in ("dx", "dy", "cost", "todo", "matched"):
+            k = tiles.schema.get_field_index(n)
+            tiles = tiles.set_column(k, tiles.schema.field(k), pa.array(col[n], tiles.schema.field(k).type))
+        return tiles
 
     return run
 

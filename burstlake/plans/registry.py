@@ -220,6 +220,14 @@ def i3_tiles(spark, sf):
     return _sixed(flow, "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
 
 
+def i3_four_levels(spark, sf):
+    """Four levels with three turns of refinement at each, in tile form, of frames that are windows of one strip of prices."""
+    c = P.Config(factors=(1, 2, 2, 2))
+    stage = _stage(spark)
+    px = stage(rasters.unit(rasters.orders_strip_px(spark, sf)), "grey")
+    return _sixed(match.align(px, c, stage, tiles.level_step(c, 32, 4, stage)), "dx", "dy")
+
+
 def i4_reference_stats(spark, sf):
     return _sixed(robust.reference_stats(_sc(spark, sf), P.Config()).drop("frame_idx"), "mean", "var")
 
@@ -566,7 +574,7 @@ ALL = (
     d8_central, d9_blur, d10_guide, d11_local_stats, d12_local_min, d13_structure_tensor, d14_kernel_field, d14_hard, d15_flow_irregularity, e5_bilinear, e6_bilinear_clamped, e8_kernel_at,
     e15_upscale_flow, e16_settings, e17_complete, f3_correlation, f4_hessian, f7_accumulated, f9_noise_curves, g5_preview, h2_replaced, h3_pyramid, i1_block_match_l1, i1_block_match_l2,
     d5_tiles, d9_tiles, d11_tiles, d12_tiles, d14_tiles, i5_tiles, f7_tiles, i7_tiles, i9_tiles, i9_process, i9_orders, e16_two_cameras, h2_tiles, b26_steered, b26_tiles,
-    i1_tiles, i2_refine_step, i3_align, i3_tiles, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly, j5_late,
+    i1_tiles, i2_refine_step, i3_align, i3_tiles, i3_four_levels, i4_reference_stats, i5_robustness, i7_merge_reference, i9_merge_all, i11_super_resolve, i12_encode, j1_burst_assembly, j5_late,
 )
 
 

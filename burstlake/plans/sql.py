@@ -71,6 +71,8 @@ STRENGTHS = """SELECT *, ((1-d)*({one})+d*3.5::DOUBLE)*0.30::DOUBLE AS k1, ((1-d
 CTES = {
     "ev": _dealt("events", "event_id", "least(value/600, 1e0)", 8, 8),
     "ord": _dealt("orders", "o_orderkey", "CAST(o_totalprice AS DOUBLE)/500000", 4, 32),
+    "strip": """SELECT burst_id, frame_idx, CAST(r-d AS INTEGER) AS y, x, v FROM (SELECT CAST(o_orderkey//10752 AS BIGINT) AS burst_id, o_orderkey%10752//96 AS r, CAST(o_orderkey%96 AS INTEGER) AS x, floor(CAST(o_totalprice AS DOUBLE)/500000*65535+0.5) AS v, count(*) OVER (PARTITION BY o_orderkey//10752) AS n FROM orders),
+      (VALUES (0,0),(1,5),(2,16)) t(frame_idx,d) WHERE n=10752 AND r-d BETWEEN 0 AND 95""",
     "sc": """SELECT burst_id, frame_idx, y, x, floor(least(greatest(0.5::DOUBLE + sin((Y2+X2)*0.20::DOUBLE)*0.4::DOUBLE*cos((X2-Y2)*0.13::DOUBLE) + CASE WHEN floor(abs(X2)*0.25::DOUBLE)%2=0 THEN 0.15::DOUBLE ELSE -0.15::DOUBLE END, 0), 1)*65535+0.5) AS v FROM (
       SELECT *, y + CASE WHEN frame_idx>0 THEN (burst_id+frame_idx)%3-1 ELSE 0 END AS Y2, x + CASE WHEN frame_idx>0 THEN (3*burst_id+2*frame_idx)%3-1 ELSE 0 END AS X2 FROM (
       SELECT CAST(s_suppkey AS BIGINT) AS burst_id, CAST(i//1024 AS INTEGER) AS frame_idx, CAST(i%1024//32 AS INTEGER) AS y, CAST(i%32 AS INTEGER) AS x FROM supplier, range(4096) t(i)))""",
@@ -145,28 +147,44 @@ CTES |= {
 }
 
 
-def _align() -> str:
-    """Two levels, tiles of eight: match by L2 and refine on 12 x 12, then by L1 and refine on 32 x 32."""
-    parts = [f"sc AS ({CTES['sc']})", f"scu AS ({CTES['scu']})", f"l1 AS ({_down('scu', 32)})", "l0 AS (SELECT * FROM scu)"]
-    parts.append("s1 AS (SELECT DISTINCT burst_id, frame_idx, 0 AS ty, 0 AS tx, 0e0 AS dx, 0e0 AS dy FROM l1 WHERE frame_idx>0)")
-    for level, side, metric, r in ((1, 12, "L2", 2), (0, 32, "L1", 1)):
-        if level == 0:
-            parts.append("s0 AS (SELECT g.burst_id, g.frame_idx, g.ty, g.tx, coalesce(f.dx*2,0) AS dx, coalesce(f.dy*2,0) AS dy FROM (SELECT DISTINCT burst_id, frame_idx, y//8 AS ty, x//8 AS tx FROM l0 WHERE frame_idx>0) g LEFT JOIN f1 f ON f.burst_id=g.burst_id AND f.frame_idx=g.frame_idx AND f.ty=g.ty//2 AND f.tx=g.tx//2)")
-        low, high = ("least(greatest(", f",0),{side - 1})") if metric == "L2" else ("(", ")")
+def _align(frames: str = "sc", sides=(32, 12), tiles=(8, 8), radii=(1, 2), metrics=("L1", "L2"), turns: int = 1) -> str:
+    """From the coarsest level, one tile, to the finest: match, then refine. sides: of the square levels, halved each time; a
+    tile of eight repeats the ends of a frame when it is refined, larger ones find nothing beyond it."""
+    unit, deepest = f"{frames}u", len(sides) - 1
+    parts = [f"{frames} AS ({CTES[frames]})", f"{unit} AS (SELECT burst_id, frame_idx, y, x, v/65535 AS v FROM {frames})"]
+    for level in range(1, deepest + 1):
+        parts.append(f"l{level} AS ({_down(unit if level == 1 else f'l{level - 1}', sides[level - 1])})")
+    parts.append(f"l0 AS (SELECT * FROM {unit})")
+    parts.append(f"s{deepest} AS (SELECT DISTINCT burst_id, frame_idx, 0 AS ty, 0 AS tx, 0e0 AS dx, 0e0 AS dy FROM l{deepest} WHERE frame_idx>0)")
+    for level in range(deepest, -1, -1):
+        side, tile, metric, r = sides[level], tiles[level], metrics[level], radii[level]
+        n, up = max(1, side // tile), level + 1
+        if level < deepest:
+            whole = "" if side % tile == 0 else f" AND y//{tile}<{n} AND x//{tile}<{n}"
+            repeat = max(1, 2 // max(1, tile // tiles[up]))
+            parts.append(f"s{level} AS (SELECT g.burst_id, g.frame_idx, g.ty, g.tx, coalesce(f.dx*2,0) AS dx, coalesce(f.dy*2,0) AS dy FROM (SELECT DISTINCT burst_id, frame_idx, y//{tile} AS ty, x//{tile} AS tx FROM l{level} WHERE frame_idx>0{whole}) g LEFT JOIN f{up} f ON f.burst_id=g.burst_id AND f.frame_idx=g.frame_idx AND f.ty=g.ty//{repeat} AND f.tx=g.tx//{repeat})")
+        held = lambda at: f"least(greatest({at},0),{side - 1})"
+        free = lambda at: f"({at})"
+        place = held if metric == "L2" else free
         cost, base = ("sum(m.v*m.v)-2*sum(p.v*m.v)", "{}") if metric == "L2" else ("sum(abs(p.v-coalesce(m.v,0)))", "round_even({},0)")
         parts += [
-            f"""c{level} AS (SELECT p.burst_id, f.frame_idx, f.ty, f.tx, f.dx, f.dy, o.i, o.j, {cost} AS cost FROM l{level} p JOIN s{level} f ON f.burst_id=p.burst_id AND f.ty=p.y//8 AND f.tx=p.x//8, {OFFSETS.format(r=r)} o
-            LEFT JOIN l{level} m ON m.burst_id=p.burst_id AND m.frame_idx=f.frame_idx AND m.y={low}p.y+round_even(f.dy,0)+o.i{high} AND m.x={low}p.x+round_even(f.dx,0)+o.j{high} WHERE p.frame_idx=0 GROUP BY ALL)""",
+            f"""c{level} AS (SELECT p.burst_id, f.frame_idx, f.ty, f.tx, f.dx, f.dy, o.i, o.j, {cost} AS cost FROM l{level} p JOIN s{level} f ON f.burst_id=p.burst_id AND f.ty=p.y//{tile} AND f.tx=p.x//{tile}, {OFFSETS.format(r=r)} o
+            LEFT JOIN l{level} m ON m.burst_id=p.burst_id AND m.frame_idx=f.frame_idx AND m.y={place('p.y+round_even(f.dy,0)+o.i')} AND m.x={place('p.x+round_even(f.dx,0)+o.j')} WHERE p.frame_idx=0 GROUP BY ALL)""",
             f"m{level} AS (SELECT burst_id, frame_idx, ty, tx, {base.format('dx')}+j AS dx, {base.format('dy')}+i AS dy FROM c{level} QUALIFY row_number() OVER (PARTITION BY burst_id, frame_idx, ty, tx ORDER BY cost, i, j)=1)",
             f"g{level} AS (SELECT burst_id, y, x, v, coalesce(lead(v) OVER r,0)-coalesce(lag(v) OVER r,0) AS gx, coalesce(lead(v) OVER c,0)-coalesce(lag(v) OVER c,0) AS gy FROM l{level} WHERE frame_idx=0 WINDOW r AS (PARTITION BY burst_id, y ORDER BY x), c AS (PARTITION BY burst_id, x ORDER BY y))",
-            f"h{level} AS (SELECT burst_id, y//8 AS ty, x//8 AS tx, sum(gx*gx) AS h00, sum(gx*gy) AS h01, sum(gy*gy) AS h11 FROM g{level} GROUP BY ALL)",
-            f"""w{level} AS (SELECT p.burst_id, f.frame_idx, f.ty, f.tx, p.y, p.x, p.v, p.gx, p.gy, trunc(f.dx) AS ax, trunc(f.dy) AS ay, f.dx-trunc(f.dx) AS fx, f.dy-trunc(f.dy) AS fy FROM g{level} p JOIN m{level} f ON f.burst_id=p.burst_id AND f.ty=p.y//8 AND f.tx=p.x//8)""",
-            f"""b{level} AS (SELECT burst_id, frame_idx, ty, tx, sum(-gx*(mov-v)) AS b0, sum(-gy*(mov-v)) AS b1 FROM (
-            SELECT w.burst_id, w.frame_idx, w.ty, w.tx, w.y, w.x, w.v, w.gx, w.gy, sum((CASE WHEN o.j=1 THEN fx ELSE 1-fx END)*(CASE WHEN o.i=1 THEN fy ELSE 1-fy END)*m.v) AS mov FROM w{level} w, (SELECT a.i, b.j FROM range(2) a(i), range(2) b(j)) o
-            JOIN l{level} m ON m.burst_id=w.burst_id AND m.frame_idx=w.frame_idx AND m.y=least(greatest(w.y+ay+o.i,0),{side - 1}) AND m.x=least(greatest(w.x+ax+o.j,0),{side - 1}) GROUP BY ALL) GROUP BY ALL)""",
-            f"""f{level} AS (SELECT burst_id, frame_idx, ty, tx, CASE WHEN abs(det)>=1e-10 THEN dx+(h11*b0-h01*b1)/det ELSE dx END AS dx, CASE WHEN abs(det)>=1e-10 THEN dy+(h00*b1-h01*b0)/det ELSE dy END AS dy FROM (
-            SELECT m.*, b0, b1, h00, h01, h11, h00*h11-h01*h01 AS det FROM m{level} m JOIN b{level} b USING (burst_id, frame_idx, ty, tx) JOIN h{level} h ON h.burst_id=m.burst_id AND h.ty=m.ty AND h.tx=m.tx))""",
+            f"h{level} AS (SELECT burst_id, y//{tile} AS ty, x//{tile} AS tx, sum(gx*gx) AS h00, sum(gx*gy) AS h01, sum(gy*gy) AS h11 FROM g{level} GROUP BY ALL)",
         ]
+        place, join, seen = (held, "JOIN", "m.v") if tile == 8 else (free, "LEFT JOIN", "coalesce(m.v,0)")
+        for turn in range(turns):
+            at, before = f"{level}" if turn == turns - 1 else f"{level}_{turn}", f"m{level}" if turn == 0 else f"f{level}_{turn - 1}"
+            parts += [
+                f"""w{at} AS (SELECT p.burst_id, f.frame_idx, f.ty, f.tx, p.y, p.x, p.v, p.gx, p.gy, trunc(f.dx) AS ax, trunc(f.dy) AS ay, f.dx-trunc(f.dx) AS fx, f.dy-trunc(f.dy) AS fy FROM g{level} p JOIN {before} f ON f.burst_id=p.burst_id AND f.ty=p.y//{tile} AND f.tx=p.x//{tile})""",
+                f"""b{at} AS (SELECT burst_id, frame_idx, ty, tx, sum(-gx*(mov-v)) AS b0, sum(-gy*(mov-v)) AS b1 FROM (
+            SELECT w.burst_id, w.frame_idx, w.ty, w.tx, w.y, w.x, w.v, w.gx, w.gy, sum((CASE WHEN o.j=1 THEN fx ELSE 1-fx END)*(CASE WHEN o.i=1 THEN fy ELSE 1-fy END)*{seen}) AS mov FROM w{at} w, (SELECT a.i, b.j FROM range(2) a(i), range(2) b(j)) o
+            {join} l{level} m ON m.burst_id=w.burst_id AND m.frame_idx=w.frame_idx AND m.y={place('w.y+ay+o.i')} AND m.x={place('w.x+ax+o.j')} GROUP BY ALL) GROUP BY ALL)""",
+                f"""f{at} AS (SELECT burst_id, frame_idx, ty, tx, CASE WHEN abs(det)>=1e-10 THEN dx+(h11*b0-h01*b1)/det ELSE dx END AS dx, CASE WHEN abs(det)>=1e-10 THEN dy+(h00*b1-h01*b0)/det ELSE dy END AS dy FROM (
+            SELECT m.*, b0, b1, h00, h01, h11, h00*h11-h01*h01 AS det FROM {before} m JOIN b{at} b USING (burst_id, frame_idx, ty, tx) JOIN h{level} h ON h.burst_id=m.burst_id AND h.ty=m.ty AND h.tx=m.tx))""",
+            ]
     return "WITH " + ",\n".join(parts) + f" SELECT burst_id, frame_idx, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, {six('dx')} AS dx, {six('dy')} AS dy FROM f0"
 
 
@@ -260,6 +278,7 @@ ORACLES = {
     "i1_tiles": sql("sc", f"SELECT burst_id, frame_idx, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, dx, dy, cost FROM ({_match('L1')})"),
     "i3_align": _align(),
     "i3_tiles": _align(),
+    "i3_four_levels": _align("strip", (96, 44, 18, 5), (16, 16, 16, 8), (1, 4, 4, 4), ("L1", "L2", "L2", "L2"), 3),
     "i5_robustness": sql("ev sc scu quads qstats wref flow1 wcomp rough cells known lut trust", f"SELECT {KEY}, {six('v')} AS v FROM trust"),
     "j1_burst_assembly": "SELECT event_id // 512 AS burst_id, 'complete' AS status, 8 AS n FROM events GROUP BY 1 HAVING count(*)=512",
 }

@@ -27,6 +27,16 @@ def orders_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dealt(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", F.col("o_totalprice").cast("double") / 500000, 4, 32)
 
 
+def orders_strip_px(spark: SparkSession, sf_dir: str, side: int = 96, starts: tuple = (0, 5, 16)) -> DataFrame:
+    """Square frames of one strip of order prices for each burst, frame i beginning starts[i] rows down; complete bursts only."""
+    rows, key = side + max(starts), F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key, F.floor(F.col("o_totalprice").cast("double") / 500000 * 65535 + 0.5).cast("double").alias("v"))
+    o = o.select(F.floor(key / (rows * side)).cast("long").alias("burst_id"), F.floor(key % (rows * side) / side).cast("int").alias("r"), (key % side).cast("int").alias("x"), "v")
+    full = o.groupBy("burst_id").count().where(F.col("count") == rows * side).select("burst_id")
+    px = o.join(full, "burst_id", "left_semi").select("*", F.posexplode(F.array(*map(F.lit, starts))).alias("frame_idx", "start"))
+    return px.select("burst_id", "frame_idx", (F.col("r") - F.col("start")).alias("y"), "x", "v").where(F.col("y").between(0, side - 1))
+
+
 def embeddings_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 8 x 8 frame for each vector: the stored plane unpacked to samples."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
