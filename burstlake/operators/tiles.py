@@ -143,7 +143,7 @@ def match_and_refine(ref: DataFrame, moving: DataFrame, flow: DataFrame, tile: i
     square = ["sy", "sx", "y0", "x0", "th", "tw", "fh", "fw", "data"]
     todo = flow.select(F.col("burst_id").cast("long"), F.col("frame_idx").cast("int"), F.floor(F.col("ty") / block).cast("int").alias("by"), F.floor(F.col("tx") / block).cast("int").alias("bx"), "ty", "tx", F.col("dx").cast("double"), F.col("dy").cast("double"), F.lit(0.0).alias("cost"), F.lit(turns).alias("todo"), F.lit(False).alias("matched"))
     sizes = lambda df, *by: df.groupBy(*by).agg(F.first("fh").alias("fh"), F.first("fw").alias("fw"))
-    reach, done, passes = radius + 2 + SLACK, None, 0
+    reach, done, passes, tasks = radius + 2 + SLACK, None, 0, int(flow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         asked = todo.join(sizes(moving, *BASE), [*BASE])
         for s, t, d, n in (("sy", "ty", "dy", "fh"), ("sx", "tx", "dx", "fw")):
@@ -157,7 +157,9 @@ def match_and_refine(ref: DataFrame, moving: DataFrame, flow: DataFrame, tile: i
         own = own.drop("fh", "fw").join(ref.select("burst_id", *square), ["burst_id", "sy", "sx"]).withColumn("kind", F.lit(0))
         sources = near.select(*KEY, "kind", *square).unionByName(own.select(*KEY, "kind", *square))
         sources = sources.select(*[F.col(n).alias(n) for n in sources.columns])  # new attributes, as both sides come from todo
-        out = materialise(todo.groupBy(*KEY).cogroup(sources.groupBy(*KEY)).applyInArrow(_solved(tile, radius, metric), shape), f"tiles_{passes}")
+        # dealt by key to all tasks: what a block costs is its comparisons, so its few bytes should not join it with others
+        dealt = [df.repartition(tasks, *KEY).groupBy(*KEY) for df in (todo, sources)]
+        out = materialise(dealt[0].cogroup(dealt[1]).applyInArrow(_solved(tile, radius, metric), shape), f"tiles_{passes}")
         ended = out.where("matched and todo = 0")
         done, todo, passes = ended if done is None else done.unionByName(ended), out.where("not matched or todo > 0"), passes + 1
         if passes > turns or not todo.take(1):

@@ -216,7 +216,7 @@ def i3_tiles(spark, sf):
     """i3_align in tile form."""
     c = P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
     stage = _stage(spark)
-    flow = match.align(stage(_sc(spark, sf), "grey"), c, stage, tiles.level_step(c, 16, 2, stage))
+    flow = match.align(stage(_sc(spark, sf), "grey"), c, stage, tiles.level_step(c, 32, 4, stage))
     return _sixed(flow, "dx", "dy").withColumn("burst_id", F.col("burst_id").cast("long"))
 
 
