@@ -47,7 +47,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """doc_id, held_out, score, predicted, difference, ratio: one row per row of docs(doc_id, text, ...).
 
     Learns from the labelled rows whose crc32(doc_id) mod `folds` is not `held`. A hash parts these in two halves: each
-    dictionary is built from at most `dictionary_rows` whole texts and TEXT_BYTES bytes of its class in one half, the
+    dictionary is built from at most `dictionary_rows` whole texts and TEXT_BYTES bytes of its class in one half (null texts and
+    those longer than TEXT_BYTES are passed over), the
     calibration takes at most `fit_rows` rows of the other; where that lacks a class, the score is constant. Every text is compressed whole. Null texts are empty and get a score like any other; a null doc_id counts as
     the empty text in the remainder; repeated rows are scored each; columns other than doc_id and text are never read; an
     empty table gives no rows, and labels of one class alone a constant score."""
@@ -58,6 +59,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     chosen = [known.where((F.col("y") == y) & (F.col("half") == 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_rows) for y in (1, 0)]
     chosen = F.broadcast(cut(chosen[0].unionByName(chosen[1]).select("doc_id", "y"), "chosen"))
     sizes = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.max(F.octet_length("text")).alias("bytes"))
+    sizes = sizes.where(F.col("bytes") <= TEXT_BYTES)  # a text that can't fit alone, or none at all, takes no other's place
     upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     chosen = F.broadcast(cut(sizes.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= TEXT_BYTES).select("doc_id", "y"), "chosen"))
     texts = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("y", "text").toPandas().sort_values(["y", "text"])

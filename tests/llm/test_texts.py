@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from burstlake.llm import lm, minhash, mixing, packing, quality, suffix, toxicity
+from burstlake.llm.calibrate import fit_logistic
 from burstlake.llm.queries import WORD_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, id string, spans int"
@@ -389,3 +391,44 @@ def test_compressed_sizes_and_halves(spark):
         size = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False).compress(t.encode())) for x in (good, bad)]
         assert d == pytest.approx((size[1] - size[0]) / (len(t.encode()) + 1))
     assert got["difference"][0].as_py() > 0 > got["difference"][1].as_py()
+
+
+def test_whole_quality_score_by_hand(spark, monkeypatch):
+    """Every step from the choice of the dictionaries' texts to the score; a text longer than all that a dictionary takes and a
+    null one come first by hash and take no place."""
+    most = 4000
+    monkeypatch.setattr(quality, "TEXT_BYTES", most)
+    r = random.Random(8)
+    good = lambda: " ".join(r.choice(("river", "stone", "window", "garden", "letter", "music")) for _ in range(r.randint(20, 60)))
+    bad = lambda: "".join(r.choice("xqzkw ") for _ in range(r.randint(100, 300)))
+    label, texts = {i: int(i % 3 > 0) for i in range(240)}, {i: good() if i % 3 else bad() for i in range(240)}
+    hashed = {x.id: x for x in spark.range(240).select("id", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)).alias("half")).collect()}
+    known = sorted((i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashed[i].h)
+    first = [i for i in known if label[i] and hashed[i].half == 0][:2]
+    texts |= dict(zip(first, ("long " * 1000, None)))
+
+    dictionaries = []
+    for y in (1, 0):
+        taken, upto = [], 0
+        for i in known:
+            n = len((texts[i] or "").encode())
+            if label[i] == y and hashed[i].half == 0 and texts[i] is not None and n <= most:
+                upto += n
+                taken += [texts[i].encode()] if upto <= most else []
+        assert taken
+        dictionaries.append(quality.build_dictionary(sorted(taken)))
+    press = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in dictionaries]
+    x = {}
+    for i, t in texts.items():
+        data = (t or "").encode()
+        g, w = (len(p.compress(data)) for p in press)
+        x[i] = [(w - g) / (len(data) + 1), min(g, w) / (len(data) + 1), np.log1p(len(data)), (w - g) / max(g, w, 1)]
+    fit = [i for i in known if hashed[i].half == 1]
+    model = fit_logistic(np.array([x[i] for i in fit]), np.array([label[i] for i in fit], float))
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    got = quality.score_quality(docs_of(spark, list(texts.items())), labels).collect()
+    assert len(got) == 240
+    for row in got:
+        total = model["bias"] + sum(w * (v - m) / s for v, m, s, w in zip(x[row.doc_id], model["mean"], model["scale"], model["weights"]))
+        want = 1 / (1 + np.exp(-total))
+        assert row.score == pytest.approx(want, abs=1e-6) and row.predicted == int(row.score >= 0.5) and row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1)
