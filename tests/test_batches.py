@@ -43,3 +43,12 @@ def test_a_group_over_many_batches_stays_whole():
         assert [sorted(set(p["k"].to_pylist())) for p, _ in batches.portions(t, ["k"])] == [[0], [1], [2]]
     finally:
         batches.PORTION = old
+
+
+def test_colours_of_blocks_equal_those_of_single_channels(spark):
+    from burstlake.operators import encode, merge, tile_merge
+
+    raw = tiles.stored(rasters.unit(rasters.scene_px(spark, SF)).where("burst_id < 2 and frame_idx = 0 and y < 7"), 16)
+    acc = tile_merge.merge(raw, None, None, None, 8, registry.ISO, 16)
+    want = encode.rgb(merge.normalised(tile_merge.sums(acc), registry.ISO, balance=False))
+    assert rows(tile_merge.colours(acc, registry.ISO, balance=False), "burst_id", "Y", "X", "r", "g", "b") == rows(want, "burst_id", "Y", "X", "r", "g", "b")
