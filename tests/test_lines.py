@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstlake.functions import photometry as P
-from burstlake.operators import halo, match, stencil, tiles
-from burstlake.plans import registry
-from tests.test_bursts import _same, _store
+from burstlake.operators import encode, halo, match, merge, stencil, tiles
+from burstlake.plans import registry, super_resolve
+from tests.test_bursts import _bursts, _same, _store
 from tests.test_portions import frames_of
 
 KEY = ("burst_id", "frame_idx", "y", "x")
@@ -43,3 +43,18 @@ def test_alignment_of_tiles_equals_alignment_of_samples(spark, tmp_path):
     want = match.align(px, c, store, tiles.level_step(c, 16, 2, store))
     _same(got.select(*KEY[:2], "ty", "tx", "dx", "dy"), want, ("burst_id", "frame_idx", "ty", "tx"), "dx", "dy", least=2 * 13 * 11 + 12)
     assert got.where(F.col("burst_id") == 3).count() == 0
+
+
+def test_whole_path_in_tiles_makes_no_row_for_a_sample_or_channel(spark, tmp_path, monkeypatch):
+    """The flow that is not given comes from tiles, and colours from blocks, with the rows of the forms sample by sample."""
+    store, c = _store(tmp_path), P.Config(factors=(1, 2), tile_sizes=(8, 8), radii=(1, 2), metrics=("L1", "L2"), refine_turns=1)
+    px, lut = store(_bursts(spark), "px"), registry._lut(spark)
+    flow = store(match.align(store(stencil.low_pass_rows(px), "grey"), c, store, tiles.level_step(c, 16, 2, store)), "flow")
+    sums = super_resolve.merged(px, c, lut, flow, store, side=16)
+    want = store(encode.encode_16(encode.rgb(merge.normalised(sums, c, balance=False)), c), "want")
+    for module, name in ((match, "align"), (stencil, "low_pass_rows"), (encode, "rgb")):
+        monkeypatch.setattr(module, name, lambda *a: pytest.fail("a row for each sample or channel"))
+    got, _ = super_resolve.process_to_rows(px, c, lut, side_tiles=16, materialise=store)
+    a, b = ({(r.burst_id, r.Y, r.X): (r.r16, r.g16, r.b16) for r in df.collect()} for df in (got, want))
+    assert set(a) == set(b) and len(a) == 3 * 64 * 64
+    assert all(abs(x - y) <= 1 for k in a for x, y in zip(a[k], b[k]))
