@@ -5,7 +5,8 @@ which commit of it counts.
     store/data/<stage>/commit=<id>/bucket=<k>/
     store/manifest/      stage, burst_id, frames, commit, committed_at, gone: appended after the data of a commit
 
-The number of files depends on the buckets, not on the bursts. A burst's rows are those of its last commit: writing a burst
+The number of files depends on the buckets and on the bytes, not on the bursts: a task writes about as many bytes as
+spark.sql.adaptive.advisoryPartitionSizeInBytes has, so what it holds does not grow with the stage. A burst's rows are those of its last commit: writing a burst
 again replaces it, whatever other bursts the commit has, and a job that dies before its manifest rows leaves nothing that
 is read. Empty stages keep their schema. What no burst points to any more is deleted by vacuum()."""
 
@@ -31,7 +32,8 @@ class StageStore:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _append(self, df: DataFrame, name: str) -> None:
-        df.coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+        # as few files as their bytes need: one, unless there are very many rows
+        df.hint("rebalance").write.mode("append").parquet(f"{self.path}/{name}")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if not self._exists(f"{self.path}/{name}"):
@@ -52,7 +54,8 @@ class StageStore:
         commit = uuid.uuid4().hex
         at = f"{self.path}/data/{stage}/commit={commit}"
         bucket = F.pmod(F.xxhash64("burst_id"), F.lit(self.buckets)).cast("int")
-        df.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(at)
+        # a bucket that is too large for one task is split among several
+        df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(at)
         now = F.current_timestamp()
         self._append(self.spark.range(1).select(F.lit(stage).alias("stage"), F.lit(df.schema.json()).alias("schema"), F.lit(commit).alias("commit"), now.alias("since")), "schemas")
         back = self._read_commit(df.schema, stage, commit)

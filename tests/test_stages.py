@@ -71,3 +71,17 @@ def test_stale_bursts_go_and_their_data_is_deleted(spark, store, tmp_path):
     assert not glob.glob(f"{tmp_path}/data/*/*/bucket=*")
     store.write(rows(spark, [1]), "raw")
     assert store.read("raw").count() == 2
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """What one task holds must not grow with the stage."""
+    one, key = stages.StageStore(spark, f"file://{tmp_path}", 1), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    px = spark.range(0, 80000, 1, 8).select((F.col("id") % 50).alias("burst_id"), F.lit(0).alias("frame_idx"), F.rand(1).alias("v"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        back = one.write(px, "raw")
+    finally:
+        spark.conf.set(key, before)
+    assert len(glob.glob(f"{tmp_path}/data/raw/*/bucket=0/*.parquet")) > 1 and back.count() == one.read("raw").count() == 80000
+    assert one.read("raw", 7).count() == 1600 and one.live("raw").count() == 50
